@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_components
+
+    return similar_components(_table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +31,6 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_piece_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_jaccard_join, op8_piece_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
