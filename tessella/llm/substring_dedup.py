@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
-from .stage import cut
 from .text import chunks, measure, prefix, scan, span_hash, word_hashes
 
 _LAST = np.iinfo(np.int64).max
@@ -255,7 +254,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None) ->
     flags = repeated_bits(by_home.applyInArrow(_send_filter(k, bits), "home long, bucket long, keys binary"))
     sent = by_home.cogroup(flags.groupBy("home")).applyInArrow(_send_edges(k, bits), _SENT)
     sources = sent.groupBy("bucket").applyInArrow(_resolve, _SOURCES)
-    spans = cut(by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k), _SPANS))
+    spans = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k), _SPANS).repartition("home")  # an exchange that both uses share
     paths = spans.groupBy("src_doc", "src_start", "edges").agg(F.count(F.lit(1)).alias("uses"))
     paths = paths.select(F.pmod(F.xxhash64("src_doc"), F.lit(n)).alias("home"), "src_doc", "src_start", "edges")
     read = by_home.cogroup(paths.groupBy("home")).applyInArrow(_read_sources(k), _READ)
