@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_components
 
@@ -31,6 +37,6 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_jaccard_join, op8_piece_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_class_lm, op5_jaccard_join, op8_piece_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
