@@ -37,6 +37,13 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_class_lm, op5_jaccard_join, op8_piece_bpe)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_class_lm, op5_jaccard_join, op8_piece_bpe, op9_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
