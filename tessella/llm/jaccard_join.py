@@ -12,9 +12,10 @@ A document's set holds the 64-bit hashes of its distinct word shingles.
    has) are its prefix: similar sets share a prefix token.
 4. Tiles are (prefix token, size band); a set stands in the tiles of its band
    and the one below, and sets of a similar pair meet in one of them. First
-   every tile's smallest set is compared with the others (a star), and the links
-   are contracted to components. Then all pairs of a tile in different
-   components are compared. A group of thousands of near copies is so contracted
+   every tile's most central set (that with the most common tokens) is compared
+   with the others, and the links are contracted to components. Then all pairs
+   of a tile in different components are compared, less those that the token's
+   places in both sets rule out. A group of thousands of near copies is so contracted
    by a linear number of comparisons; no pair that could join two components is
    left out.
 5. A pair is compared by hashed bitmaps as wide as its band needs: bits that one
@@ -39,8 +40,6 @@ from .stage import cut
 from .text import chunks, measure, mix, prefix, scan, span_hash, word_hashes
 
 _HOME_BYTES = 3 << 20
-#: Prefix tokens by which a set meets a pivot in the first round.
-_PIVOT_TOKENS = 4
 
 
 def least_overlap(n, percent: int):
@@ -178,7 +177,7 @@ def _prefixes(bits: int, percent: int):
     """Prefix tokens, rarest first, without those that no other set has."""
 
     def run(t: pa.Table, counts: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 4
+        out = [np.zeros(0, np.int64)] * 5
         if t.num_rows:
             n = t["n"].to_numpy()
             every, set_ids = _tokens(t), t["set_id"].to_numpy()
@@ -195,13 +194,11 @@ def _prefixes(bits: int, percent: int):
             place = np.arange(len(rank)) - np.repeat(np.cumsum(n) - n, n)
             take = rank[(place <= (n - least_overlap(n, percent))[doc[rank]]) & live[doc[rank]]]
             take = take[df[take] > 1]
-            by_hash = np.lexsort((every[take], doc[take]))
-            d = doc[take][by_hash]
-            first = np.arange(len(d)) - np.searchsorted(d, d)
-            pivot = np.empty(len(d), np.int64)
-            pivot[by_hash] = first
-            out = [every[take].view(np.int64), set_ids[doc[take]], n[doc[take]], pivot]
-        return pa.table(dict(zip(("token", "set_id", "n", "place"), map(pa.array, out), strict=True)))
+            where = np.empty(len(every), np.int64)
+            where[rank] = place
+            weight = np.bincount(doc, df, minlength=len(n)) / n  # a middle set has the most common tokens
+            out = [every[take].view(np.int64), set_ids[doc[take]], n[doc[take]], where[take], (1024 * weight).astype(np.int64)[doc[take]]]
+        return pa.table(dict(zip(("token", "set_id", "n", "place", "weight"), map(pa.array, out), strict=True)))
 
     return run
 
@@ -269,6 +266,30 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tile", F.explode(F.array(band, band - 1)))
 
 
+def _contracted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Prefix rows of the tokens that still stand in several components."""
+    rows = rows.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    return rows.join(mixed, "token")
+
+
+def _stars(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every tile's most central set with the sets of other components."""
+    pivot = F.max(F.struct("weight", "set_id", "n", "component")).alias("p")
+    pivots = tiles.groupBy("token", "tile").agg(pivot, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "tile", "p")
+    near = "100 * least(n, p.n) >= %d * greatest(n, p.n)" % percent
+    stars = tiles.join(pivots, ["token", "tile"]).where("component <> p.component").where(near)
+    return stars.select(F.greatest("set_id", "p.set_id").alias("a"), F.least("set_id", "p.set_id").alias("b")).distinct()
+
+
+def _pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a tile in different components that the places of the token allow: at the
+    first token that a pair shares, what follows in the shorter rest bounds the overlap."""
+    other = tiles.select("token", "tile", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"), F.col("place").alias("pb"))
+    most = "(%d) * least(n - place, nb - pb) >= %d * (n + nb)" % (100 + percent, percent)
+    return tiles.join(other, ["token", "tile"]).where("set_id > b and component <> other").where(most).select(F.col("set_id").alias("a"), "b")
+
+
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", n_homes: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of the documents whose shingle sets have a
     Jaccard similarity of at least ``percent`` / 100 (at least 75: a band spans a factor of 4/3)."""
@@ -290,23 +311,15 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
 
     of_home = sets.groupBy("home")
     counts = of_home.applyInArrow(_send_tokens(bits), "home long, bucket long, keys binary, counts binary").groupBy("bucket").applyInArrow(_frequencies, "home long, bucket long, counts binary")
-    rows = cut(of_home.cogroup(counts.groupBy("home")).applyInArrow(_prefixes(bits, percent), "token long, set_id long, n long, place long"))
+    rows = cut(of_home.cogroup(counts.groupBy("home")).applyInArrow(_prefixes(bits, percent), "token long, set_id long, n long, place long, weight long"))
     bitmaps = sets.mapInArrow(_bitmap, "set_id long, n long, bitmap binary")
 
-    tiles = _tiles(rows.where(F.col("place") < _PIVOT_TOKENS))
-    pivots = tiles.groupBy("token", "tile").agg(F.min(F.struct("n", "set_id")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    stars = tiles.join(pivots, ["token", "tile"]).where("set_id <> p.set_id and 100 * p.n >= %d * n" % percent)
-    stars = stars.select(F.greatest("set_id", "p.set_id").alias("a"), F.least("set_id", "p.set_id").alias("b")).distinct()
-    links = cut(_settle(stars, sets, bitmaps, percent))
+    links = cut(_settle(_stars(_tiles(rows.withColumn("component", F.col("set_id"))), percent), sets, bitmaps, percent))
     found = components(links)
-
-    rows = rows.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    tiles = cut(_tiles(rows.join(mixed, "token").select("token", "set_id", "n", "component")))
-    other = tiles.select("token", "tile", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("other"))
-    pairs = tiles.join(other, ["token", "tile"]).where("set_id > b and component <> other and 100 * least(n, nb) >= %d * greatest(n, nb)" % percent)
-    more = cut(_settle(pairs.select(F.col("set_id").alias("a"), "b").distinct(), sets, bitmaps, percent))
-    found = components(links.unionByName(more)) if more.limit(1).count() else found
+    pairs = _pairs(cut(_tiles(_contracted(rows, found))), percent)
+    more = cut(_settle(pairs.distinct(), sets, bitmaps, percent))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     classes = classes.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
     root = classes.groupBy("component").agg(F.min("first").alias("component_id"))
