@@ -56,6 +56,12 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import similar_components
 
@@ -77,6 +83,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat, op3_class_lm, op5_jaccard_join, op8_piece_bpe, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op8_piece_bpe, op9_mixing)}
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL}

@@ -22,6 +22,8 @@ _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits, for words without punctuation.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -104,11 +106,11 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterat
         i = j
 
 
-def scan(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Finds the words of the texts; ``lower`` maps A-Z to a-z first."""
+def scan(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.ndarray = _IS_SPACE) -> Words:
+    """Finds the words of the texts; ``lower`` maps A-Z to a-z first, ``gaps`` says which bytes part words."""
     if lower:
         buf = _LOWER[buf]
-    space = _IS_SPACE[buf]
+    space = gaps[buf]
     inner = ~space
     first, last = inner.copy(), inner.copy()
     if len(buf):
