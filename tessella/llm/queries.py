@@ -68,6 +68,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(_table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), length=2048)
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +91,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op8_piece_bpe, op9_mixing)}
+def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ego_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op8_piece_bpe, op9_mixing, op10_ego_join)}
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL}
