@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -326,3 +326,11 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     of_set = classes.join(root, "component").select("set_id", "component_id")
     out = profile.join(of_set, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component the document with the smallest id."""
+    first = similar_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")

@@ -125,3 +125,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     out = out.join(goal.select(F.col("source").alias("s"), "source_size", "target", "whole"), same("source"), "left")
     n = F.col("whole") + F.col("k")
     return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    keys = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size")]
+    same = Window.partitionBy("_id", "_source", "_size").orderBy(F.lit(0))  # rows with one id share its copies one by one
+    rows = docs.select("*", *keys).withColumn("_n", F.row_number().over(same))
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
+    mixed = mixed.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
+    mixed = mixed.withColumn("_m", F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.desc("copies"))))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_m"))
+    return rows.join(mixed, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -40,12 +40,11 @@ def low32(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(32 - bits)).astype(np.uint32)
 
 
-def homes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``home, doc_id, text``: documents dealt by a hash of their id. Used with the same
-    ``n`` several times in one plan, it is shuffled once and the exchange reused."""
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).alias("home"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+def homes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``home, doc_id, text`` and ``more`` columns: documents dealt by a hash of their id. Used with
+    the same arguments several times in one plan, it is shuffled once and the exchange reused."""
+    home = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("home")
+    return docs.select(home, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in more))
 
 
 def repeated_bits(keys_by_bucket: DataFrame) -> DataFrame:

@@ -76,6 +76,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), length=2048)
 
 
+def op7_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25 import top_k
+
+    docs = _table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 20 = 0"), k=10)
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,6 +104,9 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op8_piece_bpe, op9_mixing, op10_ego_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join)
+}
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL}

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` and goes on from the copy, so that a lost
-    executor costs its tasks and not the steps before. Only where the session names no such
-    folder (tests in local mode) is a temporary one set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Only where the session names
+    none (tests in local mode) is a temporary one set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Writes ``df`` to the shared folder and goes on from the copy, so that a lost executor costs
+    its tasks and not the steps before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)

@@ -209,7 +209,7 @@ def _read_sources(k: int):
 _RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
 
 
-def _cut(k: int, digest: bool):
+def _cut(k: int, digest: bool, more: tuple[str, ...]):
     """Removes the verified spans from the texts; ``kept`` is the rest or its SHA-256."""
 
     def run(t: pa.Table, spans: pa.Table) -> pa.Table:
@@ -232,24 +232,26 @@ def _cut(k: int, digest: bool):
             data = buf.tobytes()
             for i in range(len(offsets) - 1):
                 s = slice(w.bounds[i], w.bounds[i + 1])
-                if removed[-1][i]:
-                    stay = ~gone[s]
-                    text = b" ".join([data[x:y] for x, y in zip(w.starts[s][stay].tolist(), w.ends[s][stay].tolist(), strict=True)])
-                else:
-                    text = b" ".join(data[offsets[i] : offsets[i + 1]].split())
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
+                if not removed[-1][i]:
+                    text = data[offsets[i] : offsets[i + 1]]
+                else:  # runs of kept words, as they stand
+                    stay = np.concatenate([[False], ~gone[s], [False]])
+                    first, last = np.flatnonzero(stay[1:-1] & ~stay[:-2]), np.flatnonzero(stay[1:-1] & ~stay[2:])
+                    text = b" ".join([data[x:y] for x, y in zip(w.starts[s][first].tolist(), w.ends[s][last].tolist(), strict=True)])
+                kept.append(hashlib.sha256(b" ".join(text.split())).hexdigest() if digest else text.decode())
         cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-        return pa.table({"doc_id": ids.take(pa.array(order)), "n_words": cat(words), "n_removed": cat(removed), "n_spans": n_spans.astype(np.int64), "kept": pa.array(kept, pa.string())})
+        out = {"doc_id": ids.take(pa.array(order)), "n_words": cat(words), "n_removed": cat(removed), "n_spans": n_spans.astype(np.int64), "kept": pa.array(kept, pa.string())}
+        return pa.table(out | {c: t[c].take(pa.array(order)) for c in more})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(homes, verified spans): every maximal run of words of a document that follows, window
     by window, one run of a document with a smaller id."""
     n = n_homes or measure(docs, per_group=_HOME_BYTES)
     bits = bucket_bits(n * _HOME_BYTES // 6)
-    base = homes(docs, n)
+    base = homes(docs, n, more=more)
     by_home = base.groupBy("home")
     flags = repeated_bits(by_home.applyInArrow(_send_filter(k, bits), "home long, bucket long, keys binary"))
     sent = by_home.cogroup(flags.groupBy("home")).applyInArrow(_send_edges(k, bits), _SENT)
@@ -262,9 +264,12 @@ def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None) ->
     return base, verified
 
 
-def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes: int | None = None) -> DataFrame:
-    """``doc_id, n_words, n_removed, n_spans, kept``: words left when every word is removed that a
-    window of k words covers whose sequence also starts in a document with a smaller id.
-    ``kept`` joins the rest by single spaces; with ``digest`` it is the SHA-256 of that."""
-    base, spans = repeated_spans(docs, k, n_homes)
-    return base.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut(k, digest), _RESULT)
+def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_words, n_removed, n_spans, kept`` and ``more`` columns as they are: the text less
+    every word that a window of k words covers whose sequence also starts in a document with a
+    smaller id. Runs of words that stay keep their white space and are joined by a space; with
+    ``digest``, ``kept`` is the SHA-256 of the words that stay, joined by single spaces."""
+    base, spans = repeated_spans(docs, k, n_homes, more)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([_RESULT, *(f"{c} {kinds[c]}" for c in more)])
+    return base.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut(k, digest, more), schema)
