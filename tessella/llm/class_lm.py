@@ -106,47 +106,51 @@ def _bigrams(top: np.ndarray, size: int):
 
 
 def exchange(bigrams: np.ndarray, n_classes: int = N_CLASSES, rounds: int = 8) -> np.ndarray:
-    """The class of every unit, moved one by one to where the likelihood is highest, until none moves."""
+    """The class of every unit. The most frequent units open the classes, the others enter in order
+    of frequency where the likelihood of the class bigrams among those present is highest; then
+    units move one by one until none gains."""
     size = len(bigrams)
     freq = bigrams.sum(0) + bigrams.sum(1)
     order = np.argsort(-freq, kind="stable")
-    cls = np.empty(size, np.int64)
-    cls[order] = np.arange(size) % n_classes
+    cls = np.full(size, -1)
     f = lambda x: x * np.log(np.maximum(x, 1))
-    one = np.zeros((size, n_classes))
-    one[np.arange(size), cls] = 1
     b = bigrams.astype(float)
-    right, left = b @ one, b.T @ one
-    m = one.T @ right
-    for _ in range(rounds):
+    opened = 0
+    right, left, m = np.zeros((size, n_classes)), np.zeros((size, n_classes)), np.zeros((n_classes, n_classes))
+    for _ in range(rounds + 1):
         moved = 0
         for w in order:
             if not freq[w]:
+                cls[w] = 0
                 continue
             a, s = cls[w], b[w, w]
             r, l = right[w].copy(), left[w].copy()  # noqa: E741
-            r[a] -= s
-            l[a] -= s
-            m[a] -= r
-            m[:, a] -= l
-            m[a, a] -= s
+            if a >= 0:
+                r[a] -= s
+                l[a] -= s
+                m[a] -= r
+                m[:, a] -= l
+                m[a, a] -= s
             fm = f(m)
             rows, cols = f(m + r) - fm, f(m + l[:, None]) - fm
             diag = np.diagonal(m)
             gain = rows.sum(1) - np.diagonal(rows) + cols.sum(0) - np.diagonal(cols) + f(diag + r + l + s) - f(diag)
-            out, into = m.sum(1), m.sum(0)
+            out, into = m.sum(1) + l, m.sum(0) + r  # with the bigrams of w, wherever it goes
             gain -= f(out + r.sum() + s) - f(out) + f(into + l.sum() + s) - f(into)
             k = int(np.argmax(gain))
-            if gain[k] <= gain[a] + 1e-9:
+            if a < 0 and opened < n_classes:
+                k, opened = opened, opened + 1
+            if a >= 0 and gain[k] <= gain[a] + 1e-9:
                 k = a
             m[k] += r
             m[:, k] += l
             m[k, k] += s
             if k != a:
                 cls[w] = k
-                right[:, a] -= b[:, w]
+                if a >= 0:
+                    right[:, a] -= b[:, w]
+                    left[:, a] -= b[w]
                 right[:, k] += b[:, w]
-                left[:, a] -= b[w]
                 left[:, k] += b[w]
                 moved += 1
         if not moved:

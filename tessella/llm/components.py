@@ -9,9 +9,9 @@ from .stage import cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``id, component``: the smallest id that each linked id (a long) reaches, itself included.
+    """``id, component``: the smallest id that each linked id (a long) reaches.
 
-    Ids without a link to another are absent; nulls and self-links are ignored. A round is two
+    Ids that are the smallest of their component, or have no link, are absent; nulls and self-links are ignored. A round is two
     aggregates, each with a map-side minimum, and joins to them; a hub's edges stay rows that
     the planner may split. The number of rounds grows with the logarithm of the ids.
     """

@@ -216,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, n_unla
     row, col = text_columns(doc[seen], bucket[seen], shapes, edges)
     m_row, m_col = np.repeat(np.arange(len(y)), meta.shape[1]), meta.ravel()
     aside = np.zeros(len(y), bool)
-    aside[labelled[::4]] = True
+    for kind in (0, 1):  # a quarter of either kind
+        aside[np.random.default_rng(kind).permutation(np.flatnonzero(y == kind))[::4]] = True
     fit_on = (y >= 0) & ~aside
     views = [(Logistic(BUCKETS + _N_SHAPES * _N_BINS), row, col), (Logistic(META, l2=1e-2), m_row, m_col)]
     target, weight = [np.maximum(y, 0).astype(float) for _ in views], [fit_on.astype(float) for _ in views]
