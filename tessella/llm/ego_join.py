@@ -35,7 +35,11 @@ BLOCK, LEADING, CELL_DIMS, SMALL = 2048, 8, 3, 256
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Unit rows of a list column whose lists all have ``dim`` finite values."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -74,7 +78,7 @@ def _cells(dim: int, mean, axes, eps: float):
 
 
 def _blocks(dim: int, mean, axes, size: int):
-    """Runs of a sorted partition: keys, counts, unit vectors, and the box of their projections."""
+    """Runs of a sorted partition: keys, counts, vectors, and the box of their projections."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -82,9 +86,10 @@ def _blocks(dim: int, mean, axes, size: int):
         part, number, held = TaskContext.get().partitionId(), itertools.count(), []
 
         def out(t: pa.Table):
-            x = _matrix(t["embedding"].combine_chunks(), dim)
-            y = (x - mean) @ axes
-            row = {"block": (part << 32) + next(number), "keys": t["key"].to_numpy().tobytes(), "counts": t["m"].to_numpy().tobytes(), "vectors": x.tobytes(), "lo": y.min(0).tolist(), "hi": y.max(0).tolist()}
+            raw = t["embedding"].combine_chunks()
+            raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+            y = (_matrix(raw, dim) - mean) @ axes
+            row = {"block": (part << 32) + next(number), "keys": t["key"].to_numpy().tobytes(), "counts": t["m"].to_numpy().tobytes(), "vectors": raw.flatten().to_numpy(zero_copy_only=False).tobytes(), "lo": y.min(0).tolist(), "hi": y.max(0).tolist()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for b in batches:
@@ -149,15 +154,17 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(dim: int, mean, axes, eps: float, cosine: float):
+def _links(dim: int, kind, mean, axes, eps: float, cosine: float):
     """For each class of a block pair: vectors linked and a link inside its local component."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                same = r["a"] == r["b"]
-                ka, ca, x = np.frombuffer(r["ka"], np.int64), np.frombuffer(r["ca"], np.int64), np.frombuffer(r["va"]).reshape(-1, dim)
-                kb, cb, y = (ka, ca, x) if same else (np.frombuffer(r["kb"], np.int64), np.frombuffer(r["cb"], np.int64), np.frombuffer(r["vb"]).reshape(-1, dim))
+            cell = lambda n, i, t: np.frombuffer(batch.column(n)[i].as_buffer(), t)  # noqa: E731, B023
+            unit = lambda n, i: _unit(cell(n, i, kind).reshape(-1, dim))
+            for i in range(batch.num_rows):
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                ka, ca, x = cell("ka", i, np.int64), cell("ca", i, np.int64), unit("va", i)
+                kb, cb, y = (ka, ca, x) if same else (cell("kb", i, np.int64), cell("cb", i, np.int64), unit("vb", i))
                 found: list = []
                 _join(x, y, (x - mean) @ axes, (y - mean) @ axes, 0, 0, same, eps, cosine, found)
                 a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found, strict=True) if found else ((), ())))
@@ -206,6 +213,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         axes = np.pad(axes, ((0, 0), (0, max(0, CELL_DIMS - leading))))
         width = axes.shape[1]
         grid = [f"g{j}" for j in range(width)]
+        width_of = np.float32 if "float" in classes.schema["embedding"].dataType.simpleString() else np.float64
         kind = classes.schema["embedding"].dataType.simpleString()
         cells = mine.select("key", "m", "embedding").mapInArrow(_cells(dim, mean, axes, eps), f"key long, m long, embedding {kind}, " + ", ".join(f"{g} int" for g in grid))
         ordered = cells.repartitionByRange(*grid, "key").sortWithinPartitions(*grid, "key").select("key", "m", "embedding")
@@ -213,7 +221,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
         pairs = cut(_near_blocks(blocks, eps))
         side = lambda s: blocks.select(F.col("block").alias(s), F.col("keys").alias("k" + s), F.col("counts").alias("c" + s), F.col("vectors").alias("v" + s))  # noqa: E731, B023
         joined = pairs.repartition("a", "b").join(side("a"), "a").join(side("b"), "b")
-        links = joined.mapInArrow(_links(dim, mean, axes, eps, cosine), "key long, degree long, link long")
+        links = joined.mapInArrow(_links(dim, width_of, mean, axes, eps, cosine), "key long, degree long, link long")
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = spark.createDataFrame([], "key long, degree long, link long")
