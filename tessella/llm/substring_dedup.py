@@ -7,7 +7,7 @@ their sources do too, the path does not branch against the source document and
 is compacted to one span ``(doc, start, edges, source doc, source start)``;
 a branch is where the source jumps. Equal source spans of all documents are
 then compacted by a Spark aggregate, read again from the source text at their
-coordinates, and joined back, so that a hash collision cannot remove text.
+coordinates, and joined back by home, so that a hash collision cannot remove text.
 
 Plan. Documents are dealt to homes (groups of about 3 MB of text) once; that
 exchange serves every later step. (1) A filter of 32 bits an edge finds the
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
-from .text import chunks, measure, prefix, scan, span_hash, word_hashes
+from .text import chunks, measure, mix, prefix, scan, span_hash, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _HOME_BYTES = 3 << 20
@@ -206,6 +206,11 @@ def _read_sources(k: int):
     return run
 
 
+def _path_key(src_doc, src_start, edges, span_hash) -> np.ndarray:
+    key = mix(src_doc.astype(np.int64).view(np.uint64)) + (src_start.astype(np.uint64) << np.uint64(32)) + edges.astype(np.uint64)
+    return mix(key) ^ span_hash.astype(np.int64).view(np.uint64)
+
+
 _RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
 
 
@@ -218,6 +223,9 @@ def _cut(k: int, digest: bool, more: tuple[str, ...]):
         order = np.argsort(raw, kind="stable")
         texts = t["text"].take(pa.array(order))
         row, start, edges = (spans[n].to_numpy() for n in ("row", "start", "edges"))
+        path = _path_key(*(spans[n].to_numpy() for n in ("src_doc", "src_start", "edges", "span_hash")))
+        sound = (row >= 0) & np.isin(path, path[row < 0])
+        row, start, edges = row[sound], start[sound], edges[sound]
         n_spans = np.bincount(row, minlength=len(order))
         words, removed, kept = [], [], []
         for rows, buf, offsets in chunks(texts):
@@ -246,9 +254,10 @@ def _cut(k: int, digest: bool, more: tuple[str, ...]):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(homes, verified spans): every maximal run of words of a document that follows, window
-    by window, one run of a document with a smaller id."""
+def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(homes, spans, sound paths of each home): spans are maximal runs of words of a document that
+    follow, window by window, one run of a document with a smaller id. A path is a span's source
+    and hash; it is sound if the source text has that hash. Paths are few where spans are many."""
     n = n_homes or measure(docs, per_group=_HOME_BYTES)
     bits = bucket_bits(n * _HOME_BYTES // 6)
     base = homes(docs, n, more=more)
@@ -257,11 +266,13 @@ def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, mor
     sent = by_home.cogroup(flags.groupBy("home")).applyInArrow(_send_edges(k, bits), _SENT)
     sources = sent.groupBy("bucket").applyInArrow(_resolve, _SOURCES)
     spans = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k), _SPANS).repartition("home")  # an exchange that both uses share
-    paths = spans.groupBy("src_doc", "src_start", "edges").agg(F.count(F.lit(1)).alias("uses"))
-    paths = paths.select(F.pmod(F.xxhash64("src_doc"), F.lit(n)).alias("home"), "src_doc", "src_start", "edges")
+    key = ["src_doc", "src_start", "edges"]
+    of_home = spans.groupBy("home", *key, "span_hash").agg(F.count(F.lit(1)).alias("uses"))
+    paths = of_home.groupBy(*key).agg(F.sum("uses").alias("uses"))
+    paths = paths.select(F.pmod(F.xxhash64("src_doc"), F.lit(n)).alias("home"), *key)
     read = by_home.cogroup(paths.groupBy("home")).applyInArrow(_read_sources(k), _READ)
-    verified = spans.join(read, ["src_doc", "src_start", "edges"]).where("span_hash = src_hash").drop("src_hash", "span_hash")
-    return base, verified
+    sound = of_home.join(read, key).where("span_hash = src_hash").select("home", *key, "span_hash")
+    return base, spans, sound
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
@@ -269,7 +280,9 @@ def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes:
     every word that a window of k words covers whose sequence also starts in a document with a
     smaller id. Runs of words that stay keep their white space and are joined by a space; with
     ``digest``, ``kept`` is the SHA-256 of the words that stay, joined by single spaces."""
-    base, spans = repeated_spans(docs, k, n_homes, more)
+    base, spans, sound = repeated_spans(docs, k, n_homes, more)
+    marked = sound.withColumn("row", F.lit(-1)).withColumn("start", F.lit(0))
+    spans = spans.unionByName(marked)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([_RESULT, *(f"{c} {kinds[c]}" for c in more)])
     return base.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut(k, digest, more), schema)
