@@ -5,15 +5,16 @@ prefix and suffix. An edge's *source* is its first occurrence in the document
 with the smallest id. Where the edges of a document follow each other and
 their sources do too, the path does not branch against the source document and
 is compacted to one span ``(doc, start, edges, source doc, source start)``;
-a branch is where the source jumps. Equal source spans of all documents are
-then compacted by a Spark aggregate, read again from the source text at their
-coordinates, and joined back by home, so that a hash collision cannot remove text.
+a branch is where the source jumps. The spans are joined with the homes of their
+sources; there, equal source spans of all documents are compacted to one path,
+read again from the source text at its coordinates, and only spans with its hash
+return, so that a hash collision cannot remove text.
 
 Plan. Documents are dealt to homes (groups of about 3 MB of text) once; that
 exchange serves every later step. (1) A filter of 32 bits an edge finds the
 edges that another home has too. (2) Only those, and edges repeated inside
 their home, are resolved to their sources by full 64-bit hashes. (3) Spans are
-compacted, joined and verified. Steps 1 and 2 send an edge once for a home, so
+joined with their sources and verified, packed by pairs of homes. Steps 1 and 2 send an edge once for a home, so
 a passage found in a third of all documents costs an entry per home, and no
 group of copies meets in one task.
 
@@ -29,10 +30,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
-from .text import chunks, measure, mix, prefix, scan, span_hash, word_hashes
+from .text import chunks, measure, prefix, scan, span_hash, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _HOME_BYTES = 3 << 20
@@ -144,15 +144,38 @@ def _resolve(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(out["home"], pa.int64()), *(pa.array(out[n], pa.binary()) for n in ("keys", "docs", "pos"))], names=list(out))
 
 
-_SPANS = "home long, row int, start int, edges int, src_doc long, src_start int, span_hash long"
+def home_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The home of a doc_id: pmod(xxhash64(id), n) as Spark computes it for a long with seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(ids), 42, np.uint64) + p5 + np.uint64(8)
+    h ^= turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), n)
 
 
-def _compact(k: int):
-    """Compacts edges whose sources follow each other to spans."""
+_PARTS = (("row", np.int32), ("start", np.int32), ("edges", np.int32), ("src_doc", np.int64), ("src_start", np.int32), ("span_hash", np.int64))
+_SPANS = "home long, src_home long, " + ", ".join(f"{n} binary" for n, _ in _PARTS)
+_NAMES = ["home", "src_home", *(n for n, _ in _PARTS)]
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """One row for each pair of homes, with arrays in binary cells."""
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([pack(r[2][i].astype(t)) for r in rows], pa.binary()) for i, (_, t) in enumerate(_PARTS))], names=_NAMES)
+
+
+def _arrays(t: pa.Table) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t[n].to_pylist())]) for n, kind in _PARTS]
+
+
+def _compact(k: int, n_homes: int):
+    """Compacts edges whose sources follow each other to spans, sent to the homes of their sources."""
 
     def run(t: pa.Table, cells: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())], names=["home", "row", "start", "edges", "src_doc", "src_start", "span_hash"])
+            return _rows([])
         h = _Home(t, k)
         keys, at, number, _ = h.distinct()
         src_doc, src_pos = h.ids[h.doc[at]].copy(), h.pos[at].astype(np.int64)
@@ -166,51 +189,49 @@ def _compact(k: int):
         head = np.flatnonzero(np.concatenate([[True], ~cont])) if len(d) else np.zeros(0, np.int64)
         n = np.diff(np.append(head, len(d)))
         first = h.first[later[head]]
-        check = span_hash(h.sums, first, first + n + k - 1, seed=7)
-        return pa.table(
-            {
-                "home": pa.array(np.full(len(head), t["home"][0].as_py(), np.int64)), "row": pa.array(d[head].astype(np.int32)), "start": pa.array(p[head].astype(np.int32)),
-                "edges": pa.array(n.astype(np.int32)), "src_doc": pa.array(sd[head]), "src_start": pa.array(sp[head].astype(np.int32)), "span_hash": pa.array(check.view(np.int64)),
-            }
-        )
+        check = span_hash(h.sums, first, first + n + k - 1, seed=7).view(np.int64)
+        to = home_of(sd[head], n_homes)
+        order = np.argsort(to, kind="stable")
+        parts = [x[order] for x in (d[head], p[head], n, sd[head], sp[head], check)]
+        cut = np.flatnonzero(np.diff(to[order])) + 1
+        bounds = np.concatenate([[0], cut, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+        return _rows([(t["home"][0].as_py(), int(to[order][a]), [x[a:b] for x in parts]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
     return run
 
 
-_READ = "src_doc long, src_start int, edges int, src_hash long"
-
+def _verify(k: int):
+    """Compacts equal source spans of all homes, reads each once more from its document, and
+    returns to every home the spans whose hash the source has."""
 
-def _read_sources(k: int):
-    """Reads each distinct source span again from its document."""
-
-    def run(t: pa.Table, paths: pa.Table) -> pa.Table:
-        doc, start, edges = (paths[n].to_numpy() for n in ("src_doc", "src_start", "edges"))
-        if not t.num_rows or not paths.num_rows:
-            doc, start, edges = doc[:0], start[:0], edges[:0]
-            got = np.zeros(0, np.uint64)
-        else:
-            h = _Home(t, k)
-            row = np.searchsorted(h.ids, doc)
-            # A doc_id may stand for several rows: the span is looked up in the row that has it.
-            got = np.zeros(len(doc), np.uint64)
-            fits = np.zeros(len(doc), bool)
-            for step in range(int(np.max(np.unique(h.ids, return_counts=True)[1]))):
-                r = np.minimum(row + step, len(h.ids) - 1)
-                ok = ~fits & (h.ids[r] == doc) & (start + edges + k - 1 <= h.counts[r])
-                a = h.bounds[r[ok]] + start[ok]
-                got[ok] = span_hash(h.sums, a, a + edges[ok] + k - 1, seed=7)
-                fits |= ok
-            doc, start, edges, got = doc[fits], start[fits], edges[fits], got[fits]
-        return pa.table({"src_doc": pa.array(doc, pa.int64()), "src_start": pa.array(start, pa.int32()), "edges": pa.array(edges, pa.int32()), "src_hash": pa.array(got.view(np.int64))})
+    def run(t: pa.Table, spans: pa.Table) -> pa.Table:
+        if not t.num_rows or not spans.num_rows:
+            return _rows([])
+        h = _Home(t, k)
+        row, start, edges, doc, src, check = _arrays(spans)
+        path, which = np.unique(np.stack([doc, src.astype(np.int64), edges.astype(np.int64)]), axis=1, return_inverse=True)
+        which = which.ravel()
+        p_doc, p_start, p_edges = path
+        got, fits, at = np.zeros(path.shape[1], np.uint64), np.zeros(path.shape[1], bool), np.searchsorted(h.ids, p_doc)
+        # A doc_id may stand for several rows: the span is looked up in the first row that is long enough.
+        sound = np.zeros(len(row), bool)
+        for step in range(int(np.unique(h.ids, return_counts=True)[1].max())):
+            r = np.minimum(at + step, len(h.ids) - 1)
+            fits = (h.ids[r] == p_doc) & (p_start + p_edges + k - 1 <= h.counts[r])
+            a = h.bounds[r[fits]] + p_start[fits]
+            got[fits] = span_hash(h.sums, a, a + p_edges[fits] + k - 1, seed=7)
+            sound |= fits[which] & (got[which] == check.view(np.uint64))
+        ends = np.cumsum([len(x) // 4 for x in spans["row"].to_pylist()])
+        out = []
+        for home, a, b in zip(spans["home"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            s = np.flatnonzero(sound[a:b]) + a
+            if len(s):
+                out.append((home, t["home"][0].as_py(), [x[s] for x in (row, start, edges, doc, src, check)]))
+        return _rows(out)
 
     return run
 
 
-def _path_key(src_doc, src_start, edges, span_hash) -> np.ndarray:
-    key = mix(src_doc.astype(np.int64).view(np.uint64)) + (src_start.astype(np.uint64) << np.uint64(32)) + edges.astype(np.uint64)
-    return mix(key) ^ span_hash.astype(np.int64).view(np.uint64)
-
-
 _RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
 
 
@@ -222,10 +243,7 @@ def _cut(k: int, digest: bool, more: tuple[str, ...]):
         raw = ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(raw, kind="stable")
         texts = t["text"].take(pa.array(order))
-        row, start, edges = (spans[n].to_numpy() for n in ("row", "start", "edges"))
-        path = _path_key(*(spans[n].to_numpy() for n in ("src_doc", "src_start", "edges", "span_hash")))
-        sound = (row >= 0) & np.isin(path, path[row < 0])
-        row, start, edges = row[sound], start[sound], edges[sound]
+        row, start, edges = (x.astype(np.int64) for x in _arrays(spans)[:3])
         n_spans = np.bincount(row, minlength=len(order))
         words, removed, kept = [], [], []
         for rows, buf, offsets in chunks(texts):
@@ -254,10 +272,9 @@ def _cut(k: int, digest: bool, more: tuple[str, ...]):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(homes, spans, sound paths of each home): spans are maximal runs of words of a document that
-    follow, window by window, one run of a document with a smaller id. A path is a span's source
-    and hash; it is sound if the source text has that hash. Paths are few where spans are many."""
+def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(homes, verified spans): spans are maximal runs of words of a document that follow, window by
+    window, one run of a document with a smaller id; a row holds those between two homes."""
     n = n_homes or measure(docs, per_group=_HOME_BYTES)
     bits = bucket_bits(n * _HOME_BYTES // 6)
     base = homes(docs, n, more=more)
@@ -265,14 +282,8 @@ def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, mor
     flags = repeated_bits(by_home.applyInArrow(_send_filter(k, bits), "home long, bucket long, keys binary"))
     sent = by_home.cogroup(flags.groupBy("home")).applyInArrow(_send_edges(k, bits), _SENT)
     sources = sent.groupBy("bucket").applyInArrow(_resolve, _SOURCES)
-    spans = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k), _SPANS).repartition("home")  # an exchange that both uses share
-    key = ["src_doc", "src_start", "edges"]
-    of_home = spans.groupBy("home", *key, "span_hash").agg(F.count(F.lit(1)).alias("uses"))
-    paths = of_home.groupBy(*key).agg(F.sum("uses").alias("uses"))
-    paths = paths.select(F.pmod(F.xxhash64("src_doc"), F.lit(n)).alias("home"), *key)
-    read = by_home.cogroup(paths.groupBy("home")).applyInArrow(_read_sources(k), _READ)
-    sound = of_home.join(read, key).where("span_hash = src_hash").select("home", *key, "span_hash")
-    return base, spans, sound
+    spans = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k, n), _SPANS)
+    return base, by_home.cogroup(spans.groupBy("src_home")).applyInArrow(_verify(k), _SPANS)
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
@@ -280,9 +291,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes:
     every word that a window of k words covers whose sequence also starts in a document with a
     smaller id. Runs of words that stay keep their white space and are joined by a space; with
     ``digest``, ``kept`` is the SHA-256 of the words that stay, joined by single spaces."""
-    base, spans, sound = repeated_spans(docs, k, n_homes, more)
-    marked = sound.withColumn("row", F.lit(-1)).withColumn("start", F.lit(0))
-    spans = spans.unionByName(marked)
+    base, spans = repeated_spans(docs, k, n_homes, more)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([_RESULT, *(f"{c} {kinds[c]}" for c in more)])
     return base.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut(k, digest, more), schema)
