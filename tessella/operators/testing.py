@@ -106,12 +106,12 @@ def empirical_fdr(observed: DataFrame, permuted: DataFrame) -> DataFrame:
     running minimum from the lowest score. Counts come from one merged order."""
     perms = permuted.agg(F.countDistinct("perm").cast("double").alias("b"))
     o = ordered(observed.withColumn("p", F.col("score")), "p", descending=True)
-    both = observed.select("id", "score", F.lit(0).alias("null")).unionByName(permuted.select(F.lit(None).cast("long").alias("id"), "score", F.lit(1).alias("null")))
+    both = observed.select("id", "score", F.lit(0).alias("fake")).unionByName(permuted.select(F.lit(None).cast("long").alias("id"), "score", F.lit(1).alias("fake")))
     m = ordered(both.withColumn("p", F.col("score")).withColumn("id", F.coalesce("id", F.lit(-1))), "p", descending=True)
-    blocks = m.groupBy("_block").agg(F.sum("null").alias("_c"))
+    blocks = m.groupBy("_block").agg(F.sum("fake").alias("_c"))
     blocks = blocks.select("_block", F.coalesce(F.sum("_c").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     at_least = Window.partitionBy("_block").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    nulls = m.withColumn("_n", F.sum("null").over(at_least)).join(F.broadcast(blocks), "_block").where("null = 0").select("id", (F.col("_n") + F.col("_o")).alias("above"))
+    nulls = m.withColumn("_n", F.sum("fake").over(at_least)).join(F.broadcast(blocks), "_block").where("fake = 0").select("id", (F.col("_n") + F.col("_o")).alias("above"))
     d = o.join(nulls, "id").crossJoin(F.broadcast(perms))
     out = running(d, F.col("above") / F.col("b") / F.col("rank"), "q")
     return out.select("id", "score", F.least(F.lit(1.0), F.col("q")).alias("q"))
