@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """Writes ``df`` as a table in the shared checkpoint folder and goes on from it. Unlike a
+    checkpointed plan, a table carries no inferred constraints, which grow with every round."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int, tol: float | None = None, key: str = "id", value: str = "x", norm: str = "l1") -> DataFrame:

@@ -17,15 +17,13 @@ from .partitions import modularity
 
 
 def _move(edges: DataFrame, labels: DataFrame, resolution: float, seed: int, inside: DataFrame | None = None) -> DataFrame:
-    """One round: ``id, label`` after the best moves of half of the nodes. ``inside`` (``id, c``) keeps
-    moves within communities (refinement)."""
+    """One round: ``id, label`` after the best moves of half of the nodes. ``inside`` are the edges
+    along which nodes may move (those within communities, for refinement)."""
     m2 = edges.agg(F.sum("w")).first()[0] or 1.0
     k = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
     lab = labels.join(k, "id", "left").fillna(0.0, ["k"])
     tot = lab.groupBy("label").agg(F.sum("k").alias("tot"))
-    e = edges.where("src <> dst")
-    if inside is not None:
-        e = e.join(inside.select(F.col("id").alias("src"), F.col("c").alias("c1")), "src").join(inside.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").where("c1 = c2")
+    e = (edges if inside is None else inside).where("src <> dst")
     to = e.join(lab.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("wc"))
     own = lab.select("id", "label", F.lit(0.0).alias("wc"))
     cand = to.unionByName(own).groupBy("id", "label").agg(F.sum("wc").alias("wc"))
@@ -88,7 +86,8 @@ def leiden(g: Graph, resolution: float = 1.0, max_levels: int = 5, max_rounds: i
             break
         best, q = new, now
         single = nodes.select("id", F.col("id").alias("label"))
-        fine = _local_moving(edges, single, resolution, max_rounds, seed + 100 * level + 50, part.withColumnRenamed("label", "c"))
+        within = edges.join(part.select(F.col("id").alias("src"), F.col("label").alias("c")), "src").join(part.select(F.col("id").alias("dst"), F.col("label").alias("c")), ["dst", "c"])
+        fine = _local_moving(edges, single, resolution, max_rounds, seed + 100 * level + 50, cut(within.select("src", "dst", "w")))
         flat = cut(flat.join(fine.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.col("up").alias("label")))
         start = cut(fine.join(part.withColumnRenamed("label", "c"), "id").groupBy(F.col("label").alias("id")).agg(F.min("c").alias("label")))
         start = cut(start.join(start.groupBy("label").agg(F.min("id").alias("rep")), "label").select("id", F.col("rep").alias("label")))

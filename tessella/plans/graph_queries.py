@@ -249,6 +249,7 @@ q("predict_future_state", lambda n: V.predict_future(Graph(G.row_stochastic(_sma
 q("velocity_terminals", lambda n: V.velocity_terminals(n.graph, n.values.select("id", F.abs("value").alias("value")), 0.3, 3.0))
 # --- communities, randomised, optimisation -----------------------------------
 q("louvain", lambda n: C.louvain(n.graph, max_levels=2, max_rounds=4))
+q("leiden", lambda n: C.leiden(n.graph, max_levels=1, max_rounds=3))
 q("kmeans", lambda n: C.kmeans(n.long_vectors, 4, 5))
 q("spatial_domain", lambda n: C.spatial_domains(n.points, n.long_vectors, 3))
 q("hierarchical_clustering", lambda n: C.hierarchical(n.nbrs.where("row < nbr and row < 100").select(F.col("row").alias("a"), F.col("nbr").alias("b"), F.col("dist").alias("d")), 500))
