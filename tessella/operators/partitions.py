@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..loops import cut, iterate
+from ..loops import cut
 from ..model import Graph, Matrix
 from .information import count_entropy_agg
 
@@ -295,4 +295,4 @@ def community_members(labels: DataFrame, community: int) -> DataFrame:
     return labels.where(F.col("label") == community).select("id")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "iterate")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

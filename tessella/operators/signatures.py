@@ -14,7 +14,7 @@ from ..loops import cut
 from ..model import Matrix, zero
 from .matrix import col_moments, group_stats, pearson, pearson_with, row_moments
 from .neighbors import weighted_vote
-from .stats import bounded_log_ratio, cohens_d, two_group_stats
+from .stats import cohens_d, two_group_stats
 
 # --- scores of column sets per row -------------------------------------------
 
@@ -841,4 +841,4 @@ def silhouette(dists: DataFrame, labels: DataFrame) -> DataFrame:
     return s.select("row", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("s"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "bounded_log_ratio")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import EPS, chisq_sf, f_sf, log2_fold_change, t_two_sided, two_sided
+from ..functions.special import chisq_sf, f_sf, log2_fold_change, t_two_sided, two_sided
 from ..model import Matrix
 from .matrix import group_stats
 
@@ -236,4 +236,4 @@ def condition_response(a: Matrix, conditions: DataFrame) -> DataFrame:
     return _response(a, conditions)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "EPS")]
+__all__ = [n for n in dir() if not n.startswith("_") and n != "annotations"]
