@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_stats(stream: DataFrame, key: str, value: str, time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``start, key, n, total, mean, var`` of tumbling windows; rows later than the watermark are dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks take zoned timestamps
     g = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key))
     return g.agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.var_samp(value).alias("var")).select(F.col("w.start").alias("start"), key, "n", "total", "mean", "var")
 

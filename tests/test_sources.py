@@ -30,7 +30,7 @@ def test_windowed_stats_equal_batch(spark, tmp_path):
         got = {(r.start, r.event_type): r.n for r in spark.table("stats").collect()}
     finally:
         q.stop()
-    want = {(r.w.start, r.event_type): r.n for r in ev.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("value").alias("n")).collect()}
+    want = {(r.w.start, r.event_type): r.n for r in ev.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("value").alias("n")).collect()}
     assert got == want
 
 
