@@ -5,8 +5,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles.
 1. Equal sets are one class by a fingerprint; only a representative goes on.
 2. A pair at similarity t shares at least t*n tokens of either set. So of the
    lowest half of a set's tokens (p of n), at least p - (n - t*n) must occur in
-   another set; a packed exchange of 32 bits a token drops the sets where they
-   do not. What is left are near copies and little else.
+   another set, and then so many are among that set's lowest half and one more:
+   those are published. A packed exchange of 32 bits a token drops the sets
+   where they do not. What is left are near copies and little else.
 3. For those, token frequencies are counted exactly; tokens are ordered rarest
    first, and the first n - t*n + 1 of each set (less those that no other set
    has) are its prefix: similar sets share a prefix token.
@@ -79,12 +80,13 @@ class _Sets:
         self.keys, self.n, self.set_id = self.keys[stay], self.n[rows], self.set_id[rows]
         self.doc, self.bounds = np.repeat(np.arange(len(rows)), self.n), np.concatenate([[0], np.cumsum(self.n)])
 
-    def probes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted keys, their sets) of the lower half of each set."""
-        at = np.arange(len(self.keys)) - self.bounds[self.doc] < (self.n[self.doc] + 1) // 2
-        keys, doc = self.keys[at], self.doc[at]
+    def probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted keys, their sets, whether tested) of the lower half of each set and one more, that is only published."""
+        place, half = np.arange(len(self.keys)) - self.bounds[self.doc], (self.n[self.doc] + 1) // 2
+        at = place <= half
+        keys, doc, tested = self.keys[at], self.doc[at], (place < half)[at]
         order = np.argsort(keys, kind="stable")
-        return keys[order], doc[order]
+        return keys[order], doc[order], tested[order]
 
 
 def _profile(k: int):
@@ -128,7 +130,7 @@ def _candidates(k: int, bits: int, percent: int):
         if t.num_rows and marks.num_rows:
             s = _Sets(t, k)
             s.keep(_marks(marks))
-            keys, doc = s.probes()
+            keys, doc, tested = s.probes()
             distinct, count = _distinct(keys)
             got = {b: x for b, x in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True) if x is not None}
             hit = count > 1
@@ -136,7 +138,7 @@ def _candidates(k: int, bits: int, percent: int):
             for b, i, j in zip(buckets, at[:-1], at[1:], strict=True):
                 if cell := got.get(int(b)):
                     hit[i:j] |= np.unpackbits(np.frombuffer(cell, np.uint8), count=j - i).astype(bool)
-            shared = np.bincount(doc, np.repeat(hit, count), minlength=len(s.n))
+            shared = np.bincount(doc, np.repeat(hit, count) & tested, minlength=len(s.n))
             for i in np.flatnonzero((s.n > 0) & (shared >= (s.n + 1) // 2 - (s.n - least_overlap(s.n, percent)))):
                 for name, x in (("home", t["home"][0].as_py()), ("set_id", int(s.set_id[i])), ("n", int(s.n[i])), ("tokens", pack(s.keys[s.bounds[i] : s.bounds[i + 1]]))):
                     out[name].append(x)

@@ -294,6 +294,39 @@ def test_jaccard_chain(spark):
     assert similar_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_three_against_four(spark):
+    """Three shingles of four, wherever the fourth stands among their hashes."""
+    from tessella.llm.jaccard_join import similar_components
+
+    rows = []
+    for i in range(40):
+        w = [f"p{i}x{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[1:] if i % 2 else w[:-1]))]
+    want = brute_components(rows, 5, 75)
+    assert len({c for _, _, c in want}) == 40
+    for homes in (1, 5):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_components(frame(spark, rows), n_homes=homes).collect())
+        assert got == want
+
+
+def test_jaccard_published_tokens():
+    """The tested lower half of a set meets enough published tokens of every similar set, at the worst placement."""
+    from tessella.llm.jaccard_join import _Sets, least_overlap
+
+    for n in range(1, 130):
+        s = _Sets.__new__(_Sets)
+        s.keys, s.doc, s.n, s.bounds = np.arange(n, dtype=np.uint64), np.zeros(n, np.int64), np.array([n]), np.array([0, n])
+        keys, _, tested = s.probes()
+        assert (len(keys), tested.sum()) == (min(n, (n + 1) // 2 + 1), (n + 1) // 2)
+    for percent in range(75, 101):
+        for n in range(1, 130):
+            half = (n + 1) // 2
+            for both in range(least_overlap(n, percent), n + 1):
+                m = np.arange(both, (100 + percent) * both // percent - n + 1)
+                hits = np.minimum(half - (n - both), np.minimum(m, (m + 1) // 2 + 1) - (m - both))
+                assert (np.maximum(hits, 0) >= half - (n - least_overlap(n, percent))).all()
+
+
 def model_path():
     P = pytest.importorskip("public_tokenizers")
     return P.path("piece_bpe_32k.model")
