@@ -109,12 +109,11 @@ q("largest_component", lambda n: G.largest_component(n.graph), REACH + "SELECT i
 HOP = E.replace("WITH ", "WITH RECURSIVE ", 1) + ", bf AS (SELECT 0 AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM bf JOIN e ON e.src = bf.id WHERE hops < 12), h AS (SELECT id, min(hops) AS hops FROM bf GROUP BY 1) "
 q("bfs", lambda n: G.bfs(n.graph, [0]).select("id", "hops"), HOP + "SELECT nd.id AS id, coalesce(h.hops, -1) AS hops FROM nd LEFT JOIN h ON h.id = nd.id", "", "id hops")
 q("multi_source_bfs", lambda n: G.bfs(n.graph, [0, 1, 2]))
-_small = lambda n: Graph(n.graph.edges.where("src % 10 < 2 and dst % 10 < 2").select("src", "dst", "w"), n.graph.nodes.where("id % 10 < 2"))
-q("graph_diameter", lambda n: G.graph_diameter(_small(n)))
-q("average_path_length", lambda n: G.average_path_length(_small(n)))
-q("closeness_centrality", lambda n: G.closeness_centrality(_small(n)))
-q("harmonic_centrality", lambda n: G.harmonic_centrality(_small(n)))
-q("betweenness_centrality", lambda n: G.betweenness_centrality(_small(n)))
+q("graph_diameter", lambda n: G.graph_diameter(n.graph))
+q("average_path_length", lambda n: G.average_path_length(n.graph))
+q("closeness_centrality", lambda n: G.closeness_centrality(n.graph))
+q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph))
+q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph))
 q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
 q("pagerank", lambda n: G.pagerank(n.graph, max_iter=12, tol=1e-4))
@@ -131,7 +130,7 @@ q("lazy_random_walk", lambda n: G.diffuse_vector(Graph(G.row_stochastic(n.graph)
 q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4))
 q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1], max_iter=8))
 q("compute_dpt", lambda n: G.dpt(Graph(G.row_stochastic(n.graph), n.graph.nodes), 0, 8))
-q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(_small(n)), _small(n).nodes), 2))
+q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
 q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=10))
 q("identify_terminal_states", lambda n: G.terminal_states(n.graph), UND + "SELECT id, d <= 1 AS terminal FROM dg", "", "id")
 q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=10))
@@ -148,8 +147,8 @@ q("label_spreading", lambda n: G.hard_labels(G.label_spreading(n.graph, _seed(n)
 q("confidence_propagation", lambda n: G.confidence_propagation(n.graph, _seed(n).withColumn("confidence", F.lit(1.0)), max_iter=5).select("id", "label"))
 q("init_soft_labels", lambda n: G.soft_labels(_seed(n), 10, 0.9), with_("ty") + "SELECT id, k AS label, CASE WHEN id % 7 <> 0 THEN 0.1 WHEN type = k THEN 0.9 ELSE 0.1 / 9 END AS x FROM ty CROSS JOIN (SELECT unnest(range(0, 10)) AS k)", "x", "id label")
 q("inductive_transfer", lambda n: G.inductive_transfer(n.nbrs.where("row % 2 = 1 and nbr % 2 = 0").select(F.col("row").alias("query"), F.col("nbr").alias("ref"), F.lit(1.0).alias("w")), _batches(n), n.vectors.where("id % 2 = 1").select("id"), 0.6), NB + ", v AS (SELECT i AS id, k % 3 AS label, count(*) AS w FROM nb WHERE i % 2 = 1 AND k % 2 = 0 GROUP BY 1, 2), b AS (SELECT id, label, w / sum(w) OVER (PARTITION BY id) AS c FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) SELECT vec.id AS id, CASE WHEN c >= 0.6 THEN b.label ELSE -1 END AS label FROM vec LEFT JOIN b ON b.id = vec.id WHERE vec.id % 2 = 1", "", "id label")
-q("dijkstra", lambda n: G.shortest_paths(_small(n), [0, 1]))
-q("graph_pseudotime", lambda n: G.graph_pseudotime(_small(n), 0))
+q("dijkstra", lambda n: G.shortest_paths(n.graph, [0, 1]))
+q("graph_pseudotime", lambda n: G.graph_pseudotime(n.graph, 0))
 q("select_root_cell", lambda n: G.select_root(n.values), with_("val") + "SELECT id FROM val ORDER BY value, id LIMIT 1", "", "id")
 q("select_root_peripheral", lambda n: G.select_root_peripheral(n.graph), E + "SELECT src AS id FROM e GROUP BY 1 ORDER BY avg(w) DESC, src LIMIT 1", "", "id")
 q("detect_branch_points", lambda n: G.branch_points(n.graph, _pt(n), 0.05), EV + ", s AS (SELECT src, count(*) AS d, sum(CASE WHEN b.value < a.value - 0.05 THEN 1 ELSE 0 END) AS x, sum(CASE WHEN b.value > a.value + 0.05 THEN 1 ELSE 0 END) AS y FROM e JOIN val a ON a.id = src JOIN val b ON b.id = dst GROUP BY 1) SELECT src AS id FROM s WHERE d >= 3 AND ((x >= 1 AND y >= 2) OR (x >= 2 AND y >= 1))", "", "id")
@@ -244,8 +243,8 @@ q("velocity_embedding", lambda n: V.velocity_embedding(n.long_vectors.withColumn
 q("velocity_grid", lambda n: V.velocity_grid(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), 6), with_("pts val") + ", c AS (SELECT least(5, floor((x - min(x) OVER ()) / ((max(x) OVER () - min(x) OVER ()) / 6))) AS gx, least(5, floor((y - min(y) OVER ()) / ((max(y) OVER () - min(y) OVER ()) / 6))) AS gy, value FROM pts JOIN val USING (id)) SELECT gx, gy, avg(value) AS vx, avg(-value) AS vy, count(*) AS n FROM c GROUP BY 1, 2", "vx vy", "gx gy n")
 q("velocity_divergence", lambda n: V.velocity_divergence(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), n.nbrs))
 q("select_root_by_velocity", lambda n: V.select_root_by_velocity(n.graph), E + "SELECT id FROM nd LEFT JOIN e ON dst = id GROUP BY id ORDER BY coalesce(sum(w), 0), id LIMIT 1", "", "id")
-q("latent_time", lambda n: V.latent_time(_small(n), 0))
-q("predict_future_state", lambda n: V.predict_future(Graph(G.row_stochastic(_small(n)), _small(n).nodes), 2))
+q("latent_time", lambda n: V.latent_time(n.graph, 0))
+q("predict_future_state", lambda n: V.predict_future(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
 q("velocity_terminals", lambda n: V.velocity_terminals(n.graph, n.values.select("id", F.abs("value").alias("value")), 0.3, 3.0))
 # --- communities, randomised, optimisation -----------------------------------
 q("louvain", lambda n: C.louvain(n.graph, max_levels=2, max_rounds=4))
