@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import cut
+from .stage import cut, store
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component``: the smallest id that each linked id (a long) reaches.
 
     Ids that are the smallest of their component, or have no link, are absent; nulls and self-links are ignored. A round is two
-    aggregates, each with a map-side minimum, and joins to them; a hub's edges stay rows that
-    the planner may split. The number of rounds grows with the logarithm of the ids.
+    aggregates, each with a map-side minimum, and joins to them. The minima are written as tables:
+    the join then reads its sides from shuffles of their own (or broadcasts a small table by its
+    known size), so that the planner splits a hub's edges. The number of rounds grows with the
+    logarithm of the ids.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import cut
+from .stage import cut, store
 
 BLOCK, LEADING, CELL_DIMS, SMALL = 2048, 8, 3, 256
 
@@ -228,8 +228,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     found = cut(found)
     root = components(found, "key", "link").select(F.col("id").alias("key"), F.col("component").alias("root"))
     degrees = found.groupBy("key").agg(F.sum("degree").alias("degree"))
-    c = classes.select("key", "m", "first").join(degrees, "key", "left").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    c = c.join(c.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    c = cut(classes.select("key", "m", "first").join(degrees, "key", "left").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    c = c.join(store(c.groupBy("root").agg(F.min("first").alias("component_id"))), "root")  # a hot root's rows can be split
     c = c.select("key", (F.coalesce("degree", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
     out = v.select("vec_id", "key").join(c, "key", "left")
     component = F.coalesce("component_id", "vec_id")

@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard self-join and its connected components.
 
-A document's set holds the 64-bit hashes of its distinct word shingles.
+A document's set holds the 64-bit hashes of its distinct word shingles (a pair of
+sets of n and m shingles is misjudged with a chance of n*m / 2**64).
 
-1. Equal sets are one class by a fingerprint; only a representative goes on.
+1. Equal sets are one class by two fingerprints of 64 bits; only a representative goes on.
 2. A pair at similarity t shares at least t*n tokens of either set. So of the
    lowest half of a set's tokens (p of n), at least p - (n - t*n) must occur in
    another set, and then so many are among that set's lowest half and one more:
@@ -36,8 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
-from .stage import cut
+from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits, row_key
+from .stage import cut, store
 from .text import chunks, measure, mix, prefix, scan, span_hash, word_hashes
 
 _HOME_BYTES = 3 << 20
@@ -69,15 +70,20 @@ class _Sets:
         self.keys, self.doc = keys[new], doc[new]
         self.n = np.bincount(self.doc, minlength=len(n))
         self.bounds = np.concatenate([[0], np.cumsum(self.n)])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.keys, 11))])
-        self.set_id = mix((total[self.bounds[1:]] - total[self.bounds[:-1]]) + self.n.astype(np.uint64), 12).view(np.int64)
-
-    def keep(self, ids: np.ndarray) -> None:
-        """Keeps one row for each of the given set ids."""
-        rows = np.unique(self.set_id, return_index=True)[1]
-        rows = np.sort(rows[np.isin(self.set_id[rows], ids)])
+        self.print_a, self.print_b = self._fingerprint(11), self._fingerprint(13)
+
+    def _fingerprint(self, seed: int) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.keys, seed))])
+        return mix((total[self.bounds[1:]] - total[self.bounds[:-1]]) + self.n.astype(np.uint64), seed + 1).view(np.int64)
+
+    def keep(self, marks: pa.Table) -> None:
+        """Keeps one row for each class of the marks, under the class's id."""
+        cells = [x for x in marks["ids"].to_pylist() if x]
+        wanted = {(c["print_a"], c["print_b"]): c["set_id"] for x in cells for c in x}
+        found = [(i, c) for i, p in enumerate(zip(self.print_a.tolist(), self.print_b.tolist(), strict=True)) if (c := wanted.pop(p, None)) is not None]
+        rows = np.array([i for i, _ in found], np.int64)
         stay = np.isin(self.doc, rows)
-        self.keys, self.n, self.set_id = self.keys[stay], self.n[rows], self.set_id[rows]
+        self.keys, self.n, self.set_id = self.keys[stay], self.n[rows], np.array([c for _, c in found], np.int64)
         self.doc, self.bounds = np.repeat(np.arange(len(rows)), self.n), np.concatenate([[0], np.cumsum(self.n)])
 
     def probes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +98,7 @@ class _Sets:
 def _profile(k: int):
     def run(t: pa.Table) -> pa.Table:
         s = _Sets(t, k)
-        return pa.table({"home": t["home"], "doc_id": t["doc_id"], "n": pa.array(s.n.astype(np.int64)), "set_id": pa.array(s.set_id)})
+        return pa.table({"home": t["home"], "key": t["key"], "doc_id": t["doc_id"], "n": pa.array(s.n.astype(np.int64)), "print_a": pa.array(s.print_a), "print_b": pa.array(s.print_b)})
 
     return run
 
@@ -103,16 +109,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.append(at, len(keys)))
 
 
-def _marks(t: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in t["ids"].to_pylist() if x)])
-
-
 def _send_probes(k: int, bits: int):
     def run(t: pa.Table, marks: pa.Table) -> pa.Table:
         rows, home = [], None
         if t.num_rows and marks.num_rows:
             s, home = _Sets(t, k), t["home"][0].as_py()
-            s.keep(_marks(marks))
+            s.keep(marks)
             keys = _distinct(s.probes()[0])[0]
             buckets, at = cuts(keys, bits)
             low = low32(keys, bits)
@@ -129,7 +131,7 @@ def _candidates(k: int, bits: int, percent: int):
         out = {"home": [], "set_id": [], "n": [], "tokens": []}
         if t.num_rows and marks.num_rows:
             s = _Sets(t, k)
-            s.keep(_marks(marks))
+            s.keep(marks)
             keys, doc, tested = s.probes()
             distinct, count = _distinct(keys)
             got = {b: x for b, x in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True) if x is not None}
@@ -292,9 +294,9 @@ def _pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.join(other, ["token", "tile"]).where("set_id > b and component <> other").where(most).select(F.col("set_id").alias("a"), "b")
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", n_homes: int | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: components of the documents whose shingle sets have a
-    Jaccard similarity of at least ``percent`` / 100 (at least 75: a band spans a factor of 4/3)."""
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, n_homes: int | None) -> DataFrame:
+    """``doc_id, key, n, component, component_id`` of every row; ``component`` is null for empty sets
+    and ``component_id``, the smallest doc_id, also where a component has none."""
     if not 75 <= percent <= 100:
         raise ValueError("percent must be 75 to 100")
     n = n_homes or measure(docs, text_col, _HOME_BYTES)
@@ -302,13 +304,15 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     base = homes(docs, n, id_col, text_col)
     by_home = base.groupBy("home")
 
-    profile = cut(by_home.applyInArrow(_profile(k), "home long, doc_id long, n long, set_id long"))
-    classes = profile.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "home")).alias("m"), F.max("n").alias("n"))
-    classes = classes.select("set_id", F.col("m.doc_id").alias("first"), F.col("m.home").alias("home"))
-    marks = classes.groupBy("home").agg(F.collect_list("set_id").alias("ids"))  # of a home of bounded size
+    profile = cut(by_home.applyInArrow(_profile(k), "home long, key long, doc_id long, n long, print_a long, print_b long"))
+    classes = profile.where("n > 0").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("first"), F.min("home").alias("home"))
+    # Of different sets with one first fingerprint, all but one are named by both.
+    again = F.row_number().over(Window.partitionBy("print_a").orderBy("print_b")) > 1
+    classes = cut(classes.withColumn("set_id", F.when(again, F.xxhash64("print_a", "print_b")).otherwise(F.col("print_a"))))
+    marks = classes.groupBy("home").agg(F.collect_list(F.struct("print_a", "print_b", "set_id")).alias("ids"))  # of a home of bounded size
 
     flags = repeated_bits(by_home.cogroup(marks.groupBy("home")).applyInArrow(_send_probes(k, bits), "home long, bucket long, keys binary"))
-    both = flags.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(marks.select("home", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "ids"))
+    both = flags.withColumn("ids", F.lit(None).cast(marks.schema["ids"].dataType)).unionByName(marks.select("home", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"), "ids"))
     sets = cut(by_home.cogroup(both.groupBy("home")).applyInArrow(_candidates(k, bits, percent), "home long, set_id long, n long, tokens binary"))
 
     of_home = sets.groupBy("home")
@@ -323,16 +327,31 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    classes = classes.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", "first", F.coalesce("component", "set_id").alias("component"))
-    root = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_set = classes.join(root, "component").select("set_id", "component_id")
-    out = profile.join(of_set, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    classes = cut(classes.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").select("print_a", "print_b", "first", F.coalesce("component", "set_id").alias("component")))
+    root = store(classes.groupBy("component").agg(F.min("first").alias("component_id")))
+    of_class = classes.join(root, "component").select("print_a", "print_b", "component", "component_id")
+    return profile.join(of_class, ["print_a", "print_b"], "left")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of every component the document with the smallest id."""
-    first = similar_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").drop("_n")
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", n_homes: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: components of the documents whose shingle sets have a
+    Jaccard similarity of at least ``percent`` / 100 (at least 75: a band spans a factor of 4/3)."""
+    out = _linked(docs, k, percent, id_col, text_col, n_homes)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", n_homes: int | None = None) -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component one row, with the smallest id
+    (null last). Rows that repeat in id and text are one; rows without words all stay."""
+    rows = cut(_linked(docs, k, percent, id_col, text_col, n_homes).select("doc_id", "key", "component"))
+    linked = rows.where("component is not null").groupBy("component")
+    kept = linked.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    kept = store(kept.unionByName(rows.where("component is null").select("doc_id", "key").distinct()))
+    several = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c"), F.max("component").alias("component")).where("c > 1 and component is not null")
+    # A struct holds the columns, so that their names cannot clash with those of the join.
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), row_key(id_col, text_col).alias("row_key"))
+    out = d.join(kept, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key")), "left_semi")
+    if not several.isEmpty():
+        wordless = out.where(~F.coalesce(F.col("row." + text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        out = out.where(F.col("row." + text_col).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["row_id", "row_key"]).unionByName(wordless)
+    return out.select("row.*")

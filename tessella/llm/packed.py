@@ -40,11 +40,17 @@ def low32(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(32 - bits)).astype(np.uint32)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A 64-bit key of a row's id and text; rows that agree in both are interchangeable."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def homes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """``home, doc_id, text`` and ``more`` columns: documents dealt by a hash of their id. Used with
-    the same arguments several times in one plan, it is shuffled once and the exchange reused."""
-    home = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).alias("home")
-    return docs.select(home, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in more))
+    """``home, key, doc_id, text`` and ``more`` columns: documents dealt by their row key, so that
+    rows without an id or with one id are spread. Used with the same arguments several times in one
+    plan, it is shuffled once and the exchange reused."""
+    key = row_key(id_col, text_col)
+    return docs.select(F.pmod(key, F.lit(n)).alias("home"), key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in more))
 
 
 def repeated_bits(keys_by_bucket: DataFrame) -> DataFrame:

@@ -3,11 +3,17 @@
 No piece holds a space mark after another character, so a text falls into
 segments (a run of spaces and the characters up to the next space) that no
 merge crosses. A chunk's distinct segments lie in one flat array of symbol
-ids. Each round finds the smallest pair rank of every segment, merges its
-leftmost occurrence in all segments at once, drops the merged symbols and
-retires the segments that have no pair left. One merge a round and segment is
-the order in which the reference library's queue works, so the ids are equal;
-segments of more than ``LONG`` symbols use such a queue.
+ids. Each round finds the smallest pair rank of every segment and merges its
+occurrences in all segments at once, leftmost first where they overlap, drops
+the merged symbols and retires the segments that have no pair left.
+
+All occurrences may merge in one round where no pair with the new symbol ranks
+before the pair that made it: then nothing can come between them in the order
+of the reference library's queue. Other symbols merge at their leftmost
+occurrence only, one a round, which is that order itself.
+
+Segments are recognised by a hash; whatever is taken from an equal one, within
+a chunk or kept from before, is compared byte by byte first.
 
 Defined results: null and empty texts give the end id alone; characters
 without a piece fall back to byte pieces; a model without byte pieces gives
@@ -17,7 +23,6 @@ the unknown id. Extra columns are ignored; rows are independent of each other.
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,14 @@ from pyspark.sql import DataFrame
 
 from .text import Words, chunks, word_hashes
 
-LONG = 200
 _NONE = np.int64(1 << 40)
 _MARK = "▁"
-#: Segments whose ids a worker keeps at most before it starts afresh.
-_KEEP = 400_000
+#: Segments, and bytes of them, whose ids a worker keeps at most before it starts afresh.
+_KEEP, _KEEP_BYTES = 400_000, 16 << 20
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Model:
@@ -58,6 +66,11 @@ class Model:
         self.keys = np.array([k for k, _ in found], np.int64)
         self.made = np.array([i for _, i in found], np.int64)
         self.ranks = np.unique(-scores[self.made], return_inverse=True)[1].astype(np.int64)
+        # The best rank among pairs with a symbol, to tell which merges may be made together.
+        best = np.full(span, _NONE)
+        for side in (self.keys // span, self.keys % span):
+            np.minimum.at(best, side, self.ranks)
+        self.together = best[self.made] >= self.ranks
         text = [b"" if sp.is_control(i) else bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if i == self.unk else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.text, self.is_byte = text, np.isin(np.arange(self.size), self.byte_ids[self.byte_ids >= 0])
         self.span = span
@@ -80,52 +93,20 @@ class Coder:
     def _forget(self) -> None:
         self.seen, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.bound = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.raw, self.raw_bound = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, place in the pair table) of symbol pairs."""
         key = a * self.m.span + b
         i = np.minimum(np.searchsorted(self.m.keys, key), len(self.m.keys) - 1)
-        return np.where(self.m.keys[i] == key, self.m.ranks[i], _NONE), self.m.made[i]
-
-    def _queue(self, sym: list[int]) -> list[int]:
-        """The same merges one by one, for a long segment."""
-        n, left, right, alive, heap = len(sym), list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1], [True] * len(sym), []
-        table = self.long = getattr(self, "long", None) or dict(zip(self.m.keys.tolist(), zip(self.m.ranks.tolist(), self.m.made.tolist(), strict=True), strict=True))
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (got := table.get(sym[i] * self.m.span + sym[j])):
-                heapq.heappush(heap, (got[0], i, sym[i], sym[j], got[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = right[i]
-            if not alive[i] or j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], alive[j], right[i] = made, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        return [s for s, ok in zip(sym, alive, strict=True) if ok]
-
-    def _merge(self, sym: np.ndarray, seg: np.ndarray, n_seg: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.where(self.m.keys[i] == key, self.m.ranks[i], _NONE), i
+
+    def _merge(self, sym: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final (symbols, segments), in order of segment."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        counts = np.bincount(seg, minlength=n_seg)
-        long = counts > LONG
-        if long.any():
-            ends = np.cumsum(counts)
-            for s in np.flatnonzero(long):
-                out = np.array(self._queue(sym[ends[s] - counts[s] : ends[s]].tolist()), np.int64)
-                done.append((out, np.full(len(out), s)))
-            keep = ~long[seg]
-            sym, seg = sym[keep], seg[keep]
-        rank, made = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
+        rank, pair = np.full(len(sym), _NONE), np.zeros(len(sym), np.int64)
         i = np.flatnonzero(seg[1:] == seg[:-1])
-        rank[i], made[i] = self._rank(sym[i], sym[i + 1])
+        rank[i], pair[i] = self._rank(sym[i], sym[i + 1])
         while len(sym):
             head = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             best = np.minimum.reduceat(rank, head)
@@ -133,37 +114,45 @@ class Coder:
             over = np.repeat(best == _NONE, size)
             if over.any():
                 done.append((sym[over], seg[over]))
-                sym, seg, rank, made, best, size = sym[~over], seg[~over], rank[~over], made[~over], best[best != _NONE], size[best != _NONE]
+                sym, seg, rank, pair, best, size = sym[~over], seg[~over], rank[~over], pair[~over], best[best != _NONE], size[best != _NONE]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == np.repeat(best, size))
-            hit = hit[np.concatenate([[True], seg[hit][1:] != seg[hit][:-1]])]
-            sym[hit] = made[hit]
+            # The leftmost of a segment, all that may go together, and of overlapping ones every other.
+            left = np.concatenate([[True], seg[hit][1:] != seg[hit][:-1]])
+            alone = ~self.m.together[pair[hit]]
+            if alone.any():
+                single = np.zeros(len(head), bool)
+                single[np.searchsorted(head, hit[alone], "right") - 1] = True
+                hit = hit[left | ~single[np.searchsorted(head, hit, "right") - 1]]
+            at = np.arange(len(hit))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], np.diff(hit) != 1]), at, 0))
+            hit = hit[(at - start) % 2 == 0]
+            sym[hit] = self.m.made[pair[hit]]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False
             new = np.cumsum(stay) - 1
-            sym, seg, rank, made, hit = sym[stay], seg[stay], rank[stay], made[stay], new[hit]
-            again = np.concatenate([hit, hit[hit > 0] - 1])
+            sym, seg, rank, pair, hit = sym[stay], seg[stay], rank[stay], pair[stay], new[hit]
+            again = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
             rank[again] = _NONE
             again = again[again + 1 < len(sym)]
             again = again[seg[again] == seg[again + 1]]
-            rank[again], made[again] = self._rank(sym[again], sym[again + 1])
+            rank[again], pair[again] = self._rank(sym[again], sym[again + 1])
         sym, seg = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*done, strict=True) if done else ((), ())))
         order = np.argsort(seg, kind="stable")
         return sym[order], seg[order]
 
-    def _learn(self, w: Words, at: np.ndarray, hashes: np.ndarray) -> None:
-        """Encodes the segments ``at`` and keeps them."""
+    def _encoded(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of the segments ``at``, one after the other."""
         size = w.ends[at] - w.starts[at]
-        first = np.cumsum(size) - size
-        raw = w.buf[np.repeat(w.starts[at] - first, size) + np.arange(size.sum())]
+        raw = w.buf[_ranges(w.starts[at], size)]
         seg_of_byte = np.repeat(np.arange(len(at)), size)
         chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
         seg = seg_of_byte[(raw & 0xC0) != 0x80]
         if len(seg) != len(chars):
             raise ValueError("text is not UTF-8")
         chars[chars == 0x20] = ord(_MARK)
-        sym, seg = self._merge(self.of_char[chars], seg, len(at))
+        sym, seg = self._merge(self.of_char[chars], seg)
         lost = sym >= self.m.size
         if lost.any():
             parts = [[int(x) for x in (self.m.byte_ids[list(chr(s - self.m.size).encode())] if self.m.byte_ids[0] >= 0 else [self.m.unk])] for s in sym[lost].tolist()]
@@ -172,14 +161,32 @@ class Coder:
             ids = np.repeat(sym, n)
             ids[np.repeat(lost, n)] = [x for p in parts for x in p]
             sym, seg = ids, np.repeat(seg, n)
-        n = np.bincount(seg, minlength=len(at))
+        return sym.astype(np.int32), np.bincount(seg, minlength=len(at))
+
+    def _learn(self, w: Words, at: np.ndarray, hashes: np.ndarray) -> None:
+        """Encodes the segments ``at`` and keeps them with their bytes."""
+        ids, n = self._encoded(w, at)
+        size = w.ends[at] - w.starts[at]
         base = len(self.bound) - 1
-        self.flat = np.concatenate([self.flat, sym.astype(np.int32)])
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(n)])
+        self.flat, self.raw = np.concatenate([self.flat, ids]), np.concatenate([self.raw, w.buf[_ranges(w.starts[at], size)]])
+        self.bound, self.raw_bound = np.append(self.bound, self.bound[-1] + np.cumsum(n)), np.append(self.raw_bound, self.raw_bound[-1] + np.cumsum(size))
         seen, row = np.concatenate([self.seen, hashes]), np.concatenate([self.row, base + np.arange(len(at))])
         order = np.argsort(seen, kind="stable")
         self.seen, self.row = seen[order], row[order]
 
+    def _differ(self, w: Words, row: np.ndarray) -> np.ndarray:
+        """The segments whose bytes are not those kept at ``row``, though their hashes agree."""
+        size, kept = w.ends - w.starts, np.diff(self.raw_bound)[row]
+        odd = np.flatnonzero(size != kept)
+        # Segments follow each other without gaps, so the buffer itself is one side.
+        place = np.repeat(np.where(size == kept, self.raw_bound[row], 0) - w.starts, np.where(size == kept, size, 0))
+        mine = w.buf if not len(odd) else w.buf[_ranges(w.starts, np.where(size == kept, size, 0))]
+        place += np.arange(len(w.buf)) if not len(odd) else _ranges(w.starts, np.where(size == kept, size, 0))
+        unequal = np.flatnonzero(mine != self.raw[place])
+        if not len(unequal):
+            return odd
+        return np.union1d(odd, np.repeat(np.arange(len(row)), np.where(size == kept, size, 0))[unequal])
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts."""
         full = np.diff(offsets) > 0
@@ -192,7 +199,7 @@ class Coder:
         starts = np.flatnonzero(first)
         w = Words(buf, offsets, starts, np.append(starts[1:], len(buf))[: len(starts)], np.searchsorted(starts, offsets))
         distinct, at, which = np.unique(word_hashes(w), return_index=True, return_inverse=True)
-        if len(self.seen) > _KEEP:
+        if len(self.seen) > _KEEP or len(self.raw) > _KEEP_BYTES:
             self._forget()
         i = np.searchsorted(self.seen, distinct)
         new = np.ones(len(distinct), bool)
@@ -201,9 +208,14 @@ class Coder:
         if new.any():
             self._learn(w, at[new], distinct[new])
         row = self.row[np.searchsorted(self.seen, distinct)][which] if len(which) else np.zeros(0, np.int64)
-        a, n = self.bound[row], self.bound[row + 1] - self.bound[row]
+        start, n, flat = self.bound[row], np.diff(self.bound)[row], self.flat
+        other = self._differ(w, row)
+        if len(other):  # two segments with one hash: these are encoded for themselves
+            ids, counts = self._encoded(w, other)
+            start[other], n[other] = len(flat) + np.cumsum(counts) - counts, counts
+            flat = np.concatenate([flat, ids])
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(a - total[:-1], n) + np.arange(total[-1])]
+        ids = flat[_ranges(start, n)]
         bounds = total[w.bounds]
         if end:
             ids = np.insert(ids, bounds[1:], self.m.end)

@@ -4,19 +4,27 @@ Every window of ``k`` consecutive words is an edge between its (k-1)-word
 prefix and suffix. An edge's *source* is its first occurrence in the document
 with the smallest id. Where the edges of a document follow each other and
 their sources do too, the path does not branch against the source document and
-is compacted to one span ``(doc, start, edges, source doc, source start)``;
-a branch is where the source jumps. The spans are joined with the homes of their
-sources; there, equal source spans of all documents are compacted to one path,
-read again from the source text at its coordinates, and only spans with its hash
-return, so that a hash collision cannot remove text.
+is compacted to one span; a branch is where the source jumps. A home sends each
+distinct path ``(source row, start, edges)`` of its spans once to the home of
+the source, which reads the words at these coordinates again and confirms the
+paths whose digest agrees.
+
+Identity. Edges are resolved by two independent hashes of 64 bits, and a
+confirmed span agrees in a third digest that is made from other word hashes than
+the edges' first. Removing a word whose window has no earlier occurrence takes a
+collision in all of them (2**-128 for a pair of windows).
 
 Plan. Documents are dealt to homes (groups of about 3 MB of text) once; that
 exchange serves every later step. (1) A filter of 32 bits an edge finds the
 edges that another home has too. (2) Only those, and edges repeated inside
-their home, are resolved to their sources by full 64-bit hashes. (3) Spans are
-joined with their sources and verified, packed by pairs of homes. Steps 1 and 2 send an edge once for a home, so
-a passage found in a third of all documents costs an entry per home, and no
-group of copies meets in one task.
+their home, are resolved to their sources. (3) Paths are joined with their
+sources and confirmed, packed by pairs of homes. All steps send an edge or a
+path once for a home, so a passage or document found in a third of all rows
+costs an entry per home, and no group of copies meets in one task.
+
+Bytes. Step 1 moves 4 bytes for each distinct edge of a home; 30 GB are some
+10,000 homes and 4,000 buckets, so a cell has about 100 of them. Buckets stop at
+2**24: beyond some 10 TB cells get thin and rows' overhead outweighs the 4 bytes.
 
 Defined results: null or empty text and texts under k words lose nothing; a
 repetition inside one document (or under one repeated doc_id) is kept; a null
@@ -26,51 +34,60 @@ doc_id counts as the largest id; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
-from .text import chunks, measure, prefix, scan, span_hash, word_hashes
+from .text import chunks, measure, prefix, scan, span_digests, span_hash, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _HOME_BYTES = 3 << 20
 
 
+def _by_id(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row order by doc_id and row key, doc_ids in that order): the same in every step."""
+    ids = t["doc_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((t["key"].to_numpy(), ids))
+    return order, ids[order]
+
+
 class _Home:
     """The words of a home's documents, in order of doc_id, and their edges."""
 
     def __init__(self, t: pa.Table, k: int):
-        ids = t["doc_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.order = np.argsort(ids, kind="stable")
-        self.ids, self.k = ids[self.order], k
-        hashes, counts = [np.zeros(0, np.uint64)], []
-        self.texts = t["text"].take(pa.array(self.order))
-        for _, buf, offsets in chunks(self.texts):
-            w = scan(buf, offsets)
-            hashes.append(word_hashes(w))
-            counts.append(w.counts)
-        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        order, self.ids = _by_id(t)
+        self.k, self.scans = k, [scan(buf, offsets) for _, buf, offsets in chunks(t["text"].take(pa.array(order)))]
+        self.counts = np.concatenate([np.zeros(0, np.int64), *(w.counts for w in self.scans)])
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
-        self.sums = prefix(np.concatenate(hashes))
         n = np.maximum(self.counts - (k - 1), 0)
         self.doc = np.repeat(np.arange(len(n)), n)  # of each edge
         self.first = np.arange(n.sum()) + np.repeat(self.bounds[:-1] - (np.cumsum(n) - n), n)
         self.pos = self.first - self.bounds[self.doc]
-        self.keys = span_hash(self.sums, self.first, self.first + k)
+        self.keys = span_hash(prefix(self._hashes(0)), self.first, self.first + k)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct edges; first occurrence; number of each edge; whether a second document here has it."""
+    def _hashes(self, lane: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(word_hashes(w, lane) for w in self.scans)])
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        """The words' independent hashes."""
+        return self._hashes(1)
+
+    def checks(self, edges: np.ndarray) -> np.ndarray:
+        """Second hashes of the given edges."""
+        return span_hash(prefix(self.second), self.first[edges], self.first[edges] + self.k, seed=7)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct edges; their first occurrence; the number of each edge among them."""
         order = np.argsort(self.keys, kind="stable")
         s = self.keys[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
         number = np.empty(len(s), np.int64)
         number[order] = np.cumsum(new) - 1
-        last = np.append(at[1:], len(s)) - 1
-        several = self.ids[self.doc[order[last]]] != self.ids[self.doc[order[at]]]
-        return s[at], order[at], number, several
+        return s[new], order[new], number
 
 
 def _flags(cells: pa.Table, distinct: np.ndarray, bits: int) -> np.ndarray:
@@ -97,153 +114,165 @@ def _send_filter(k: int, bits: int):
     return run
 
 
-_SENT = "home long, bucket long, keys binary, docs binary, pos binary"
+_EDGES = (("keys", np.uint64), ("checks", np.uint64), ("docs", np.int64), ("rows", np.int32), ("pos", np.int32))
+_SENT = "home long, bucket long, " + ", ".join(f"{n} binary" for n, _ in _EDGES)
+
+
+def _table(rows: list[tuple], longs: tuple[str, ...], cells: tuple[str, ...]) -> pa.Table:
+    """Rows of ``longs`` and arrays, which become binary cells; a null cell for None."""
+    n = len(longs)
+    return pa.table(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in range(n)] + [pa.array([None if r[n + i] is None else pack(r[n + i]) for r in rows], pa.binary()) for i in range(len(cells))],
+        names=[*longs, *cells],
+    )
 
 
 def _send_edges(k: int, bits: int):
     """Edges that another home may have, each once with its first document here and position."""
 
     def run(t: pa.Table, cells: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("home", "bucket", "keys", "docs", "pos")}
+        rows: list[tuple] = []
         if t.num_rows:
             h = _Home(t, k)
-            keys, at, _, _ = h.distinct()
+            keys, at, _ = h.distinct()
             hit = _flags(cells, keys, bits)
             keys, at = keys[hit], at[hit]
             buckets, cut = cuts(keys, bits)
-            ids, pos, home = h.ids[h.doc[at]], h.pos[at].astype(np.int32), t["home"][0].as_py()
-            for b, i, j in zip(buckets, cut[:-1], cut[1:], strict=True):
-                for name, x in (("home", home), ("bucket", int(b)), ("keys", pack(keys[i:j])), ("docs", pack(ids[i:j])), ("pos", pack(pos[i:j]))):
-                    out[name].append(x)
-        return pa.table([pa.array(out["home"], pa.int64()), pa.array(out["bucket"], pa.int64()), *(pa.array(out[n], pa.binary()) for n in ("keys", "docs", "pos"))], names=list(out))
+            doc, home = h.doc[at], t["home"][0].as_py()
+            parts = (keys, h.checks(at), h.ids[doc], doc.astype(np.int32), h.pos[at].astype(np.int32))
+            rows = [(home, int(b), *(x[i:j] for x in parts)) for b, i, j in zip(buckets, cut[:-1], cut[1:], strict=True)]
+        return _table(rows, ("home", "bucket"), tuple(n for n, _ in _EDGES))
 
     return run
 
 
-_SOURCES = "home long, keys binary, docs binary, pos binary"
+_FOUND = (("keys", np.uint64), ("docs", np.int64), ("homes", np.int64), ("rows", np.int32), ("pos", np.int32))
+_SOURCES = "home long, " + ", ".join(f"{n} binary" for n, _ in _FOUND)
+
+
+def _joined(t: pa.Table, columns) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t[n].to_pylist())]) for n, kind in columns]
 
 
 def _resolve(t: pa.Table) -> pa.Table:
     """For every home: the edges of this bucket whose source lies in another home's document."""
-    col = lambda n, d: [np.frombuffer(x, d) for x in t[n].to_pylist()]
-    cells, docs, pos = col("keys", np.uint64), np.concatenate(col("docs", np.int64)), np.concatenate(col("pos", np.int32))
-    keys = np.concatenate(cells)
-    order = np.lexsort((pos, docs, keys))
-    s = keys[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    best = np.empty(len(s), np.int64)
-    best[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+    keys, checks, docs, rows, pos = _joined(t, _EDGES)
+    ends = np.cumsum([len(x) // 8 for x in t["keys"].to_pylist()])
+    home = np.repeat(t["home"].to_numpy(), np.diff(ends, prepend=0))
+    order = np.lexsort((pos, rows, home, docs, checks, keys))
+    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])])
+    best = np.empty(len(keys), np.int64)
+    best[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
     other = docs[best] != docs
-    ends = np.cumsum([len(c) for c in cells])
-    out = {"home": [], "keys": [], "docs": [], "pos": []}
-    for home, i, j in zip(t["home"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):
+    out = []
+    for name, i, j in zip(t["home"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):
         at = np.flatnonzero(other[i:j]) + i
         if len(at):
-            for name, x in (("home", home), ("keys", pack(keys[at])), ("docs", pack(docs[best[at]])), ("pos", pack(pos[best[at]]))):
-                out[name].append(x)
-    return pa.table([pa.array(out["home"], pa.int64()), *(pa.array(out[n], pa.binary()) for n in ("keys", "docs", "pos"))], names=list(out))
-
+            src = best[at]
+            out.append((name, keys[at], docs[src], home[src], rows[src], pos[src]))
+    return _table(out, ("home",), tuple(n for n, _ in _FOUND))
 
-def home_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """The home of a doc_id: pmod(xxhash64(id), n) as Spark computes it for a long with seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = np.full(len(ids), 42, np.uint64) + p5 + np.uint64(8)
-    h ^= turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), n)
 
+#: What goes between homes after compaction: paths to be confirmed at their sources, a home's own
+#: spans with the number of their path (to itself), and confirmations.
+_MAIL = "dest long, kind int, other long, a binary, b binary, c binary, d binary"
+_PATHS, _SPANS, _CONFIRMED = range(3)
 
-_PARTS = (("row", np.int32), ("start", np.int32), ("edges", np.int32), ("src_doc", np.int64), ("src_start", np.int32), ("span_hash", np.int64))
-_SPANS = "home long, src_home long, " + ", ".join(f"{n} binary" for n, _ in _PARTS)
-_NAMES = ["home", "src_home", *(n for n, _ in _PARTS)]
 
+def _mail(rows: list[tuple]) -> pa.Table:
+    return _table(rows, ("dest", "kind", "other"), tuple("abcd")).cast(_MAIL_TYPE)
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    """One row for each pair of homes, with arrays in binary cells."""
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([pack(r[2][i].astype(t)) for r in rows], pa.binary()) for i, (_, t) in enumerate(_PARTS))], names=_NAMES)
 
+_MAIL_TYPE = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("other", pa.int64()), *((c, pa.binary()) for c in "abcd")])
 
-def _arrays(t: pa.Table) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t[n].to_pylist())]) for n, kind in _PARTS]
 
-
-def _compact(k: int, n_homes: int):
-    """Compacts edges whose sources follow each other to spans, sent to the homes of their sources."""
+def _compact(k: int):
+    """Compacts edges whose sources follow each other to spans; their distinct paths go to the homes
+    of the sources."""
 
     def run(t: pa.Table, cells: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _rows([])
-        h = _Home(t, k)
-        keys, at, number, _ = h.distinct()
-        src_doc, src_pos = h.ids[h.doc[at]].copy(), h.pos[at].astype(np.int64)
-        for ks, ds, ps in zip(*(cells[n].to_pylist() for n in ("keys", "docs", "pos")), strict=True):
-            i = np.searchsorted(keys, np.frombuffer(ks, np.uint64))
-            src_doc[i], src_pos[i] = np.frombuffer(ds, np.int64), np.frombuffer(ps, np.int32)
-        e_doc, e_pos = src_doc[number], src_pos[number]
-        later = np.flatnonzero(e_doc < h.ids[h.doc])
-        d, p, sd, sp = h.doc[later], h.pos[later], e_doc[later], e_pos[later]
-        cont = (d[1:] == d[:-1]) & (p[1:] == p[:-1] + 1) & (sd[1:] == sd[:-1]) & (sp[1:] == sp[:-1] + 1)
+            return _mail([])
+        h, home = _Home(t, k), t["home"][0].as_py()
+        keys, at, number = h.distinct()
+        src_doc, src_home, src_row, src_pos = h.ids[h.doc[at]].copy(), np.full(len(at), home), h.doc[at].copy(), h.pos[at].copy()
+        if cells.num_rows:
+            found, docs, homes_, rows, pos = _joined(cells, _FOUND)
+            i = np.searchsorted(keys, found)
+            src_doc[i], src_home[i], src_row[i], src_pos[i] = docs, homes_, rows, pos
+        later = np.flatnonzero(src_doc[number] < h.ids[h.doc])
+        e = number[later]
+        d, p, sh, sr, sp = h.doc[later], h.pos[later], src_home[e], src_row[e], src_pos[e]
+        cont = (d[1:] == d[:-1]) & (p[1:] == p[:-1] + 1) & (sh[1:] == sh[:-1]) & (sr[1:] == sr[:-1]) & (sp[1:] == sp[:-1] + 1)
         head = np.flatnonzero(np.concatenate([[True], ~cont])) if len(d) else np.zeros(0, np.int64)
+        if not len(head):
+            return _mail([])
         n = np.diff(np.append(head, len(d)))
-        first = h.first[later[head]]
-        check = span_hash(h.sums, first, first + n + k - 1, seed=7).view(np.int64)
-        to = home_of(sd[head], n_homes)
-        order = np.argsort(to, kind="stable")
-        parts = [x[order] for x in (d[head], p[head], n, sd[head], sp[head], check)]
-        cut = np.flatnonzero(np.diff(to[order])) + 1
-        bounds = np.concatenate([[0], cut, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-        return _rows([(t["home"][0].as_py(), int(to[order][a]), [x[a:b] for x in parts]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        digest = span_digests(h.second, h.first[later[head]], n + k - 1)
+        sh, sr, sp, d, p = sh[head], sr[head], sp[head], d[head], p[head]
+        order = np.lexsort((digest, n, sp, sr, sh))
+        same = lambda x: x[order][1:] == x[order][:-1]
+        new = np.concatenate([[True], ~(same(sh) & same(sr) & same(sp) & same(n) & same(digest))])
+        path = np.empty(len(order), np.int64)
+        path[order] = np.cumsum(new) - 1
+        one = order[new]  # a span of each path, by source home
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(sh[one])) + 1, [len(one)]])
+        out, by_path = [], np.argsort(path, kind="stable")
+        bound = np.searchsorted(path[by_path], cut)
+        for i, j, x, y in zip(cut[:-1], cut[1:], bound[:-1], bound[1:], strict=True):
+            to, s = int(sh[one[i]]), by_path[x:y]
+            out.append((to, _PATHS, home, sr[one[i:j]].astype(np.int32), sp[one[i:j]].astype(np.int32), n[one[i:j]].astype(np.int32), digest[one[i:j]]))
+            out.append((home, _SPANS, to, d[s].astype(np.int32), p[s].astype(np.int32), n[s].astype(np.int32), (path[s] - i).astype(np.int32)))
+        return _mail(out)
 
     return run
 
 
-def _verify(k: int):
-    """Compacts equal source spans of all homes, reads each once more from its document, and
-    returns to every home the spans whose hash the source has."""
+def _confirm(k: int):
+    """Reads every path that other homes name once more from the text at its coordinates."""
 
-    def run(t: pa.Table, spans: pa.Table) -> pa.Table:
-        if not t.num_rows or not spans.num_rows:
-            return _rows([])
+    def run(t: pa.Table, mail: pa.Table) -> pa.Table:
+        if not t.num_rows or not mail.num_rows:
+            return _mail([])
+        kind, home = mail["kind"].to_numpy(), t["home"][0].as_py()
+        own, asked = mail.filter(pa.array(kind == _SPANS)), mail.filter(pa.array(kind == _PATHS))
+        if not asked.num_rows:
+            return own
         h = _Home(t, k)
-        row, start, edges, doc, src, check = _arrays(spans)
-        path, which = np.unique(np.stack([doc, src.astype(np.int64), edges.astype(np.int64)]), axis=1, return_inverse=True)
-        which = which.ravel()
-        p_doc, p_start, p_edges = path
-        got, fits, at = np.zeros(path.shape[1], np.uint64), np.zeros(path.shape[1], bool), np.searchsorted(h.ids, p_doc)
-        # A doc_id may stand for several rows: the span is looked up in the first row that is long enough.
-        sound = np.zeros(len(row), bool)
-        for step in range(int(np.unique(h.ids, return_counts=True)[1].max())):
-            r = np.minimum(at + step, len(h.ids) - 1)
-            fits = (h.ids[r] == p_doc) & (p_start + p_edges + k - 1 <= h.counts[r])
-            a = h.bounds[r[fits]] + p_start[fits]
-            got[fits] = span_hash(h.sums, a, a + p_edges[fits] + k - 1, seed=7)
-            sound |= fits[which] & (got[which] == check.view(np.uint64))
-        ends = np.cumsum([len(x) // 4 for x in spans["row"].to_pylist()])
-        out = []
-        for home, a, b in zip(spans["home"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            s = np.flatnonzero(sound[a:b]) + a
-            if len(s):
-                out.append((home, t["home"][0].as_py(), [x[s] for x in (row, start, edges, doc, src, check)]))
-        return _rows(out)
+        row, start, n, digest = _joined(asked, (("a", np.int32), ("b", np.int32), ("c", np.int32), ("d", np.uint64)))
+        row, start, n = (x.astype(np.int64) for x in (row, start, n))
+        path, which = np.unique(np.stack([row, start, n]), axis=1, return_inverse=True)
+        got = span_digests(h.second, h.bounds[path[0]] + path[1], path[2] + k - 1)
+        ok = got[which.ravel()] == digest
+        ends = np.cumsum([len(x) // 4 for x in asked["a"].to_pylist()])
+        out = [(to, _CONFIRMED, home, ok[i:j], None, None, None) for to, i, j in zip(asked["other"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+        return pa.concat_tables([own.cast(_MAIL_TYPE), _mail(out)])
 
     return run
 
 
+def _confirmed(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, starts, edges) of a home's confirmed spans."""
+    kinds, others = mail["kind"].to_pylist(), mail["other"].to_pylist()
+    ok = {o: np.frombuffer(x, bool) for kind, o, x in zip(kinds, others, mail["a"].to_pylist(), strict=True) if kind == _CONFIRMED}
+    found = [(np.zeros(0, np.int64),) * 3]
+    for kind, o, *cells in zip(kinds, others, *(mail[c].to_pylist() for c in "abcd"), strict=True):
+        if kind == _SPANS and o in ok:
+            row, start, edges, path = (np.frombuffer(x, np.int32).astype(np.int64) for x in cells)
+            found.append(tuple(x[ok[o][path]] for x in (row, start, edges)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 _RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
 
 
 def _cut(k: int, digest: bool, more: tuple[str, ...]):
-    """Removes the verified spans from the texts; ``kept`` is the rest or its SHA-256."""
+    """Removes the confirmed spans from the texts; ``kept`` is the rest or its SHA-256."""
 
-    def run(t: pa.Table, spans: pa.Table) -> pa.Table:
-        ids = t["doc_id"].combine_chunks()
-        raw = ids.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.argsort(raw, kind="stable")
+    def run(t: pa.Table, mail: pa.Table) -> pa.Table:
+        ids, order = t["doc_id"].combine_chunks(), _by_id(t)[0]
         texts = t["text"].take(pa.array(order))
-        row, start, edges = (x.astype(np.int64) for x in _arrays(spans)[:3])
+        row, start, edges = _confirmed(mail)
         n_spans = np.bincount(row, minlength=len(order))
         words, removed, kept = [], [], []
         for rows, buf, offsets in chunks(texts):
@@ -273,8 +302,9 @@ def _cut(k: int, digest: bool, more: tuple[str, ...]):
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(homes, verified spans): spans are maximal runs of words of a document that follow, window by
-    window, one run of a document with a smaller id; a row holds those between two homes."""
+    """(homes, mail): spans are maximal runs of words of a document that follow, window by window,
+    one run of a document with a smaller id; the mail to a home has its spans and which of their
+    paths are confirmed."""
     n = n_homes or measure(docs, per_group=_HOME_BYTES)
     bits = bucket_bits(n * _HOME_BYTES // 6)
     base = homes(docs, n, more=more)
@@ -282,8 +312,8 @@ def repeated_spans(docs: DataFrame, k: int = 13, n_homes: int | None = None, mor
     flags = repeated_bits(by_home.applyInArrow(_send_filter(k, bits), "home long, bucket long, keys binary"))
     sent = by_home.cogroup(flags.groupBy("home")).applyInArrow(_send_edges(k, bits), _SENT)
     sources = sent.groupBy("bucket").applyInArrow(_resolve, _SOURCES)
-    spans = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k, n), _SPANS)
-    return base, by_home.cogroup(spans.groupBy("src_home")).applyInArrow(_verify(k), _SPANS)
+    mail = by_home.cogroup(sources.groupBy("home")).applyInArrow(_compact(k), _MAIL)
+    return base, by_home.cogroup(mail.groupBy("dest")).applyInArrow(_confirm(k), _MAIL)
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
@@ -291,7 +321,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, digest: bool = False, n_homes:
     every word that a window of k words covers whose sequence also starts in a document with a
     smaller id. Runs of words that stay keep their white space and are joined by a space; with
     ``digest``, ``kept`` is the SHA-256 of the words that stay, joined by single spaces."""
-    base, spans = repeated_spans(docs, k, n_homes, more)
+    base, mail = repeated_spans(docs, k, n_homes, more)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([_RESULT, *(f"{c} {kinds[c]}" for c in more)])
-    return base.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut(k, digest, more), schema)
+    return base.groupBy("home").cogroup(mail.groupBy("dest")).applyInArrow(_cut(k, digest, more), schema)

@@ -2,14 +2,17 @@
 
 A *word* is a maximal run of bytes other than 0x20 and 0x09-0x0D. These bytes
 never occur inside a multi-byte UTF-8 sequence, so scanning bytes equals
-scanning characters. Words and word windows are identified by 64-bit hashes
-made from prefix sums modulo 2**64, so no Python code runs per word.
+scanning characters. Words are identified by 64-bit hashes of their bytes and windows of
+some words by 64-bit hashes made from prefix sums over the words' hashes, so no
+Python code runs per word. Where an identity must hold among all windows of a
+corpus, a second, independent hash joins the first (128 bits).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +20,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -27,6 +29,11 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Masks that keep the first n bytes of a little-endian word.
+_TAIL = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
+#: Words of so many bytes are digested one by one.
+_LONG_WORD = 512
+
 #: Bytes of text that one vectorised step works on (a longer text goes alone).
 CHUNK_BYTES = 1 << 21
 
@@ -46,7 +53,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_WORD_POWERS = _Powers(_WORD_BASE)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -124,19 +131,29 @@ def scan(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, gaps: np.nda
     return Words(buf, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def word_hashes(w: Words, step: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash for every word, of its bytes alone; works through ``step`` bytes at a time."""
-    out, i = np.empty(len(w.starts), dtype=U64), 0
-    while i < len(out):
-        j = max(i + 1, int(np.searchsorted(w.ends, w.starts[i] + step, "right")))
-        base, n = w.starts[i], int(w.ends[j - 1] - w.starts[i])
-        up, down = _BYTE_POWERS.get(n + 1)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((w.buf[base : base + n].astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        s = w.starts[i:j] - base
-        out[i:j] = (sums[w.ends[i:j] - base] - sums[s]) * down[s]
-        i = j
-    return mix(out)
+def word_hashes(w: Words, lane: int = 0, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash for every word, of its bytes alone; works through ``step`` words at a time.
+
+    A word is absorbed in blocks of eight bytes, each followed by a bijective scramble, so words of
+    equal length up to eight bytes never collide; from ``_LONG_WORD`` bytes on, a keyed BLAKE2b
+    digest is taken. ``lane`` 1 is an independent hash: two words that agree in both lanes differ
+    with a chance of 2**-128.
+    """
+    out, size = np.empty(len(w.starts), dtype=U64), w.ends - w.starts
+    padded = np.concatenate([w.buf, np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(w.buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from any place
+    for i in range(0, len(out), step):
+        at, n = w.starts[i : i + step], size[i : i + step]
+        h, live, done = mix(n.astype(U64), 2 * lane), np.flatnonzero(n < _LONG_WORD), 0
+        while len(live):
+            block = loads[at[live] + done] & _TAIL[np.minimum(n[live] - done, 8)]
+            h[live] = mix(h[live] ^ block, 2 * lane + 1)
+            done += 8
+            live = live[n[live] > done]
+        for j in np.flatnonzero(n >= _LONG_WORD):
+            h[j] = int.from_bytes(blake2b(w.buf[at[j] : at[j] + n[j]], digest_size=8, key=bytes([lane])).digest(), "little")
+        out[i : i + step] = h
+    return out
 
 
 def prefix(hashes: np.ndarray) -> np.ndarray:
@@ -153,11 +170,18 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mix((sums[end] - sums[start]) * down[start], seed)
 
 
-def windows(w: Words, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of every run of k words inside one text, in order."""
-    n = np.maximum(w.counts - (k - 1), 0)
-    first = np.repeat(w.bounds[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return first, span_hash(prefix(hashes), first, first + k)
+def span_digests(hashes: np.ndarray, start: np.ndarray, n: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+    """Digests of word runs made word by word from each word and its place in the run, some
+    ``step`` words at a time; no prefix sums, so they share nothing with ``span_hash``."""
+    out, total, i = np.zeros(len(start), dtype=U64), np.concatenate([[0], np.cumsum(n)]), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + step, "right")) - 1)
+        place = np.arange(total[j] - total[i]) - np.repeat(total[i:j] - total[i], n[i:j])
+        each = mix(hashes[np.repeat(start[i:j], n[i:j]) + place] ^ mix(place.astype(U64), 21), 22)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(each)])
+        out[i:j] = sums[total[i + 1 : j + 1] - total[i]] - sums[total[i:j] - total[i]]
+        i = j
+    return mix(out + n.astype(U64), 23)
 
 
 def measure(docs, text: str = "text", per_group: int = 3 << 20) -> int:
