@@ -157,22 +157,88 @@ def test_class_lm(spark, rows, head):
     assert got == sorted(want, key=str)
 
 
-def test_class_lm_is_a_distribution():
-    from tessella.llm.class_lm import SUFFIXES, ClassModel, exchange
+@pytest.mark.parametrize("head,core", [(1 << 20, 1024), (1 << 20, 20), (120, 20)])
+def test_class_lm_score(spark, rows, head, core):
+    """Scores and the sum over the vocabulary, from the classes alone."""
+    from tessella.llm.class_lm import _find, score, train
+    from tessella.llm.text import chunks, scan, word_hashes
 
-    rng = np.random.default_rng(0)
-    top = np.sort(rng.integers(0, 1 << 62, 20).astype(np.uint64))
-    size = len(top) + SUFFIXES
-    b = np.zeros((size, size), np.int64)
-    b[:20, :20] = rng.integers(0, 30, (20, 20))
-    cls = exchange(b, 4)
-    one = np.zeros((size, 4))
-    one[np.arange(size), cls] = 1
-    c = b.sum(0)[:20].astype(float)
-    class_n = np.bincount(cls[:20], c, minlength=4)
-    m = ClassModel(top, top, c, cls, one.T @ b @ one, class_n, np.bincount(cls[:20], minlength=4), int(c.sum()), 20, 0.9)
-    for d in range(4):
-        assert abs(m.known(np.full(20, d), cls[:20], c).sum() + m.unknown[d] - 1) < 1e-9
+    import pyarrow as pa
+
+    k, lam = 6, 0.9
+    df = frame(spark, rows).withColumn("held_out", F.lit(False))
+    model, full = train(df.where("doc_id % 3 <> 0"), n_classes=k, lam=lam, head=head, core=core)
+    table = {r.word: (r.c, r.cls) for r in full.collect()}
+    assert all(0 <= cls < k for _, cls in table.values())
+
+    def hashes(t):
+        for _, buf, off in chunks(pa.array([t or ""])):
+            return [*word_hashes(scan(buf, off, lower=True)).view(np.int64).tolist(), end]
+
+    from tessella.llm.class_lm import END
+
+    end = int(np.array([END]).view(np.int64)[0])
+    inside = lambda w: _find(np.array([w]).view(np.uint64), model.vocabulary.words)[0] >= 0
+    follow, c = np.zeros((k + 1, k)), collections.Counter()
+    for i, t in rows:
+        if i % 3:
+            w = hashes(t)
+            c.update(w)
+            for x, y in zip([end, *w], w):
+                if inside(x) or inside(y):
+                    follow[table[x][1], table[y][1]] += 1
+    assert {w: n for w, (n, _) in table.items()} == c
+    follow[k] = follow.sum(0)
+    follow = (follow + 0.5) / (follow.sum(1, keepdims=True) + 0.5 * k)
+    n, v = sum(c.values()), len(c)
+    class_n, class_v = np.zeros(k), np.zeros(k)
+    for m, cls in table.values():
+        class_n[cls] += m
+        class_v[cls] += 1
+    share = lambda m, cls: (m + 0.5) / (class_n[cls] + 0.5 * (class_v[cls] + 1))
+    base = lambda m: (m + 0.5) / (n + 0.5 * (v + 1))
+
+    def probability(d, w):
+        if w in table:
+            m, cls = table[w]
+            return lam * follow[d, cls] * share(m, cls) + (1 - lam) * base(m)
+        return lam * sum(follow[d, j] * 0.5 / (class_n[j] + 0.5 * (class_v[j] + 1)) for j in range(k)) + (1 - lam) * base(0)
+
+    for d in range(k + 1):
+        assert abs(sum(probability(d, w) for w in table) + probability(d, None) - 1) < 1e-9
+    got = {r.doc_id: r for r in score(df, model, full).collect()}
+    for i, t in rows:
+        w = hashes(t)
+        want = sum(math.log10(probability(table[x][1] if x in table else k, y)) for x, y in zip([end, *w], w))
+        assert abs(got[i].score - want) < 1e-6 and abs(got[i].perplexity / 10 ** (-want / len(w)) - 1) < 1e-6
+
+
+def test_every_word_is_exchanged(spark):
+    """Words far beyond the core get the class of their contexts, whatever their spelling."""
+    from tessella.llm.class_lm import score_documents, train
+
+    rng = random.Random(7)
+    name = lambda kind, i: hashlib.md5(f"{kind}{i}".encode()).hexdigest()[:8]
+    docs = [(i, " ".join(name(k % 2, int(rng.paretovariate(0.7)) % 400) for k in range(80))) for i in range(300)]
+    df = frame(spark, docs)
+    from tessella.llm.text import chunks, scan, word_hashes
+
+    import pyarrow as pa
+
+    for options in ({"head": 1 << 20}, {"head": 100}):
+        _, full = train(df, n_classes=3, core=20, **options)
+        cls = {r.word: (r.cls, r.c) for r in full.collect()}
+        votes = [collections.Counter(), collections.Counter()]
+        for kind in (0, 1):
+            for _, buf, off in chunks(pa.array([" ".join(name(kind, i) for i in range(400))])):
+                for h in word_hashes(scan(buf, off)).view(np.int64).tolist():
+                    if h in cls and cls[h][1] >= 3:
+                        votes[kind][cls[h][0]] += 1
+        main = [v.most_common(1)[0] for v in votes]
+        assert main[0][0] != main[1][0] and all(m[1] > 0.9 * sum(v.values()) and sum(v.values()) > 60 for m, v in zip(main, votes)), votes
+    assert score_documents(df.limit(0)).count() == 0
+    none = score_documents(frame(spark, [(i, "a b") for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1])).collect()
+    assert none and all(r.train_tokens == 0 and r.n_known == 0 and r.n_tokens == 3 for r in none)
 
 
 def test_exchange_finds_classes():
