@@ -23,6 +23,22 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Integers as their least and what they have above it in as few bytes as all allow."""
+    low = int(x.min()) if len(x) else 0
+    over = (x.astype(np.int64).view(np.uint64) - np.uint64(low % (1 << 64))) if len(x) else np.zeros(0, np.uint64)
+    most = int(over.max()) if len(x) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most < 1 << (8 * np.dtype(k).itemsize))
+    return bytes([np.dtype(kind).itemsize]) + low.to_bytes(8, "little", signed=True) + over.astype(kind).tobytes()
+
+
+def wide(cell) -> np.ndarray:
+    """The integers of a ``narrow`` cell."""
+    raw = np.frombuffer(cell, np.uint8)
+    low = np.uint64(int.from_bytes(raw[1:9].tobytes(), "little"))
+    return (raw[9:].copy().view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[int(raw[0])]).astype(np.uint64) + low).view(np.int64)
+
+
 def bucket_bits(total: int, per_bucket: int = PER_BUCKET) -> int:
     """Leading hash bits that name the bucket, so that buckets hold about ``per_bucket`` of ``total``."""
     return max(3, min(24, int(max(1, total) / per_bucket).bit_length()))

@@ -9,10 +9,10 @@ distinct path ``(source row, start, edges)`` of its spans once to the home of
 the source, which reads the words at these coordinates again and confirms the
 paths whose digest agrees.
 
-Identity. Edges are resolved by two independent hashes of 64 bits, and a
-confirmed span agrees in a third digest that is made from other word hashes than
-the edges' first. Removing a word whose window has no earlier occurrence takes a
-collision in all of them (2**-128 for a pair of windows).
+Identity. Edges are resolved by two independent hashes, 96 bits together, and a
+confirmed span agrees in a digest of 64 bits more, which is made word by word
+from other word hashes than the edges' first. Removing a word whose window has
+no earlier occurrence takes a collision in all of them.
 
 Plan. Documents are dealt to homes (groups of about 3 MB of text) once; that
 exchange serves every later step. (1) A filter of 32 bits an edge finds the
@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .packed import bucket_bits, cuts, homes, low32, pack, repeated_bits
+from .packed import bucket_bits, cuts, homes, low32, narrow, pack, repeated_bits, wide
 from .text import chunks, measure, prefix, scan, span_digests, span_hash, word_hashes
 
 _LAST = np.iinfo(np.int64).max
@@ -114,16 +114,18 @@ def _send_filter(k: int, bits: int):
     return run
 
 
-_EDGES = (("keys", np.uint64), ("checks", np.uint64), ("docs", np.int64), ("rows", np.int32), ("pos", np.int32))
+#: Columns of binary cells and what they hold; None: narrow integers.
+_EDGES = (("keys", np.uint64), ("checks", np.uint32), ("docs", None), ("rows", None), ("pos", None))
 _SENT = "home long, bucket long, " + ", ".join(f"{n} binary" for n, _ in _EDGES)
 
 
-def _table(rows: list[tuple], longs: tuple[str, ...], cells: tuple[str, ...]) -> pa.Table:
+def _table(rows: list[tuple], longs: tuple[str, ...], cells) -> pa.Table:
     """Rows of ``longs`` and arrays, which become binary cells; a null cell for None."""
     n = len(longs)
+    cell = lambda x, kind: None if x is None else narrow(x) if kind is None else pack(x.astype(kind))
     return pa.table(
-        [pa.array([r[i] for r in rows], pa.int64()) for i in range(n)] + [pa.array([None if r[n + i] is None else pack(r[n + i]) for r in rows], pa.binary()) for i in range(len(cells))],
-        names=[*longs, *cells],
+        [pa.array([r[i] for r in rows], pa.int64()) for i in range(n)] + [pa.array([cell(r[n + i], kind) for r in rows], pa.binary()) for i, (_, kind) in enumerate(cells)],
+        names=[*longs, *(c for c, _ in cells)],
     )
 
 
@@ -139,19 +141,20 @@ def _send_edges(k: int, bits: int):
             keys, at = keys[hit], at[hit]
             buckets, cut = cuts(keys, bits)
             doc, home = h.doc[at], t["home"][0].as_py()
-            parts = (keys, h.checks(at), h.ids[doc], doc.astype(np.int32), h.pos[at].astype(np.int32))
+            parts = (keys, h.checks(at) >> np.uint64(32), h.ids[doc], doc, h.pos[at])
             rows = [(home, int(b), *(x[i:j] for x in parts)) for b, i, j in zip(buckets, cut[:-1], cut[1:], strict=True)]
-        return _table(rows, ("home", "bucket"), tuple(n for n, _ in _EDGES))
+        return _table(rows, ("home", "bucket"), _EDGES)
 
     return run
 
 
-_FOUND = (("keys", np.uint64), ("docs", np.int64), ("homes", np.int64), ("rows", np.int32), ("pos", np.int32))
+_FOUND = (("keys", np.uint64), ("docs", None), ("homes", None), ("rows", None), ("pos", None))
 _SOURCES = "home long, " + ", ".join(f"{n} binary" for n, _ in _FOUND)
 
 
 def _joined(t: pa.Table, columns) -> list[np.ndarray]:
-    return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in t[n].to_pylist())]) for n, kind in columns]
+    read = lambda x, kind: wide(x) if kind is None else np.frombuffer(x, kind)
+    return [np.concatenate([np.zeros(0, kind or np.int64), *(read(x, kind) for x in t[n].to_pylist())]) for n, kind in columns]
 
 
 def _resolve(t: pa.Table) -> pa.Table:
@@ -170,17 +173,18 @@ def _resolve(t: pa.Table) -> pa.Table:
         if len(at):
             src = best[at]
             out.append((name, keys[at], docs[src], home[src], rows[src], pos[src]))
-    return _table(out, ("home",), tuple(n for n, _ in _FOUND))
+    return _table(out, ("home",), _FOUND)
 
 
 #: What goes between homes after compaction: paths to be confirmed at their sources, a home's own
 #: spans with the number of their path (to itself), and confirmations.
 _MAIL = "dest long, kind int, other long, a binary, b binary, c binary, d binary"
 _PATHS, _SPANS, _CONFIRMED = range(3)
+_NUMBERS = tuple((c, None) for c in "abcd")
 
 
 def _mail(rows: list[tuple]) -> pa.Table:
-    return _table(rows, ("dest", "kind", "other"), tuple("abcd")).cast(_MAIL_TYPE)
+    return _table(rows, ("dest", "kind", "other"), _NUMBERS).cast(_MAIL_TYPE)
 
 
 _MAIL_TYPE = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("other", pa.int64()), *((c, pa.binary()) for c in "abcd")])
@@ -221,8 +225,8 @@ def _compact(k: int):
         bound = np.searchsorted(path[by_path], cut)
         for i, j, x, y in zip(cut[:-1], cut[1:], bound[:-1], bound[1:], strict=True):
             to, s = int(sh[one[i]]), by_path[x:y]
-            out.append((to, _PATHS, home, sr[one[i:j]].astype(np.int32), sp[one[i:j]].astype(np.int32), n[one[i:j]].astype(np.int32), digest[one[i:j]]))
-            out.append((home, _SPANS, to, d[s].astype(np.int32), p[s].astype(np.int32), n[s].astype(np.int32), (path[s] - i).astype(np.int32)))
+            out.append((to, _PATHS, home, sr[one[i:j]], sp[one[i:j]], n[one[i:j]], digest[one[i:j]].view(np.int64)))
+            out.append((home, _SPANS, to, d[s], p[s], n[s], path[s] - i))
         return _mail(out)
 
     return run
@@ -239,12 +243,11 @@ def _confirm(k: int):
         if not asked.num_rows:
             return own
         h = _Home(t, k)
-        row, start, n, digest = _joined(asked, (("a", np.int32), ("b", np.int32), ("c", np.int32), ("d", np.uint64)))
-        row, start, n = (x.astype(np.int64) for x in (row, start, n))
+        row, start, n, digest = _joined(asked, _NUMBERS)
         path, which = np.unique(np.stack([row, start, n]), axis=1, return_inverse=True)
         got = span_digests(h.second, h.bounds[path[0]] + path[1], path[2] + k - 1)
-        ok = got[which.ravel()] == digest
-        ends = np.cumsum([len(x) // 4 for x in asked["a"].to_pylist()])
+        ok = (got[which.ravel()] == digest.view(np.uint64)).astype(np.int64)
+        ends = np.cumsum([len(wide(x)) for x in asked["a"].to_pylist()])
         out = [(to, _CONFIRMED, home, ok[i:j], None, None, None) for to, i, j in zip(asked["other"].to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True)]
         return pa.concat_tables([own.cast(_MAIL_TYPE), _mail(out)])
 
@@ -254,11 +257,11 @@ def _confirm(k: int):
 def _confirmed(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, starts, edges) of a home's confirmed spans."""
     kinds, others = mail["kind"].to_pylist(), mail["other"].to_pylist()
-    ok = {o: np.frombuffer(x, bool) for kind, o, x in zip(kinds, others, mail["a"].to_pylist(), strict=True) if kind == _CONFIRMED}
+    ok = {o: wide(x) > 0 for kind, o, x in zip(kinds, others, mail["a"].to_pylist(), strict=True) if kind == _CONFIRMED}
     found = [(np.zeros(0, np.int64),) * 3]
     for kind, o, *cells in zip(kinds, others, *(mail[c].to_pylist() for c in "abcd"), strict=True):
         if kind == _SPANS and o in ok:
-            row, start, edges, path = (np.frombuffer(x, np.int32).astype(np.int64) for x in cells)
+            row, start, edges, path = map(wide, cells)
             found.append(tuple(x[ok[o][path]] for x in (row, start, edges)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
