@@ -1,9 +1,6 @@
 """Exact nearest neighbours, batch-aware neighbours, alignment, kernels, imputation, outliers, doublets.
 
-kNN of sparse rows is a self-join on the columns they share (dot products), with
-norms for the distance; rows without a common column are at sqrt(|x|^2 + |y|^2)
-and enter through each row's k smallest norms, so no all-pairs frame is made
-where k shared neighbours exist.
+Nearest neighbours are found by ``blocks``: matrix products over pairs of row blocks.
 """
 
 from __future__ import annotations
@@ -15,43 +12,22 @@ from pyspark.sql import functions as F
 
 from ..loops import iterate
 from ..model import Matrix
-from .matrix import col_moments, row_moments, squared_norms
+from .blocks import block_knn, rows_of, rows_of_vectors
+from .matrix import col_moments, row_moments
 
 # --- nearest neighbours ------------------------------------------------------
 
 
-def _dots(a: Matrix, b: Matrix) -> DataFrame:
-    other = b.entries.select(F.col("row").alias("nbr"), "col", F.col("v").alias("u"))
-    return a.entries.join(other, "col").groupBy("row", "nbr").agg(F.sum(F.col("v") * F.col("u")).alias("dot"))
-
-
 def _nearest(pairs: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
     w = Window.partitionBy("row", *keys).orderBy("dist", "nbr")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def cross_knn(a: Matrix, b: Matrix, k: int, same: bool = False, groups: DataFrame | None = None) -> DataFrame:
-    """``row, nbr, dist, rank``: the k nearest rows of b for every row of a (per group of b's rows, if given).
-
-    Candidates are all rows that share a column, and the rows of smallest norm (k of them and one
-    more for the row itself, by group): any row that shares no column is no nearer than these."""
-    na = squared_norms(a).withColumnRenamed("norm_sq", "n1")
-    nb = squared_norms(b).select(F.col("row").alias("nbr"), F.col("norm_sq").alias("n2"))
-    keys = ("grp",) if groups is not None else ()
-    if groups is not None:
-        nb = nb.join(groups.select(F.col("row").alias("nbr"), "grp"), "nbr")
-    dots = _dots(a, b)
-    # A low-norm row is not near for certain only if it shares a column; so rows whose dot is positive
-    # take up to k places among the low norms. Ranks below k plus the number of shared ones suffice.
-    short = nb.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("n2", "nbr")))
-    need = dots.groupBy("row").agg(F.count(F.lit(1)).alias("_d"))
-    far = na.join(need, "row", "left").join(short, F.col("_r") <= k + 1 + F.coalesce("_d", F.lit(0)))
-    far = far.join(dots.select("row", "nbr"), ["row", "nbr"], "left_anti").withColumn("dot", F.lit(0.0)).select("row", "nbr", "n1", "n2", "dot", *keys)
-    near = dots.join(na, "row").join(nb, "nbr").select("row", "nbr", "n1", "n2", "dot", *keys)
-    pairs = near.unionByName(far)
-    pairs = pairs.where("row <> nbr") if same else pairs
-    dist = F.sqrt(F.greatest(F.lit(0.0), F.col("n1") + F.col("n2") - 2 * F.col("dot")))
-    return _nearest(pairs.withColumn("dist", dist), k, keys).select("row", "nbr", "dist", "rank", *keys)
+    """``row, nbr, dist, rank``: the k nearest rows of b for every row of a (per group of b's rows, if given)."""
+    keys = ["grp"] if groups is not None else []
+    out = block_knn(rows_of(a, groups if same else None), None if same else rows_of(b, groups), k, grouped=bool(keys))
+    return out.select("row", "nbr", "dist", "rank", *keys)
 
 
 def knn(a: Matrix, k: int) -> DataFrame:
@@ -68,13 +44,9 @@ def distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0).cast("double"), lambda s, d: s + d))
 
 
-def dense_knn(vectors: DataFrame, k: int, block: str | None = None) -> DataFrame:
-    """``row, nbr, dist, rank`` of dense ``id, x`` arrays; within blocks, if a column names them."""
-    keys = [block] if block else []
-    b = vectors.select(F.col("id").alias("nbr"), F.col("x").alias("y"), *keys)
-    pairs = vectors.join(b, keys).where("id <> nbr") if keys else vectors.join(b, F.col("id") != F.col("nbr"))
-    d = pairs.select(F.col("id").alias("row"), "nbr", distance(F.col("x"), F.col("y")).alias("dist"))
-    return _nearest(d, k)
+def dense_knn(vectors: DataFrame, k: int) -> DataFrame:
+    """``row, nbr, dist, rank`` of dense ``id, x`` arrays of one length."""
+    return block_knn(rows_of_vectors(vectors), None, k)
 
 
 def multimodal_neighbors(d1: DataFrame, d2: DataFrame, w1: float, w2: float, k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import randomized as R
 from ..operators import spatial as S
 from ..operators import velocity as V
 from .base import q
-from .inputs import two_sided_sql, with_
+from .inputs import DIMS, two_sided_sql, with_
 
 NB = with_("nb")
 E = with_("nb e")
@@ -22,12 +22,11 @@ ET = with_("nb e ty")
 
 # --- neighbours and kernels --------------------------------------------------
 _batches = lambda n: n.vectors.select("id", (F.col("id") % 3).alias("label"))
-SQ = with_("xp") + ", ids AS (SELECT vec_id AS i FROM embeddings), d2 AS (SELECT a.i AS i, b.i AS k, sqrt(sum(power(coalesce(p.v, 0) - coalesce(q.v, 0), 2))) AS dist FROM ids a CROSS JOIN ids b CROSS JOIN (SELECT unnest(range(0, 8)) AS j) dj LEFT JOIN xp p ON p.i = a.i AND p.j = dj.j LEFT JOIN xp q ON q.i = b.i AND q.j = dj.j WHERE a.i < 150 AND b.i < 150 AND a.i <> b.i GROUP BY 1, 2) "
-_few = lambda n: Matrix(n.expr.entries.where("row < 150"), n.expr.rows.where("row < 150"), n.expr.cols)
-q("knn", lambda n: K.knn(_few(n), 5), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS rank FROM d2 QUALIFY rank <= 5', "dist", "row nbr rank")
-q("bbknn", lambda n: K.bbknn(_few(n), n.vectors.where("id < 150").select(F.col("id").alias("row"), (F.col("id") % 3).alias("grp")), 2), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i, k % 3 ORDER BY dist, k) AS rank, k % 3 AS grp FROM d2 QUALIFY rank <= 2', "dist", "row nbr rank grp")
-q("dense_knn", lambda n: K.dense_knn(n.vectors, 5, "label").select("row", "nbr", "dist"), NB + 'SELECT i AS "row", k AS nbr, dist FROM nb', "dist", "row nbr")
-_half = lambda n, k: Matrix(n.expr.entries.where(F.col("row") % 2 == k).where("row < 150"), n.expr.rows.where(F.col("row") % 2 == k).where("row < 150"), n.expr.cols)
+SQ = "WITH pv AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(v, 0)) AS x FROM embeddings), d2 AS (SELECT a.i AS i, b.i AS k, list_distance(a.x, b.x) AS dist FROM pv a JOIN pv b ON a.i <> b.i) "
+q("knn", lambda n: K.knn(n.expr, 5), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS rank FROM d2 QUALIFY rank <= 5', "dist", "row nbr rank")
+q("bbknn", lambda n: K.bbknn(n.expr, n.vectors.select(F.col("id").alias("row"), (F.col("id") % 3).alias("grp")), 2), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i, k % 3 ORDER BY dist, k) AS rank, k % 3 AS grp FROM d2 QUALIFY rank <= 2', "dist", "row nbr rank grp")
+q("dense_knn", lambda n: K.dense_knn(n.vectors, 5).select("row", "nbr", "dist"), NB + 'SELECT i AS "row", k AS nbr, dist FROM nb', "dist", "row nbr")
+_half = lambda n, k: Matrix(n.expr.entries.where(F.col("row") % 2 == k), n.expr.rows.where(F.col("row") % 2 == k), n.expr.cols)
 X12 = SQ + ", ab AS (SELECT i, k, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS r FROM d2 WHERE i % 2 = 0 AND k % 2 = 1), ba AS (SELECT i, k, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS r FROM d2 WHERE i % 2 = 1 AND k % 2 = 0), mn AS (SELECT ab.i AS cell1, ab.k AS cell2 FROM ab JOIN ba ON ab.i = ba.k AND ab.k = ba.i WHERE ab.r <= 6 AND ba.r <= 6) "
 q("mnn_pairs", lambda n: K.mnn_pairs(_half(n, 0), _half(n, 1), 6), X12 + "SELECT cell1, cell2 FROM mn", "", "cell1 cell2")
 q("find_anchors", lambda n: K.find_anchors(_half(n, 0), _half(n, 1), 6, 0.3), X12 + ", s AS (SELECT cell1, count(*) AS s FROM mn GROUP BY 1) SELECT i AS cell1, k AS cell2, s / (12 - s) AS score FROM ab JOIN s ON cell1 = i WHERE r <= 6 AND s / (12 - s) >= 0.3", "score", "cell1 cell2")
@@ -71,7 +70,7 @@ q("diffusion_impute", lambda n: K.diffuse(n.expr, n.nbrs.select("row", "nbr", F.
 q("magic_impute", lambda n: K.magic_impute(n.expr, n.nbrs.select("row", "nbr", F.lit(1.0).alias("w")), 2), D2 + 'SELECT i AS "row", j AS col, v FROM s2', "v", "row col")
 q("detect_dropouts", lambda n: K.detect_dropouts(n.expr, 0.1), with_("xp") + "SELECT j AS col, (1 - count(*) / max(n)) * (CASE WHEN avg(v) > 0.1 THEN 1 ELSE 0.5 END) AS p FROM xp, nx GROUP BY 1", "p", "col")
 q("imputation_quality", lambda n: K.imputation_quality(n.expr.entries, n.expr.entries.select("row", "col", (F.col("v") * F.col("v")).alias("v"))), with_("xp") + "SELECT corr(v, v * v) AS r FROM xp", "r")
-q("isolation_score", lambda n: K.isolation_score(n.expr), with_("xp") + ', s AS (SELECT vec_id AS i, coalesce(sum(v), 0) / 8 AS m, coalesce(sum(v * v), 0) / 8 - power(coalesce(sum(v), 0) / 8, 2) AS s FROM embeddings LEFT JOIN xp ON xp.i = vec_id GROUP BY 1) SELECT i AS "row", (abs(m - avg(m) OVER ()) / greatest(stddev_pop(m) OVER (), 1e-10) + abs(s - avg(s) OVER ()) / greatest(avg(s) OVER (), 1e-10)) / 2 AS score FROM s', "score", "row")
+q("isolation_score", lambda n: K.isolation_score(n.expr), with_("xp") + ', s AS (SELECT vec_id AS i, coalesce(sum(v), 0) / 64 AS m, coalesce(sum(v * v), 0) / 64 - power(coalesce(sum(v), 0) / 64, 2) AS s FROM embeddings LEFT JOIN xp ON xp.i = vec_id GROUP BY 1) SELECT i AS "row", (abs(m - avg(m) OVER ()) / greatest(stddev_pop(m) OVER (), 1e-10) + abs(s - avg(s) OVER ()) / greatest(avg(s) OVER (), 1e-10)) / 2 AS score FROM s', "score", "row")
 q("local_outlier_factor", lambda n: K.local_outlier_factor(n.nbrs), NB + ', kd AS (SELECT i, max(dist) AS kd FROM nb GROUP BY 1), rc AS (SELECT nb.i, k, greatest(dist, kd) AS r FROM nb JOIN kd ON kd.i = k), lr AS (SELECT i, count(*) / greatest(sum(r), 1e-10) AS l FROM rc GROUP BY 1) SELECT rc.i AS "row", avg(b.l) / max(a.l) AS lof FROM rc JOIN lr a ON a.i = rc.i JOIN lr b ON b.i = rc.k GROUP BY 1', "lof", "row")
 q("rare_cell_detection", lambda n: K.rarity(n.nbrs), NB + ', m AS (SELECT i, avg(dist) AS m FROM nb GROUP BY 1) SELECT nb.i AS "row", max(a.m) / greatest(avg(b.m), 1e-10) AS rarity FROM nb JOIN m a ON a.i = nb.i JOIN m b ON b.i = nb.k GROUP BY 1', "rarity", "row")
 q("ambient_detection", lambda n: K.ambient_score(n.m, 0.1))
@@ -116,11 +115,11 @@ q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph))
 q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph))
 q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
-q("pagerank", lambda n: G.pagerank(n.graph, max_iter=12, tol=1e-4))
-q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3), max_iter=12, tol=1e-4))
-q("hits", lambda n: G.hits(n.graph, max_iter=5))
-q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph, max_iter=8))
-q("katz_centrality", lambda n: G.katz_centrality(n.graph, alpha=0.05, max_iter=12, tol=1e-5))
+q("pagerank", lambda n: G.pagerank(n.graph))
+q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3)))
+q("hits", lambda n: G.hits(n.graph))
+q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph))
+q("katz_centrality", lambda n: G.katz_centrality(n.graph, alpha=0.05))
 q("row_stochastic", lambda n: G.row_stochastic(n.graph), E + "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e", "w", "src dst")
 SN = E + ", dw AS (SELECT src, sum(w) AS d FROM e GROUP BY 1), sn AS (SELECT e.src, e.dst, w / sqrt(a.d * b.d) AS w FROM e JOIN dw a ON a.src = e.src JOIN dw b ON b.src = e.dst) "
 q("compute_transition_matrix", lambda n: G.symmetric_normalized(n.graph), SN + "SELECT src, dst, w FROM sn", "w", "src dst")
@@ -161,9 +160,9 @@ MP = with_("nb e lv")
 for _k, _e in (("sum", "sum(w * x)"), ("mean", "sum(w * x) / sum(w)"), ("max", "max(x)"), ("min", "min(x)")):
     q(f"message_passing_{_k}", lambda n, k=_k: G.message_passing(n.graph, n.long_vectors, k), MP + f"SELECT src AS id, dim, {_e} AS x FROM e JOIN lv ON id = dst GROUP BY 1, 2", "x", "id dim")
 q("sage_aggregate", lambda n: G.sage_aggregate(n.graph, n.long_vectors, "mean", 3), MP + "SELECT src AS id, dim, avg(x) AS x FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3) f JOIN lv ON id = dst GROUP BY 1, 2", "x", "id dim")
-_wt = lambda n: n.spark.createDataFrame([(i, o, 0.1 * (i + 1) - 0.2 * o) for i in range(4) for o in range(2)], "dim int, out int, w double")
+_wt = lambda n: n.spark.createDataFrame([(i, o, 0.1 * (i + 1) - 0.2 * o) for i in range(DIMS) for o in range(2)], "dim int, out int, w double")
 q("graph_convolution", lambda n: G.graph_convolution(n.graph, n.long_vectors, _wt(n)), MP + ", al AS (SELECT src, dst, w FROM e UNION ALL SELECT id, id, 1.0 FROM nd), dw AS (SELECT src, sum(w) AS d FROM al GROUP BY 1), h AS (SELECT al.src AS id, dim, sum(w / sqrt(a.d * b.d) * x) AS h FROM al JOIN dw a ON a.src = al.src JOIN dw b ON b.src = al.dst JOIN lv ON lv.id = al.dst GROUP BY 1, 2) SELECT id, o AS dim, greatest(0, sum(h * (0.1 * (dim + 1) - 0.2 * o))) AS x FROM h CROSS JOIN (SELECT unnest(range(0, 2)) AS o) GROUP BY 1, 2", "x", "id dim")
-_att = lambda n: n.spark.createDataFrame([(i, 0.5 - 0.1 * i, 0.2 * i) for i in range(4)], "dim int, a1 double, a2 double")
+_att = lambda n: n.spark.createDataFrame([(i, 0.5 - 0.1 * i, 0.2 * i) for i in range(DIMS)], "dim int, a1 double, a2 double")
 q("graph_attention", lambda n: G.graph_attention(n.graph, n.long_vectors, _att(n)).drop("head"), MP + ", al AS (SELECT src, dst FROM e UNION SELECT id, id FROM nd), s AS (SELECT id, sum((0.5 - 0.1 * dim) * x) AS s1, sum(0.2 * dim * x) AS s2 FROM lv GROUP BY 1), l AS (SELECT src, dst, CASE WHEN a.s1 + b.s2 > 0 THEN a.s1 + b.s2 ELSE 0.2 * (a.s1 + b.s2) END AS l FROM al JOIN s a ON a.id = src JOIN s b ON b.id = dst), p AS (SELECT src, dst, exp(l) / sum(exp(l)) OVER (PARTITION BY src) AS p FROM l) SELECT src AS id, dim, sum(p * x) AS x FROM p JOIN lv ON id = dst GROUP BY 1, 2", "x", "id dim")
 q("multi_head_attention", lambda n: G.multi_head_attention(n.graph, n.long_vectors, [_att(n), _att(n)]))
 q("feature_smoothing", lambda n: G.feature_smoothing(n.graph, n.long_vectors, 0.5, 1), MP + ", s AS (SELECT src, dim, sum(w * x) / sum(w) AS m FROM e JOIN lv ON id = dst GROUP BY 1, 2) SELECT id, lv.dim AS dim, 0.5 * x + 0.25 * m AS x FROM lv JOIN s ON src = id AND s.dim = lv.dim", "x", "id dim")
@@ -171,7 +170,7 @@ for _k, _e in (("sum", "sum(x)"), ("mean", "avg(x)"), ("max", "max(x)"), ("min",
     q(f"global_pool_{_k}", lambda n, k=_k: G.global_pool(n.long_vectors, k), with_("lv") + f"SELECT dim, {_e} AS x FROM lv GROUP BY 1", "x", "dim")
 q("hierarchical_pool", lambda n: G.hierarchical_pool(n.long_vectors, n.vectors.select("id", F.col("label").alias("cluster"))), with_("lv ty") + "SELECT type AS cluster, dim, avg(x) AS x FROM lv JOIN ty USING (id) GROUP BY 1, 2", "x", "cluster dim")
 q("compute_edge_features", lambda n: G.edge_features(n.graph, n.long_vectors, False), MP + "SELECT src, dst, a.dim AS dim, b.x - a.x AS x FROM e JOIN lv a ON a.id = src JOIN lv b ON b.id = dst AND b.dim = a.dim", "x", "src dst dim")
-q("compute_edge_features_concat", lambda n: G.edge_features(n.graph, n.long_vectors), MP + "SELECT src, dst, dim, x FROM e JOIN lv ON id = src UNION ALL SELECT src, dst, dim + 4, x FROM e JOIN lv ON id = dst", "x", "src dst dim")
+q("compute_edge_features_concat", lambda n: G.edge_features(n.graph, n.long_vectors), MP + "SELECT src, dst, dim, x FROM e JOIN lv ON id = src UNION ALL SELECT src, dst, dim + 64, x FROM e JOIN lv ON id = dst", "x", "src dst dim")
 q("skip_connection", lambda n: G.skip_connection(n.long_vectors, n.long_vectors, 0.5), with_("lv") + "SELECT id, dim, 1.5 * x AS x FROM lv", "x", "id dim")
 q("layer_norm", lambda n: G.layer_norm(n.long_vectors), with_("lv") + "SELECT id, dim, (x - avg(x) OVER (PARTITION BY id)) / sqrt(var_pop(x) OVER (PARTITION BY id) + 1e-5) AS x FROM lv", "x", "id dim")
 q("batch_norm", lambda n: G.batch_norm(n.long_vectors, 2.0, 0.5), with_("lv") + "SELECT id, dim, 2 * (x - avg(x) OVER (PARTITION BY dim)) / sqrt(var_pop(x) OVER (PARTITION BY dim) + 1e-5) + 0.5 AS x FROM lv", "x", "id dim")
@@ -199,7 +198,7 @@ q("count_hotspots", lambda n: S.count_kinds(S.hotspots(S.getis_ord(n.graph, n.va
 q("detect_spatial_clusters", lambda n: S.hotspot_clusters(n.graph, S.hotspots(S.getis_ord(n.graph, n.values))))
 q("bivariate_local_morans_i", lambda n: S.bivariate_local_i(n.graph, n.values, n.points.select("id", F.col("x").alias("value"))), with_("nb e val pts") + ", zx AS (SELECT id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM val), zy AS (SELECT id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM pts) SELECT src AS id, max(zx.z) * sum(w * zy.z) AS i FROM e JOIN zx ON zx.id = src JOIN zy ON zy.id = dst GROUP BY 1", "i", "id")
 q("weight_sum", lambda n: S.weight_sum(n.graph), E + "SELECT sum(w) AS total FROM e", "total")
-XE = with_("nb e xp") + ", d AS (SELECT vec_id AS id, dj.j AS j, coalesce(v, 0) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(0, 8)) AS j) dj LEFT JOIN xp ON xp.i = vec_id AND xp.j = dj.j), c AS (SELECT id, j, v - avg(v) OVER (PARTITION BY j) AS z FROM d) "
+XE = with_("nb e xp") + ", d AS (SELECT vec_id AS id, dj.j AS j, coalesce(v, 0) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(0, 64)) AS j) dj LEFT JOIN xp ON xp.i = vec_id AND xp.j = dj.j), c AS (SELECT id, j, v - avg(v) OVER (PARTITION BY j) AS z FROM d) "
 q("morans_i", lambda n: S.morans_i(n.graph, n.expr), XE + "SELECT a.j AS col, max(n) * sum(w * a.z * b.z) / (sum(w) * max(ss)) AS i FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst AND b.j = a.j JOIN (SELECT j, sum(z * z) AS ss FROM c GROUP BY 1) s ON s.j = a.j, nx GROUP BY 1", "i", "col")
 q("gearys_c", lambda n: S.gearys_c(n.graph, n.expr), XE + "SELECT a.j AS col, (max(n) - 1) * sum(w * power(a.z - b.z, 2)) / (2 * sum(w) * max(ss)) AS c FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst AND b.j = a.j JOIN (SELECT j, sum(z * z) AS ss FROM c GROUP BY 1) s ON s.j = a.j, nx GROUP BY 1", "c", "col")
 _ty = lambda n: n.vectors.select("id", (F.col("id") % 4).alias("type"))

@@ -10,8 +10,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..loops import cut
 from ..model import Graph, Matrix
-from ..operators.neighbors import distance
+from ..operators.neighbors import dense_knn
+
+
+#: Dimensions of the table of embeddings.
+DIMS = 64
+_NEIGHBOURS: dict[tuple[str, str], DataFrame] = {}
 
 
 class Inputs:
@@ -85,11 +91,11 @@ class Inputs:
 
     @cached_property
     def nbrs(self) -> DataFrame:
-        """``row, nbr, dist``: the five nearest vectors of the same label."""
-        b = self.vectors.select(F.col("id").alias("nbr"), F.col("x").alias("y"), "label")
-        d = self.vectors.join(b, "label").where("id <> nbr").select(F.col("id").alias("row"), "nbr", distance(F.col("x"), F.col("y")).alias("dist"))
-        w = Window.partitionBy("row").orderBy("dist", "nbr")
-        return d.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+        """``row, nbr, dist``: the five nearest vectors, written once a session for all queries."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _NEIGHBOURS:
+            _NEIGHBOURS[key] = cut(dense_knn(self.vectors, 5).select("row", "nbr", "dist"))
+        return _NEIGHBOURS[key]
 
     @cached_property
     def graph(self) -> Graph:
@@ -114,14 +120,14 @@ class Inputs:
 
     @cached_property
     def expr(self) -> Matrix:
-        """Positive parts of the vectors' first eight dimensions as a matrix over the graph's nodes."""
-        e = self.vectors.select(F.col("id").alias("row"), F.posexplode(F.slice("x", 1, 8)).alias("col", "v")).where("v > 0")
-        return Matrix(e.select("row", F.col("col").cast("long").alias("col"), "v"), self.table("embeddings").select(F.col("vec_id").alias("row")), self.spark.range(8).select(F.col("id").alias("col")))
+        """Positive parts of the vectors as a matrix over the graph's nodes."""
+        e = self.vectors.select(F.col("id").alias("row"), F.posexplode("x").alias("col", "v")).where("v > 0")
+        return Matrix(e.select("row", F.col("col").cast("long").alias("col"), "v"), self.table("embeddings").select(F.col("vec_id").alias("row")), self.spark.range(DIMS).select(F.col("id").alias("col")))
 
     @cached_property
     def long_vectors(self) -> DataFrame:
-        """``id, dim, x`` of the first four dimensions."""
-        return self.vectors.select("id", F.posexplode(F.slice("x", 1, 4)).alias("dim", "x"))
+        """``id, dim, x``."""
+        return self.vectors.select("id", F.posexplode("x").alias("dim", "x"))
 
 
 CTE = {
@@ -136,13 +142,13 @@ CTE = {
     "clo": "clo AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_nationkey END AS clone, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS cluster, round(c_acctbal, 2) AS t FROM customer)",
     "p": "p AS (SELECT p_partkey AS id, power(((p_partkey * 7919) % 10007 + 1) / 10008.0::DOUBLE, 2) AS p FROM part)",
     "sets": "sets AS (SELECT s_nationkey AS set_id, s_suppkey AS j FROM supplier)",
-    "nb": "vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), nb0 AS (SELECT a.id AS i, b.id AS k, list_distance(a.x, b.x) AS dist FROM vec a JOIN vec b ON a.label = b.label AND a.id <> b.id), nb AS (SELECT i, k, dist FROM nb0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, k) <= 5)",
+    "nb": "vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings), nb0 AS (SELECT a.id AS i, b.id AS k, list_distance(a.x, b.x) AS dist FROM vec a JOIN vec b ON a.id <> b.id), nb AS (SELECT i, k, dist FROM nb0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY dist, k) <= 5)",
     "e": "e AS (SELECT src, dst, 1 / (1 + min(dist)) AS w FROM (SELECT i AS src, k AS dst, dist FROM nb UNION ALL SELECT k, i, dist FROM nb) GROUP BY 1, 2), nd AS (SELECT vec_id AS id FROM embeddings)",
     "val": "val AS (SELECT vec_id AS id, CAST(embedding[3] AS DOUBLE) AS value FROM embeddings)",
     "pts": "pts AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y FROM embeddings)",
     "ty": "ty AS (SELECT vec_id AS id, label AS type FROM embeddings)",
-    "xp": "xp AS (SELECT id AS i, d - 1 AS j, x[d] AS v FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(1, 9)) AS d FROM embeddings) WHERE x[d] > 0), nx AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)",
-    "lv": "lv AS (SELECT id, d - 1 AS dim, x[d] AS x FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(1, 5)) AS d FROM embeddings))",
+    "xp": "xp AS (SELECT id AS i, d - 1 AS j, x[d] AS v FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(1, 65)) AS d FROM embeddings) WHERE x[d] > 0), nx AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)",
+    "lv": "lv AS (SELECT id, d - 1 AS dim, x[d] AS x FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(1, 65)) AS d FROM embeddings))",
 }
 
 
