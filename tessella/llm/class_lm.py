@@ -49,7 +49,7 @@ N_CLASSES, CORE, HEAD, ROUNDS, LAM = 64, 1024, 1 << 20, 2, 0.95
 END = np.uint64(0x5EEDE4D)
 _FLUSH = 1 << 20
 #: Words whose contexts lie in one row of the context table, and bytes of text in a step that counts them.
-_SLICE, _CHUNK = 8192, 8 << 20
+_SLICE, _CHUNK = 8192, 3 << 20
 
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def _contexts(shared, bits: int, tail: bool):
                 x = number[which]
                 a, b = mine & (before >= 0), mine & (after >= 0)
                 key = np.concatenate([x[a] * slots + before[a], x[b] * slots + k + after[b]])
-                rows, step = [], max(1, (1 << 23) // slots)
+                rows, step = [], max(1, (1 << 22) // slots)
                 bucket = (words >> np.uint64(64 - bits)).astype(np.int64)
                 for lo in range(0, len(words), step):
                     part = key[(key >= lo * slots) & (key < (lo + step) * slots)] - lo * slots
