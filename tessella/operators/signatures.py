@@ -81,6 +81,20 @@ def score_difference(a: Matrix, positive: DataFrame, negative: DataFrame, standa
     return f(a, both).groupBy("row").agg(F.sum(F.when(F.col("set_id") == 0, F.col("score")).otherwise(-F.col("score"))).alias("score"))
 
 
+def column_means(a: Matrix) -> DataFrame:
+    """``col, mean`` over all rows."""
+    return col_moments(a).select("col", "mean")
+
+
+def gene_set_score(a: Matrix, columns: DataFrame, method: str = "mean") -> DataFrame:
+    """``row, score`` of one set (``col``): mean over the set, sum, or mean of expressed columns."""
+    one = columns.select(F.lit(0).alias("set_id"), "col")
+    if method == "sum":
+        s = a.entries.join(columns, "col", "left_semi").groupBy("row").agg(F.sum("v").alias("score"))
+        return a.over_rows(s).select("row", zero("score"))
+    return {"mean": mean_score, "expressed": expressed_mean_score}[method](a, one).select("row", "score")
+
+
 def zscore_score(a: Matrix, sets: DataFrame) -> DataFrame:
     """``set_id, row, score``: mean over the set of column z scores, implicit zeros included.
 
@@ -361,6 +375,22 @@ def volcano(stats: DataFrame, fc_weight: float = 0.5, es_weight: float = 0.5) ->
     return stats.select("col", (fc_weight * F.col("lfc") + es_weight * F.col("effect")).alias("score"))
 
 
+def differential_markers(a: Matrix, groups: DataFrame, first: int, second: int, pseudo: float = 1.0) -> DataFrame:
+    """``col, lfc, pct_diff`` of one group against another."""
+    d = group_means(a, groups).join(percent_expressed(a, groups), ["col", "grp"]).where(F.col("grp").isin(first, second)).groupBy("col")
+    at = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
+    return d.agg(F.log2((at(first, "mean") + pseudo) / (at(second, "mean") + pseudo)).alias("lfc"), (at(first, "pct") - at(second, "pct")).alias("pct_diff"))
+
+
+def top_markers(a: Matrix, groups: DataFrame, n_top: int = 10) -> DataFrame:
+    """``grp, col, score, rank``: a group's mean less the mean of the other groups' means, best first."""
+    w = Window.partitionBy("col")
+    others = (F.sum("mean").over(w) - F.col("mean")) / F.nullif(F.count(F.lit(1)).over(w) - 1, F.lit(0))
+    d = group_means(a, groups).select("grp", "col", (F.col("mean") - F.coalesce(others, F.lit(0.0))).alias("score"))
+    best = Window.partitionBy("grp").orderBy(F.round("score", 9).desc(), "col")
+    return d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n_top)
+
+
 # --- annotation --------------------------------------------------------------
 
 
@@ -614,6 +644,12 @@ def differential_communication(a: Matrix, types: DataFrame, conditions: DataFram
     return j.select("pair", "sender", "receiver", (F.col("s1") - F.col("s0")).alias("diff"), F.log2((F.col("s1") + 1e-10) / (F.col("s0") + 1e-10)).alias("log2_ratio"))
 
 
+def communication_probability(a: Matrix, types: DataFrame, pairs: DataFrame, half: float = 0.5) -> DataFrame:
+    """``pair, sender, receiver, p``: saturating law of mass action, LR / (half + LR)."""
+    s = lr_scores(a, types, pairs)
+    return s.select("pair", "sender", "receiver", F.coalesce(F.col("score") / F.nullif(F.lit(half) + F.col("score"), F.lit(0.0)), F.lit(0.0)).alias("p"))
+
+
 # --- networks of columns -----------------------------------------------------
 
 
@@ -815,6 +851,27 @@ def group_cohesion(a: Matrix, groups: DataFrame) -> DataFrame:
     return s.select("grp", F.coalesce(1 / (F.sqrt(mean_sq) + 1e-10), F.lit(0.0)).alias("cohesion"))
 
 
+def group_separation(a: Matrix, groups: DataFrame) -> DataFrame:
+    """``grp, separation``: distance to the nearest other group mean."""
+    d = centroid_distances(a, groups)
+    return d.select("a", "dist").union(d.select("b", "dist")).toDF("grp", "dist").groupBy("grp").agg(F.min("dist").alias("separation"))
+
+
+def population_balance(groups: DataFrame) -> DataFrame:
+    """``balance``: entropy of group shares over the log of the number of groups."""
+    c = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    p = c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("t")))).select((F.col("n") / F.col("t")).alias("p"))
+    return p.agg(F.when(F.count(F.lit(1)) > 1, -F.sum(F.col("p") * F.log("p")) / F.log(F.count(F.lit(1)).cast("double"))).otherwise(F.lit(0.0)).alias("balance"))
+
+
+def cluster_stability(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``label, stability``: the best Jaccard overlap of a cluster (``id, label``) with one of another clustering."""
+    c = first.join(second.withColumnRenamed("label", "other"), "id").groupBy("label", "other").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda k: F.sum("n").over(Window.partitionBy(k))
+    j = c.withColumn("j", F.col("n") / (size("label") + size("other") - F.col("n")))
+    return j.groupBy("label").agg(F.max("j").alias("stability"))
+
+
 def group_quality(a: Matrix, groups: DataFrame) -> DataFrame:
     """``grp, quality`` = cohesion * distance to the nearest other centroid."""
     d = centroid_distances(a, groups)
