@@ -111,13 +111,13 @@ def _decide(groups: DataFrame, weights, share: float, cap: float, seed: int, blo
     goal = targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n_docs")), list(weights), share, cap)
     per_doc = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("whole", F.floor(per_doc + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), per_doc - F.col("whole")))
-    goal = store(goal.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p"))))
+    goal = goal.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")))
     most = goal.agg(F.max("n_docs")).first()[0] or 0
     keyed = goal.withColumnRenamed("source", "s")
     same = lambda a: F.col(a).eqNullSafe(F.col("s"))
 
     # A source has one row: a small table is broadcast by its known size, else AQE splits hot sources.
-    items = cut(groups.join(keyed, same("source"), "left").drop("s"))
+    items = groups.join(keyed, same("source"), "left").drop("s")
     once = F.col("m") * F.col("p")
     alone = F.floor(once + 1e-9)  # rows of a group that become 1 by pairs among themselves
     items = items.withColumn("up", F.when(F.col("size") > 0, alone).otherwise(F.lit(0)).cast("long")).withColumn("left", F.when((F.col("size") > 0) & (once - alone > 1e-9), once - alone).otherwise(0.0))
