@@ -16,26 +16,33 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int, tol: float | None = None, key: str = "id", value: str = "x", norm: str = "l1") -> DataFrame:
-    """Applies ``step`` up to ``max_iter`` times; stops when the change of ``value`` by ``key`` is
-    below ``tol`` (sum of absolute changes, or the largest). Without ``tol`` the plan is cut every
-    few steps only, to bound its growth."""
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], max_iter: int, tol: float | None = None, key: str = "id", value: str = "x", norm: str = "l1", every: int = 1) -> DataFrame:
+    """Applies ``step`` up to ``max_iter`` times; stops when the change of ``value`` by ``key`` over
+    ``every`` steps is below ``tol`` (sum of absolute changes, or the largest). With ``tol`` the plan is
+    cut every ``every`` steps (more than one only for steps that read the state once, else the plan
+    doubles with each), without it every few."""
+    held = state
     for i in range(max_iter):
-        new = step(state)
+        state = step(state)
+        if (i + 1) % (every if tol is not None else 3) and i + 1 < max_iter:
+            continue
         if tol is None:
-            state = cut(new) if i % 3 == 2 else new
+            state = cut(state) if (i + 1) % 3 == 0 else state
             continue
-        new = cut(new)
+        state = cut(state)
         change = F.abs(F.col("_new") - F.col("_old"))
-        pair = new.select(key, F.col(value).cast("double").alias("_new")).join(state.select(key, F.col(value).cast("double").alias("_old")), key)
+        pair = state.select(key, F.col(value).cast("double").alias("_new")).join(held.select(key, F.col(value).cast("double").alias("_old")), key)
         delta = pair.agg((F.sum(change) if norm == "l1" else F.max(change)).alias("d")).first()["d"]
-        state = new
+        held = state
         if delta is None or delta < tol:
             break
     return state

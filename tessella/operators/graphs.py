@@ -330,7 +330,7 @@ def random_walk_with_restart(g: Graph, seeds: list[int], alpha: float = 0.85, ma
     def step(s: DataFrame) -> DataFrame:
         return r.join(_push(g, s), "id", "left").select("id", (alpha * F.coalesce("f", F.lit(0.0)) + (1 - alpha) * F.col("r")).alias("x"))
 
-    return iterate(r.select("id", F.col("r").alias("x")), step, max_iter, tol)
+    return iterate(r.select("id", F.col("r").alias("x")), step, max_iter, tol, every=4)
 
 
 def dpt(g: Graph, root: int, max_iter: int = 100) -> DataFrame:
@@ -369,7 +369,7 @@ def diffusion_distance(g: Graph, n_steps: int = 3) -> DataFrame:
 def stationary_distribution(g: Graph, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
     t = Graph(cut(row_stochastic(g)), g.nodes)
     start = cut(g.nodes.select("id", F.lit(1.0 / max(g.n, 1)).alias("x")))
-    return iterate(start, lambda s: g.over_nodes(_push(t, s, transpose=True)).select("id", F.coalesce("f", F.lit(0.0)).alias("x")), max_iter, tol)
+    return iterate(start, lambda s: g.over_nodes(_push(t, s, transpose=True)).select("id", F.coalesce("f", F.lit(0.0)).alias("x")), max_iter, tol, every=8)
 
 
 def terminal_states(g: Graph, threshold: float = 0.8) -> DataFrame:
@@ -386,7 +386,7 @@ def _fixed(g: Graph, fixed: DataFrame, add: float, max_iter: int, tol: float, st
     def step(s: DataFrame) -> DataFrame:
         return base.join(_push(t, s), "id", "left").select("id", F.coalesce("fix", add + F.coalesce("f", F.lit(0.0))).alias("x"))
 
-    return iterate(base.select("id", F.coalesce("fix", F.lit(start)).alias("x")), step, max_iter, tol, norm="max")
+    return iterate(base.select("id", F.coalesce("fix", F.lit(start)).alias("x")), step, max_iter, tol, norm="max", every=8)
 
 
 def absorption_probability(g: Graph, terminals: list[int], max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:

@@ -237,6 +237,13 @@ def fused_qc(a: Matrix, subset: DataFrame) -> DataFrame:
     return a.over_rows(q).select("row", F.coalesce("n_genes", F.lit(0)).alias("n_genes"), zero("total_counts"), F.coalesce(pct, F.lit(0.0)).alias("pct"))
 
 
+def subset_outliers(a: Matrix, subset: DataFrame, threshold: float) -> DataFrame:
+    """``row, fraction, outlier``: a row's share of its sum in the subset's columns, and whether it is above the threshold."""
+    s = a.entries.join(subset.select("col", F.lit(1.0).alias("_in")), "col", "left").groupBy("row").agg(F.sum(F.col("v") * F.coalesce("_in", F.lit(0.0))).alias("s"), F.sum("v").alias("t"))
+    f = F.coalesce(F.col("s") / F.nullif(F.col("t"), F.lit(0.0)), F.lit(0.0))
+    return a.over_rows(s).select("row", f.alias("fraction"), (f > threshold).alias("outlier"))
+
+
 def qc_filter(a: Matrix, mito: DataFrame, min_genes=0, max_genes=1 << 60, min_counts=0.0, max_counts=1e300, max_mito_fraction=1.0) -> DataFrame:
     """``row, keep``: detected columns, totals and subset share within bounds."""
     q = fused_qc(a, mito)

@@ -428,6 +428,11 @@ def knn_doublet_score(nbrs: DataFrame, synthetic: DataFrame) -> DataFrame:
     return nbrs.join(s, "nbr", "left").groupBy("row").agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
+def artificial_share(vectors: DataFrame, synthetic: DataFrame, share: float) -> DataFrame:
+    """``row, score``: share of synthetic rows among the ceil(share * rows) nearest of all rows."""
+    return knn_doublet_score(dense_knn(vectors, max(1, math.ceil(share * vectors.count()))), synthetic)
+
+
 def estimate_threshold(scores: DataFrame, rate: float) -> DataFrame:
     """``threshold``: the sorted score at index floor((1 - rate)(n - 1))."""
     from .testing import ordered

@@ -56,27 +56,35 @@ def lipschitz(a: Matrix, n_iter: int = 15) -> float:
     return float(top)
 
 
-def _gradient(a: Matrix, y: DataFrame, b: DataFrame) -> DataFrame:
-    """``col, g`` = X'(X b - y)."""
-    xb = a.entries.join(b.where("b <> 0"), "col").groupBy("row").agg(F.sum(F.col("v") * F.col("b")).alias("p"))
-    r = y.join(xb, "row", "left").select("row", (F.coalesce("p", F.lit(0.0)) - F.col("y")).alias("r"))
-    return a.entries.join(r, "row").groupBy("col").agg(F.sum(F.col("v") * F.col("r")).alias("g"))
+def normal_equations(a: Matrix, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``col, o, g`` = X'X, ``col, c`` = X'y): the rows are read once, iterations stay among columns."""
+    e = cut(a.entries.select("row", "col", F.col("v").cast("double").alias("v")))
+    g = e.join(e.select("row", F.col("col").alias("o"), F.col("v").alias("u")), "row").groupBy("col", "o").agg(F.sum(F.col("v") * F.col("u")).alias("g"))
+    c = e.join(y, "row").groupBy("col").agg(F.sum(F.col("v") * F.col("y")).alias("c"))
+    return cut(g), cut(a.over_cols(c).select("col", F.coalesce("c", F.lit(0.0)).alias("c")))
+
+
+def _gradient(eq: tuple[DataFrame, DataFrame], b: DataFrame) -> DataFrame:
+    """``col, g`` = X'X b - X'y."""
+    gram, c = eq
+    gb = gram.join(b.select(F.col("col").alias("o"), "b"), "o").groupBy("col").agg(F.sum(F.col("g") * F.col("b")).alias("gb"))
+    return c.join(gb, "col", "left").select("col", (F.coalesce("gb", F.lit(0.0)) - F.col("c")).alias("g"))
 
 
 def proximal_gradient(a: Matrix, y: DataFrame, alpha: float, kind: str = "l1", max_iter: int = 100, tol: float = 1e-6, accelerate: bool = False, l1_ratio: float = 0.5, scale: float = 1.0) -> DataFrame:
     """``col, b`` minimising |X b - y|^2 / 2 + alpha * scale * penalty."""
-    step = 1.0 / (1.01 * lipschitz(a))
+    step, eq = 1.0 / (1.01 * lipschitz(a)), normal_equations(a, y)
     prox = proximal(kind, alpha * scale * step, l1_ratio)
-    b = cut(a.cols.select("col", F.lit(0.0).alias("b"), F.lit(0.0).alias("z")))
+    b = a.cols.select("col", F.lit(0.0).alias("b"), F.lit(0.0).alias("z"))
     t = 1.0
     for _ in range(max_iter):
-        g = _gradient(a, y, b.select("col", F.col("z").alias("b")))
+        g = _gradient(eq, b.select("col", F.col("z").alias("b")))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2 if accelerate else 1.0
         mom = (t - 1) / t_new if accelerate else 0.0
-        n = b.join(g, "col", "left").select("col", F.col("b").alias("old"), prox(F.col("z") - step * F.coalesce("g", F.lit(0.0))).alias("b"))
-        n = cut(n.select("col", "b", (F.col("b") + mom * (F.col("b") - F.col("old"))).alias("z"), F.abs(F.col("b") - F.col("old")).alias("d")))
-        d = n.agg(F.max("d"), F.max(F.abs("b"))).first()
-        b, t = n.select("col", "b", "z"), t_new
+        n = b.join(g, "col").select("col", F.col("b").alias("old"), prox(F.col("z") - step * F.col("g")).alias("b"))
+        b, t = n.select("col", "b", (F.col("b") + mom * (F.col("b") - F.col("old"))).alias("z"), F.abs(F.col("b") - F.col("old")).alias("d")), t_new
+        b = cut(b)
+        d = b.agg(F.max("d"), F.max(F.abs("b"))).first()
         if (d[0] or 0.0) <= tol * max(d[1] or 0.0, 1.0):
             break
     return b.select("col", "b")
@@ -109,23 +117,25 @@ def lasso_path(a: Matrix, y: DataFrame, alphas: list[float], **kw) -> DataFrame:
 
 def iht(a: Matrix, y: DataFrame, sparsity: int, max_iter: int = 50) -> DataFrame:
     """Iterative hard thresholding: a gradient step, then the ``sparsity`` largest coefficients stay."""
-    step = 1.0 / (1.01 * lipschitz(a))
-    b = cut(a.cols.select("col", F.lit(0.0).alias("b")))
+    step, eq = 1.0 / (1.01 * lipschitz(a)), normal_equations(a, y)
+    b = a.cols.select("col", F.lit(0.0).alias("b"))
     for _ in range(max_iter):
-        n = b.join(_gradient(a, y, b), "col", "left").select("col", (F.col("b") - step * F.coalesce("g", F.lit(0.0))).alias("b"))
-        b = cut(n.where("b <> 0").orderBy(F.desc(F.abs("b")), "col").limit(sparsity))
+        n = a.over_cols(b).join(_gradient(eq, b), "col").select("col", (F.coalesce("b", F.lit(0.0)) - step * F.col("g")).alias("b"))
+        b = n.where("b <> 0").orderBy(F.desc(F.abs("b")), "col").limit(sparsity)
+        b = cut(b)
     return a.over_cols(b).select("col", F.coalesce("b", F.lit(0.0)).alias("b"))
 
 
 def group_lasso(a: Matrix, y: DataFrame, groups: DataFrame, alpha: float, max_iter: int = 100) -> DataFrame:
     """``col, b``: blocks (``col, grp``) shrunk together at alpha * sqrt(size)."""
-    step = 1.0 / (1.01 * lipschitz(a))
+    step, eq = 1.0 / (1.01 * lipschitz(a)), normal_equations(a, y)
     w = Window.partitionBy("grp")
-    b = cut(a.cols.select("col", F.lit(0.0).alias("b")))
+    b = a.cols.select("col", F.lit(0.0).alias("b"))
     for _ in range(max_iter):
-        n = b.join(_gradient(a, y, b), "col", "left").join(groups, "col").select("col", "grp", (F.col("b") - step * F.coalesce("g", F.lit(0.0))).alias("u"))
+        n = b.join(_gradient(eq, b), "col").join(groups, "col").select("col", "grp", (F.col("b") - step * F.col("g")).alias("u"))
         norm = F.sqrt(F.sum(F.col("u") * F.col("u")).over(w))
-        b = cut(n.select("col", (F.col("u") * F.greatest(F.lit(0.0), 1 - alpha * step * F.sqrt(F.count(F.lit(1)).over(w)) / F.greatest(norm, F.lit(EPS)))).alias("b")))
+        b = n.select("col", (F.col("u") * F.greatest(F.lit(0.0), 1 - alpha * step * F.sqrt(F.count(F.lit(1)).over(w)) / F.greatest(norm, F.lit(EPS)))).alias("b"))
+        b = cut(b)
     return b
 
 
@@ -140,5 +150,6 @@ def sparse_logistic(a: Matrix, y: DataFrame, alpha: float, max_iter: int = 100)
         r = y.join(xb, "row", "left").select("row", (1 / (1 + F.exp(-F.coalesce("p", F.lit(0.0)))) - F.col("y")).alias("r"))
         g = full.entries.join(r, "row").groupBy("col").agg(F.sum(F.col("v") * F.col("r")).alias("g"))
         u = F.col("b") - step * F.coalesce("g", F.lit(0.0))
-        b = cut(b.join(g, "col", "left").select("col", F.when(F.col("col") == -1, u).otherwise(soft(u, alpha * step)).alias("b")))
+        b = b.join(g, "col", "left").select("col", F.when(F.col("col") == -1, u).otherwise(soft(u, alpha * step)).alias("b"))
+        b = cut(b)
     return b

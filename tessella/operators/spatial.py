@@ -135,6 +135,20 @@ def local_morans_i(g: Graph, values: DataFrame) -> DataFrame:
     return d.select("id", i.alias("i"), zz.alias("z")).withColumn("p", two_sided(F.col("z")))
 
 
+def local_morans_by_column(g: Graph, x: DataFrame) -> DataFrame:
+    """``id, dim, i``: the local statistic of every column of ``id, dim, x``."""
+    m = x.groupBy("dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("m2"))
+    z = x.join(F.broadcast(m), "dim").select("id", "dim", (F.col("x") - F.col("m")).alias("z"), "m2")
+    j = g.edges.join(z.select(F.col("id").alias("dst"), "dim", F.col("z").alias("zj")), "dst").groupBy(F.col("src").alias("id"), "dim").agg(F.sum(F.col("w") * F.col("zj")).alias("lag"))
+    return j.join(z, ["id", "dim"]).select("id", "dim", F.coalesce(F.col("z") * F.col("lag") / F.nullif(F.col("m2"), F.lit(0.0)), F.lit(0.0)).alias("i"))
+
+
+def most_variable(x: DataFrame, n: int) -> DataFrame:
+    """``id, dim, x`` of the n columns of largest variance."""
+    top = x.groupBy("dim").agg(F.var_pop("x").alias("_v")).orderBy(F.desc("_v"), "dim").limit(n).select("dim")
+    return x.join(F.broadcast(top), "dim").select("id", "dim", "x")
+
+
 def local_gearys_c(g: Graph, values: DataFrame) -> DataFrame:
     """``id, c``: sum w (x_i - x_j)^2 / m2."""
     d = F.col("zi") - F.col("zj")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..loops import cut
 from ..model import Graph, Matrix
 from .matrix import col_moments
 
@@ -143,3 +144,19 @@ def lineage_drivers(a: Matrix, fate: DataFrame) -> DataFrame:
     from .matrix import pearson_with
 
     return pearson_with(a, fate)
+
+
+def velocity_stream(points: DataFrame, flow: DataFrame, start: int, max_steps: int, step: float) -> DataFrame:
+    """``step, x, y``: a streamline from a point, each step along the velocity of the nearest point;
+    a step is one aggregate over all points, and only its position reaches the driver."""
+    p = cut(points.join(flow, "id"))
+    row = p.where(F.col("id") == start).select("x", "y").first()
+    trace = [(0, row["x"], row["y"])] if row else []
+    for i in range(max_steps if row else 0):
+        x, y = trace[-1][1:]
+        d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+        v = p.agg(F.min(F.struct(d.alias("d"), "id", "vx", "vy")).alias("b")).first()["b"]
+        if v["vx"] * v["vx"] + v["vy"] * v["vy"] < 1e-24:
+            break
+        trace.append((i + 1, x + step * v["vx"], y + step * v["vy"]))
+    return points.sparkSession.createDataFrame(trace, "step int, x double, y double")

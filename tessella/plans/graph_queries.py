@@ -115,10 +115,10 @@ q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph))
 q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph))
 q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
-q("pagerank", lambda n: G.pagerank(n.graph))
-q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3)))
-q("hits", lambda n: G.hits(n.graph))
-q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph))
+q("pagerank", lambda n: G.pagerank(n.graph, max_iter=40))
+q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3), max_iter=40))
+q("hits", lambda n: G.hits(n.graph, max_iter=30))
+q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph, max_iter=30))
 q("katz_centrality", lambda n: G.katz_centrality(n.graph, alpha=0.05))
 q("row_stochastic", lambda n: G.row_stochastic(n.graph), E + "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e", "w", "src dst")
 SN = E + ", dw AS (SELECT src, sum(w) AS d FROM e GROUP BY 1), sn AS (SELECT e.src, e.dst, w / sqrt(a.d * b.d) AS w FROM e JOIN dw a ON a.src = e.src JOIN dw b ON b.src = e.dst) "
@@ -127,23 +127,23 @@ q("symmetrize_transition", lambda n: G.symmetrize_transition(n.graph), E + "SELE
 q("diffuse_vector", lambda n: G.diffuse_vector(Graph(G.row_stochastic(n.graph), n.graph.nodes), n.values.select("id", F.col("value").alias("x")), 2), EV + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e), s1 AS (SELECT src AS id, sum(w * value) AS x FROM t JOIN val ON val.id = dst GROUP BY 1) SELECT src AS id, sum(w * x) AS x FROM t JOIN s1 ON s1.id = dst GROUP BY 1", "x", "id")
 q("lazy_random_walk", lambda n: G.diffuse_vector(Graph(G.row_stochastic(n.graph), n.graph.nodes), n.values.select("id", F.col("value").alias("x")), 1, 0.5), EV + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e), s1 AS (SELECT src AS id, sum(w * value) AS x FROM t JOIN val ON val.id = dst GROUP BY 1) SELECT val.id AS id, 0.5 * value + 0.5 * x AS x FROM val JOIN s1 ON s1.id = val.id", "x", "id")
 q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4))
-q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1], max_iter=8))
+q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1]))
 q("compute_dpt", lambda n: G.dpt(Graph(G.row_stochastic(n.graph), n.graph.nodes), 0, 8))
 q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
-q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=10))
+q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=24))
 q("identify_terminal_states", lambda n: G.terminal_states(n.graph), UND + "SELECT id, d <= 1 AS terminal FROM dg", "", "id")
-q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=10))
-q("hitting_time", lambda n: G.hitting_time(n.graph, [0], max_iter=10))
-q("forward_committor", lambda n: G.forward_committor(n.graph, [0], [5], max_iter=10))
-q("harmonic_function", lambda n: G.harmonic_function(n.graph, n.values.where("id % 5 = 0"), max_iter=10))
+q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=24))
+q("hitting_time", lambda n: G.hitting_time(n.graph, [0], max_iter=24))
+q("forward_committor", lambda n: G.forward_committor(n.graph, [0], [5], max_iter=24))
+q("harmonic_function", lambda n: G.harmonic_function(n.graph, n.values.where("id % 5 = 0"), max_iter=24))
 q("coarse_grain_transition", lambda n: G.coarse_grain(n.graph, n.vectors.select("id", (F.col("id") % 3).alias("label"))), E + "SELECT src % 3 AS a, dst % 3 AS b, sum(w) / sum(sum(w)) OVER (PARTITION BY src % 3) AS p FROM e GROUP BY 1, 2", "p", "a b")
 _pt = lambda n: n.values.select("id", F.col("value").alias("t"))
 q("directional_score", lambda n: G.directional_score(n.graph, _pt(n)), EV + ", s AS (SELECT src, sum(CASE WHEN b.value > a.value THEN w ELSE 0 END) AS f, sum(CASE WHEN b.value < a.value THEN w ELSE 0 END) AS g FROM e JOIN val a ON a.id = src JOIN val b ON b.id = dst GROUP BY 1) SELECT src AS id, (f - g) / (f + g) AS score FROM s", "score", "id")
 q("fate_entropy", lambda n: G.fate_entropy(n.vectors.select("id", F.explode(F.array(F.lit(0.2), F.lit(0.8))).alias("p"))), "SELECT vec_id AS id, -(0.2 * ln(0.2) + 0.8 * ln(0.8)) AS h FROM embeddings", "h", "id")
 _seed = lambda n: n.vectors.select("id", F.when(F.col("id") % 7 == 0, F.col("label")).otherwise(-1).alias("label"))
 q("label_propagation", lambda n: G.label_propagation(n.graph, _seed(n)))
-q("label_spreading", lambda n: G.hard_labels(G.label_spreading(n.graph, _seed(n).where("label >= 0"), max_iter=6)).select("id", "label"))
-q("confidence_propagation", lambda n: G.confidence_propagation(n.graph, _seed(n).withColumn("confidence", F.lit(1.0)), max_iter=5).select("id", "label"))
+q("label_spreading", lambda n: G.hard_labels(G.label_spreading(n.graph, _seed(n).where("label >= 0"), max_iter=20)).select("id", "label"))
+q("confidence_propagation", lambda n: G.confidence_propagation(n.graph, _seed(n).withColumn("confidence", F.lit(1.0)), max_iter=20).select("id", "label"))
 q("init_soft_labels", lambda n: G.soft_labels(_seed(n), 10, 0.9), with_("ty") + "SELECT id, k AS label, CASE WHEN id % 7 <> 0 THEN 0.1 WHEN type = k THEN 0.9 ELSE 0.1 / 9 END AS x FROM ty CROSS JOIN (SELECT unnest(range(0, 10)) AS k)", "x", "id label")
 q("inductive_transfer", lambda n: G.inductive_transfer(n.nbrs.where("row % 2 = 1 and nbr % 2 = 0").select(F.col("row").alias("query"), F.col("nbr").alias("ref"), F.lit(1.0).alias("w")), _batches(n), n.vectors.where("id % 2 = 1").select("id"), 0.6), NB + ", v AS (SELECT i AS id, k % 3 AS label, count(*) AS w FROM nb WHERE i % 2 = 1 AND k % 2 = 0 GROUP BY 1, 2), b AS (SELECT id, label, w / sum(w) OVER (PARTITION BY id) AS c FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) SELECT vec.id AS id, CASE WHEN c >= 0.6 THEN b.label ELSE -1 END AS label FROM vec LEFT JOIN b ON b.id = vec.id WHERE vec.id % 2 = 1", "", "id label")
 q("dijkstra", lambda n: G.shortest_paths(n.graph, [0, 1]))
@@ -248,9 +248,9 @@ q("velocity_terminals", lambda n: V.velocity_terminals(n.graph, n.values.select(
 # --- communities, randomised, optimisation -----------------------------------
 q("louvain", lambda n: C.louvain(n.graph, max_levels=2, max_rounds=4))
 q("leiden", lambda n: C.leiden(n.graph, max_levels=1, max_rounds=3))
-q("kmeans", lambda n: C.kmeans(n.long_vectors, 4, 5))
+q("kmeans", lambda n: C.kmeans(n.long_vectors, 4, 8))
 q("spatial_domain", lambda n: C.spatial_domains(n.points, n.long_vectors, 3))
-q("hierarchical_clustering", lambda n: C.hierarchical(n.nbrs.where("row < nbr and row < 100").select(F.col("row").alias("a"), F.col("nbr").alias("b"), F.col("dist").alias("d")), 500))
+q("hierarchical_clustering", lambda n: C.hierarchical(n.nbrs.where("row < nbr").select(F.col("row").alias("a"), F.col("nbr").alias("b"), F.col("dist").alias("d")), n.graph.n))
 for _k in ("gaussian", "achlioptas", "sparse", "countsketch", "feature_hash"):
     q(f"project_{_k}", lambda n, k=_k: R.project(n.m, 16, k))
 q("uniform_sampling", lambda n: R.uniform_sample(n.vectors.select("id"), 50))
@@ -274,7 +274,7 @@ q("current_flow_betweenness_approx", lambda n: R.visit_frequency(n.graph.edges,
 _ry = lambda n: n.expr.rows.join(n.expr.entries.where("col = 0").select("row", "v"), "row", "left").select("row", (3 * F.coalesce("v", F.lit(0.0))).alias("y"))
 q("prox_l1", lambda n: O.prox_l1(n.values.select("id", F.col("value").alias("x")), 0.05), with_("val") + "SELECT id, sign(value) * greatest(0, abs(value) - 0.05) AS x FROM val", "x", "id")
 q("prox_elastic_net", lambda n: O.prox_elastic_net(n.values.select("id", F.col("value").alias("x")), 0.1, 0.5), with_("val") + "SELECT id, sign(value) * greatest(0, abs(value) - 0.05) / 1.05 AS x FROM val", "x", "id")
-q("fista", lambda n: O.fista(n.expr, _ry(n), 0.5, max_iter=8))
-q("iht", lambda n: O.iht(n.expr, _ry(n), 2, 5))
-q("group_lasso", lambda n: O.group_lasso(n.expr, _ry(n), n.expr.cols.select("col", (F.col("col") % 2).alias("grp")), 0.5, 5))
-q("sparse_logistic_regression", lambda n: O.sparse_logistic(n.expr, n.expr.rows.select("row", (F.col("row") % 2).cast("double").alias("y")), 0.5, 5))
+q("fista", lambda n: O.fista(n.expr, _ry(n), 0.5, max_iter=30))
+q("iht", lambda n: O.iht(n.expr, _ry(n), 2, 20))
+q("group_lasso", lambda n: O.group_lasso(n.expr, _ry(n), n.expr.cols.select("col", (F.col("col") % 2).alias("grp")), 0.5, 20))
+q("sparse_logistic_regression", lambda n: O.sparse_logistic(n.expr, n.expr.rows.select("row", (F.col("row") % 2).cast("double").alias("y")), 0.5, 20))

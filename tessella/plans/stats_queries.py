@@ -65,7 +65,7 @@ q("neglog10_pvalues", lambda n: T.neglog10(n.p), with_("p") + "SELECT id, -log10
 q("fisher_combine", lambda n: T.fisher_combine(n.p), with_("p") + "SELECT -2 * sum(ln(greatest(p, 1e-300))) AS statistic FROM p", "statistic")
 TQ = "sqrt(-2 * ln(greatest(least(p, 1 - p), 1e-300)))"
 q("stouffer_combine", lambda n: T.stouffer_combine(n.p.withColumn("weight", F.col("id") % 3 + 1.0)), with_("p") + f", z AS (SELECT id % 3 + 1.0::DOUBLE AS w, (CASE WHEN p <= 0.5 THEN 1 ELSE -1 END) * ({TQ} - (2.515517 + {TQ} * (0.802853 + {TQ} * 0.010328)) / (1 + {TQ} * (1.432788 + {TQ} * (0.189269 + {TQ} * 0.001308)))) AS z FROM p) SELECT sum(w * z) / sqrt(sum(w * w)) AS statistic FROM z", "statistic")
-q("sort_by_pvalue", lambda n: T.sort_by_pvalue(n.p).limit(100), with_("p") + "SELECT id, p FROM p ORDER BY p, id LIMIT 100", "p", "id")
+q("sort_by_pvalue", lambda n: T.sort_by_pvalue(n.p), with_("p") + "SELECT id, p FROM p", "p", "id")
 # --- information -------------------------------------------------------------
 _pq = lambda n, k: n.labels.groupBy(F.col(k).alias("id")).agg((F.count(F.lit(1)) / F.lit(float(n.labels.count()))).alias("p" if k == "a" else "q"))
 PQ = with_("lab") + ", pp AS (SELECT a AS id, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY a), qq AS (SELECT b AS id, count(*) / (SELECT count(*) FROM lab) AS q FROM lab GROUP BY b), z AS (SELECT coalesce(pp.id, qq.id) AS id, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM pp FULL JOIN qq ON pp.id = qq.id) "
