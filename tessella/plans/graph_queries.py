@@ -126,7 +126,10 @@ q("compute_transition_matrix", lambda n: G.symmetric_normalized(n.graph), SN + "
 q("symmetrize_transition", lambda n: G.symmetrize_transition(n.graph), E + "SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e", "w", "src dst")
 q("diffuse_vector", lambda n: G.diffuse_vector(Graph(G.row_stochastic(n.graph), n.graph.nodes), n.values.select("id", F.col("value").alias("x")), 2), EV + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e), s1 AS (SELECT src AS id, sum(w * value) AS x FROM t JOIN val ON val.id = dst GROUP BY 1) SELECT src AS id, sum(w * x) AS x FROM t JOIN s1 ON s1.id = dst GROUP BY 1", "x", "id")
 q("lazy_random_walk", lambda n: G.diffuse_vector(Graph(G.row_stochastic(n.graph), n.graph.nodes), n.values.select("id", F.col("value").alias("x")), 1, 0.5), EV + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e), s1 AS (SELECT src AS id, sum(w * value) AS x FROM t JOIN val ON val.id = dst GROUP BY 1) SELECT val.id AS id, 0.5 * value + 0.5 * x AS x FROM val JOIN s1 ON s1.id = val.id", "x", "id")
-q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4))
+HK = EV
+for _i in range(4):
+    HK += f", h{_i + 1} AS (SELECT id, 0.75 * {'1.0' if not _i else f'x'} + 0.25 * coalesce(f, 0) AS x FROM {'nd' if not _i else f'h{_i}'} LEFT JOIN (SELECT src, sum(w{'' if not _i else ' * x'}) AS f FROM e {'' if not _i else f'JOIN h{_i} ON h{_i}.id = dst'} GROUP BY 1) p ON p.src = id)"
+q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4), HK + " SELECT id, x FROM h4", "x", "id", digits=5)
 q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1]))
 q("compute_dpt", lambda n: G.dpt(Graph(G.row_stochastic(n.graph), n.graph.nodes), 0, 8))
 q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
@@ -212,35 +215,37 @@ q("cell_cell_contact", lambda n: S.contact_matrix(n.graph, _ty(n)), E + "SELECT
 TF = E + ", f AS (SELECT id % 4 AS t, CAST(count(*) AS DOUBLE) AS k, count(*) / (SELECT count(*) FROM nd) AS f FROM nd GROUP BY 1), c AS (SELECT src % 4 AS a, dst % 4 AS b, count(*) AS c FROM e GROUP BY 1, 2), ob AS (SELECT x.t AS a, y.t AS b, x.k AS na, x.f AS fa, y.f AS fb, coalesce(c, 0) AS c, (SELECT count(*) FROM e) AS tot, (SELECT count(*) FROM e WHERE src % 4 = x.t) AS ta FROM f x CROSS JOIN f y LEFT JOIN c ON c.a = x.t AND c.b = y.t) "
 q("neighborhood_enrichment", lambda n: S.neighborhood_enrichment(n.graph, _ty(n)).select("a", "b", "z"), TF + "SELECT a, b, (c / ta - fb) / sqrt(fb * (1 - fb) / na) AS z FROM ob", "z", "a b")
 q("colocalization_matrix", lambda n: S.colocalization(n.graph, _ty(n)), TF + "SELECT a, b, log2(c / (fa * fb * tot)) AS score FROM ob", "score", "a b")
-q("niche_similarity", lambda n: S.niche_similarity(n.graph, _ty(n), n.spark.range(3)))
+q("niche_similarity", lambda n: S.niche_similarity(n.graph, _ty(n), n.spark.range(3)), E + ", sh AS (SELECT nd.id AS id, t, coalesce(p, 0) AS p FROM nd CROSS JOIN (SELECT unnest(range(0, 4)) AS t) LEFT JOIN (SELECT src, dst % 4 AS ty, count(*) / sum(count(*)) OVER (PARTITION BY src) AS p FROM e GROUP BY 1, 2) c ON c.src = nd.id AND c.ty = t) SELECT a.id AS query, b.id AS id, 1 - sqrt(greatest(0, 0.5 * sum(CASE WHEN a.p > 0 THEN a.p * log2(2 * a.p / (a.p + b.p)) ELSE 0 END + CASE WHEN b.p > 0 THEN b.p * log2(2 * b.p / (a.p + b.p)) ELSE 0 END))) AS similarity FROM sh a JOIN sh b ON a.t = b.t WHERE a.id < 3 GROUP BY 1, 2", "similarity", "query id", digits=5)
 q("spatial_gradient", lambda n: S.spatial_gradient(n.points, n.values), with_("pts val") + ", s AS (SELECT covar_pop(value, x) / var_pop(x) AS sx, covar_pop(value, y) / var_pop(y) AS sy FROM pts JOIN val USING (id)) SELECT sqrt(sx * sx + sy * sy) AS strength, sx / sqrt(sx * sx + sy * sy) AS dx, sy / sqrt(sx * sx + sy * sy) AS dy FROM s", "strength dx dy")
 q("periodic_pattern", lambda n: S.periodic_pattern(n.points, n.values, [0.5, 1.0, 2.0, 4.0]), with_("pts val") + ", w AS (SELECT unnest([0.5, 1.0, 2.0, 4.0]) AS l), s AS (SELECT CAST(l AS DOUBLE) AS wavelength, power(corr(value, cos(2 * pi() * x / l)), 2) + power(corr(value, sin(2 * pi() * x / l)), 2) AS score FROM pts JOIN val USING (id), w GROUP BY l) SELECT * FROM s ORDER BY score DESC, wavelength LIMIT 1", "wavelength score")
 q("ripleys_k", lambda n: S.ripleys_k(n.points, [0.1, 0.3, 0.5], 100.0), with_("pts") + ", r AS (SELECT unnest([0.1, 0.3, 0.5]) AS r) SELECT CAST(r AS DOUBLE) AS radius, 2 * (SELECT count(*) FROM pts a JOIN pts b ON a.id < b.id AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= r) * 100.0 / power((SELECT count(*) FROM pts), 2) AS k FROM r", "radius k")
 q("hotspot_analysis", lambda n: S.hotspot_analysis(n.points, n.values, 0.1))
 q("spatial_smoothing", lambda n: S.spatial_smoothing(n.points, n.expr, 0.1), with_("pts xp") + ", d AS (SELECT a.id AS s, b.id AS t, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d2 FROM pts a JOIN pts b ON a.id <> b.id), w AS (SELECT s, t, exp(-d2 / 0.02) AS w FROM d WHERE d2 <= 0.16), tw AS (SELECT s, sum(w) AS tw FROM w GROUP BY 1) SELECT w.s AS \"row\", j AS col, sum(w * v) / max(tw) AS v FROM w JOIN tw ON tw.s = w.s JOIN xp ON xp.i = w.t GROUP BY 1, 2", "v", "row col", digits=5)
-q("spatial_entropy", lambda n: S.spatial_entropy(n.points, _ty(n), 0.1))
-q("boundary_detection", lambda n: S.boundary_detection(n.nbrs.select("row", "nbr"), n.expr))
-q("spatial_coexpression", lambda n: S.spatial_coexpression(n.graph, n.values, n.points.select("id", F.col("x").alias("value"))))
+KW = with_("pts") + ", kw AS (SELECT a.id AS s, b.id AS t, exp(-(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 0.02) AS w FROM pts a JOIN pts b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.16) "
+q("spatial_entropy", lambda n: S.spatial_entropy(n.points, _ty(n), 0.1), KW + ", p AS (SELECT s, t % 4 AS ty, sum(w) / sum(sum(w)) OVER (PARTITION BY s) AS p FROM kw GROUP BY 1, 2) SELECT s AS id, -sum(p * ln(p)) / ln(4) AS h FROM p GROUP BY 1", "h", "id", digits=5)
+q("cell_type_interaction", lambda n: S.cell_type_interaction(n.points, _ty(n), 0.2), with_("pts") + ", ed AS (SELECT a.id % 4 AS a, b.id % 4 AS b FROM pts a JOIN pts b ON a.id <> b.id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.04), f AS (SELECT id % 4 AS t, count(*) / (SELECT count(*) FROM pts) AS f FROM pts GROUP BY 1) SELECT a, b, log2(count(*) / (max(x.f) * max(y.f) * (SELECT count(*) FROM ed))) AS score FROM ed JOIN f x ON x.t = a JOIN f y ON y.t = b GROUP BY 1, 2", "score", "a b")
+q("spatial_coexpression", lambda n: S.spatial_coexpression(n.graph, n.values, n.points.select("id", F.col("x").alias("value"))), with_("nb e val pts") + ", zx AS (SELECT id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM val), zy AS (SELECT id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM pts) SELECT sum(w * zx.z * zy.z) / sum(w) AS score FROM e JOIN zx ON zx.id = src JOIN zy ON zy.id = dst", "score")
 q("layer_assignment", lambda n: S.layer_assignment(n.points, 5), with_("pts") + "SELECT id, least(4, floor((x - min(x) OVER ()) / ((max(x) OVER () - min(x) OVER ()) / 5))) AS layer FROM pts", "", "id layer")
 q("radial_layer_assignment", lambda n: S.radial_layers(n.points, 0.0, 0.0, 5), with_("pts") + ", r AS (SELECT id, sqrt(x * x + y * y) AS r FROM pts) SELECT id, least(4, floor(r / (max(r) OVER () / 5))) AS layer FROM r", "", "id layer")
 q("zonation_score", lambda n: S.zonation(n.points, n.values, 0.0, 0.0), with_("pts val") + ", d AS (SELECT id, sqrt(x * x + y * y) AS d, value FROM pts JOIN val USING (id)) SELECT id, d / (SELECT max(d) FROM d) * abs((SELECT corr(d, value) FROM d)) AS score FROM d", "score", "id")
 q("tissue_architecture", lambda n: S.tissue_architecture(n.graph, _ty(n), n.nbrs.select(F.col("row").alias("src"), "dist")))
 q("region_statistics", lambda n: S.region_statistics(n.points, n.types.select("id", F.col("type").alias("region"))), with_("pts ty") + "SELECT type AS region, count(*) AS n, avg(x) AS cx, avg(y) AS cy, sqrt(var_pop(x) + var_pop(y)) AS spread FROM pts JOIN ty USING (id) GROUP BY 1", "cx cy spread", "region n")
 q("morphological_features", lambda n: S.morphology(n.points, n.types.select("id", F.col("type").alias("label"))))
-q("cell_type_interaction", lambda n: S.cell_type_interaction(n.points, _ty(n), 0.2))
 # --- velocity ----------------------------------------------------------------
 KIN = with_("m m2 ri cj") + ", k AS (SELECT cj.j AS j, coalesce(sum(m.v), 0) / max(n) AS ms, coalesce(sum(m2.v), 0) / max(n) AS mu, coalesce(sum(m.v * m.v), 0) / max(n) AS qs, coalesce(sum(m2.v * m2.v), 0) / max(n) AS qu, coalesce(sum(m.v * m2.v), 0) / max(n) AS xy FROM cj LEFT JOIN m ON m.j = cj.j LEFT JOIN m2 ON m2.i = m.i AND m2.j = m.j CROSS JOIN nr GROUP BY 1), kf AS (SELECT j, greatest(1e-10, (xy - ms * mu) / (qs - ms * ms)) AS gamma, power(xy - ms * mu, 2) / ((qs - ms * ms) * (qu - mu * mu)) AS r2 FROM k) "
 q("fit_gene_kinetics", lambda n: V.fit_kinetics(n.m, n.m2), KIN + "SELECT j AS col, gamma, r2 FROM kf", "gamma r2", "col")
 q("compute_velocity", lambda n: V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), KIN + 'SELECT m.i AS "row", m.j AS col, m2.v - gamma * m.v AS v FROM m JOIN m2 ON m2.i = m.i AND m2.j = m.j JOIN kf ON kf.j = m.j', "v", "row col", digits=5)
 q("splice_ratio", lambda n: V.splice_ratio(n.m, n.m2), with_("m m2") + 'SELECT m.i AS "row", m.j AS col, m2.v / (m.v + 1e-10) AS ratio FROM m2 JOIN m ON m.i = m2.i AND m.j = m2.j', "ratio", "row col")
-q("select_velocity_genes", lambda n: V.select_velocity_genes(V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), V.fit_kinetics(n.m, n.m2), n.m.n_rows, 0.98))
+q("select_velocity_genes", lambda n: V.select_velocity_genes(V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), V.fit_kinetics(n.m, n.m2), n.m.n_rows, 0.8), KIN + "SELECT j AS col FROM kf WHERE r2 >= 0.8", "", "col")
 _vel = lambda n: n.expr.entries.select("row", "col", (F.col("v") - 0.1).alias("v"))
-q("velocity_graph", lambda n: V.velocity_graph(_vel(n), n.expr.entries, n.nbrs))
-q("velocity_graph_cosine", lambda n: V.velocity_graph_cosine(_vel(n), n.nbrs))
-q("velocity_confidence", lambda n: V.velocity_confidence(_vel(n), n.nbrs))
+VL = NB + ", vl AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN v > 0 THEN v - 0.1 ELSE 0 END) AS v, list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(v, 0)) AS x FROM embeddings), vc AS (SELECT nb.i AS i, nb.k AS k, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 0), 0) AS c, greatest(0, coalesce((list_dot_product(a.v, b.x) - list_dot_product(a.v, a.x)) / nullif(sqrt(list_dot_product(a.v, a.v)) * list_distance(a.x, b.x), 0), 0)) AS g FROM nb JOIN vl a ON a.i = nb.i JOIN vl b ON b.i = nb.k) "
+q("velocity_graph", lambda n: V.velocity_graph(_vel(n), n.expr.entries, n.nbrs), VL + "SELECT i AS src, k AS dst, exp(g) / sum(exp(g)) OVER (PARTITION BY i) AS w FROM vc", "w", "src dst", digits=5)
+q("velocity_graph_cosine", lambda n: V.velocity_graph_cosine(_vel(n), n.nbrs), VL + "SELECT i AS src, k AS dst, (c + 1) / sum(c + 1) OVER (PARTITION BY i) AS w FROM vc", "w", "src dst")
+q("velocity_confidence", lambda n: V.velocity_confidence(_vel(n), n.nbrs), VL + 'SELECT i AS "row", avg(c) AS confidence FROM vc GROUP BY 1', "confidence", "row")
+q("boundary_detection", lambda n: S.boundary_detection(n.nbrs.select("row", "nbr"), n.expr), VL.replace(", vc AS", ", unused AS") + ', bd AS (SELECT nb.i AS i, avg(list_distance(a.x, b.x)) AS m FROM nb JOIN vl a ON a.i = nb.i JOIN vl b ON b.i = nb.k GROUP BY 1) SELECT i AS "row", m / max(m) OVER () AS score FROM bd', "score", "row", digits=5)
 q("velocity_embedding", lambda n: V.velocity_embedding(n.long_vectors.withColumnRenamed("id", "row"), n.nbrs), with_("nb lv") + 'SELECT i AS "row", a.dim AS dim, avg(b.x - a.x) AS x FROM nb JOIN lv a ON a.id = i JOIN lv b ON b.id = k AND b.dim = a.dim GROUP BY 1, 2', "x", "row dim")
 q("velocity_grid", lambda n: V.velocity_grid(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), 6), with_("pts val") + ", c AS (SELECT least(5, floor((x - min(x) OVER ()) / ((max(x) OVER () - min(x) OVER ()) / 6))) AS gx, least(5, floor((y - min(y) OVER ()) / ((max(y) OVER () - min(y) OVER ()) / 6))) AS gy, value FROM pts JOIN val USING (id)) SELECT gx, gy, avg(value) AS vx, avg(-value) AS vy, count(*) AS n FROM c GROUP BY 1, 2", "vx vy", "gx gy n")
-q("velocity_divergence", lambda n: V.velocity_divergence(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), n.nbrs))
+q("velocity_divergence", lambda n: V.velocity_divergence(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), n.nbrs), with_("nb pts val") + 'SELECT nb.i AS "row", coalesce(avg(((y.value - x.value) * (b.x - a.x) - (y.value - x.value) * (b.y - a.y)) / nullif(power(b.x - a.x, 2) + power(b.y - a.y, 2), 0)), 0) AS divergence FROM nb JOIN pts a ON a.id = nb.i JOIN pts b ON b.id = nb.k JOIN val x ON x.id = nb.i JOIN val y ON y.id = nb.k GROUP BY 1', "divergence", "row", digits=5)
 q("select_root_by_velocity", lambda n: V.select_root_by_velocity(n.graph), E + "SELECT id FROM nd LEFT JOIN e ON dst = id GROUP BY id ORDER BY coalesce(sum(w), 0), id LIMIT 1", "", "id")
 q("latent_time", lambda n: V.latent_time(n.graph, 0))
 q("predict_future_state", lambda n: V.predict_future(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))

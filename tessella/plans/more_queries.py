@@ -20,7 +20,8 @@ from ..operators import spectral as E
 from ..operators import stats as T
 from ..operators import velocity as V
 from .base import q
-from .inputs import CTE, erfc_sql, sf_sql, with_
+from .inputs import CTE, erfc_sql, sf_sql, two_sided_sql, with_
+from .stats_queries import CD, FC, MW, TT, TWO
 
 NB, EG, XP = with_("nb"), with_("nb e"), with_("nb xp")
 # --- alignment and neighbours ------------------------------------------------
@@ -56,8 +57,8 @@ q("mitochondrial_outliers", lambda n: M.subset_outliers(n.m, n.m.cols.where("col
 q("count_groups", lambda n: n.two.agg(F.sum((F.col("grp") == 0).cast("long")).alias("n1"), F.sum((F.col("grp") == 1).cast("long")).alias("n2")), with_("two") + "SELECT CAST(sum(CASE WHEN grp = 0 THEN 1 END) AS BIGINT) AS n1, CAST(sum(CASE WHEN grp = 1 THEN 1 END) AS BIGINT) AS n2 FROM g")
 q("count_k_groups", lambda n: T.group_sizes(n.groups), "WITH " + CTE["g"] + " SELECT grp, count(*) AS n FROM g GROUP BY 1", "", "grp n")
 q("partition_two_groups", lambda n: n.m.entries.join(n.two, "row").groupBy("col").agg(*(f for k in (0, 1) for f in (F.sum((F.col("grp") == k).cast("long")).alias(f"n{k}"), F.sum(F.when(F.col("grp") == k, F.col("v")).otherwise(0.0)).alias(f"sum{k}")))), with_("m two") + "SELECT j AS col, count(CASE WHEN grp = 0 THEN 1 END) AS n0, sum(CASE WHEN grp = 0 THEN v ELSE 0 END) AS sum0, count(CASE WHEN grp = 1 THEN 1 END) AS n1, sum(CASE WHEN grp = 1 THEN v ELSE 0 END) AS sum1 FROM m JOIN g USING (i) GROUP BY 1", "sum0 sum1", "col n0 n1")
-q("auroc_with_fc", lambda n: T.mwu(n.m, n.two).select("col", "auroc", "log2_fc", "p"))
-q("ttest_with_effect_size", lambda n: T.ttest(n.m, n.two, True, "hedges_g"))
+q("auroc_with_fc", lambda n: T.mwu(n.m, n.two).select("col", "auroc", "log2_fc", "p"), MW + f"SELECT j AS col, u / (n0 * n1) AS auroc, {FC} AS log2_fc, {two_sided_sql('(greatest(abs(u - n0 * n1 / 2) - 0.5, 0) / s)')} AS p FROM mz", "auroc log2_fc p", "col")
+q("ttest_with_effect_size", lambda n: T.ttest(n.m, n.two, True, "hedges_g"), TWO + f"SELECT j AS col, {TT} AS t, {FC} AS log2_fc, {CD} * (1 - 3 / (4 * (n0 + n1 - 2) - 1)) AS effect, {two_sided_sql(TT)} AS p FROM tg", "t log2_fc effect p", "col")
 q("unary_exp_sum", lambda n: n.m.entries.groupBy("col").agg(F.sum(F.exp(-0.01 * F.col("v") * F.col("v"))).alias("s")), with_("m") + "SELECT j AS col, sum(exp(-0.01 * v * v)) AS s FROM m GROUP BY 1", "s", "col")
 q("compute_log2_fc", lambda n: n.table("part").select(F.col("p_partkey").alias("id"), X.log2_fold_change(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("lfc")), "SELECT p_partkey AS id, log2((p_retailprice + 1e-9) / (p_size + 1e-9)) AS lfc FROM part", "lfc", "id")
 _z = lambda n: n.values.select("id", (F.col("value") * 4).alias("z"))
