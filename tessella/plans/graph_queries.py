@@ -115,7 +115,13 @@ q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph))
 q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph))
 q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
-q("pagerank", lambda n: G.pagerank(n.graph, max_iter=40))
+WALK = E.replace("WITH ", "WITH RECURSIVE ", 1) + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e) "
+#: A loop of n steps over ``it, id, x``: a node's next value is made of its own row and the walk's neighbours.
+LOOP = ", it AS (SELECT 0 AS it, id, CAST({start} AS DOUBLE) AS x FROM nd UNION ALL SELECT it.it + 1, {node}, CAST({step} AS DOUBLE) FROM it JOIN t ON {on} = it.id WHERE it.it < {n} GROUP BY it.it, {node}) SELECT id, x FROM it WHERE it = {n}"
+_ahead = lambda start, step, n: WALK + LOOP.format(start=start, step=step, n=n, node="t.src", on="t.dst")
+_back = lambda start, step, n: WALK + LOOP.format(start=start, step=step, n=n, node="t.dst", on="t.src")
+PR = _back("1.0 / (SELECT count(*) FROM nd)", "0.15 / (SELECT count(*) FROM nd) + 0.85 * sum(x * t.w)", 40)
+q("pagerank", lambda n: G.pagerank(n.graph, max_iter=40), PR, "x", "id", digits=5)
 q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3), max_iter=40))
 q("hits", lambda n: G.hits(n.graph, max_iter=30))
 q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph, max_iter=30))
@@ -133,12 +139,12 @@ q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4), H
 q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1]))
 q("compute_dpt", lambda n: G.dpt(Graph(G.row_stochastic(n.graph), n.graph.nodes), 0, 8))
 q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
-q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=24))
+q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=24), _back("1.0 / (SELECT count(*) FROM nd)", "sum(x * t.w)", 24), "x", "id", digits=5)
 q("identify_terminal_states", lambda n: G.terminal_states(n.graph), UND + "SELECT id, d <= 1 AS terminal FROM dg", "", "id")
 q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=24))
 q("hitting_time", lambda n: G.hitting_time(n.graph, [0], max_iter=24))
-q("forward_committor", lambda n: G.forward_committor(n.graph, [0], [5], max_iter=24))
-q("harmonic_function", lambda n: G.harmonic_function(n.graph, n.values.where("id % 5 = 0"), max_iter=24))
+q("forward_committor", lambda n: G.forward_committor(n.graph, [0], [5], max_iter=24), "SELECT id, x AS q FROM (" + _ahead("CASE WHEN id = 5 THEN 1 ELSE 0 END", "CASE WHEN t.src = 5 THEN 1 WHEN t.src = 0 THEN 0 ELSE sum(x * t.w) END", 24) + ")", "q", "id", digits=4)
+q("harmonic_function", lambda n: G.harmonic_function(n.graph, n.values.where("id % 5 = 0"), max_iter=24), _ahead("CASE WHEN id % 5 = 0 THEN (SELECT CAST(embedding[3] AS DOUBLE) FROM embeddings WHERE vec_id = id) ELSE 0 END", "CASE WHEN t.src % 5 = 0 THEN (SELECT CAST(embedding[3] AS DOUBLE) FROM embeddings WHERE vec_id = t.src) ELSE sum(x * t.w) END", 24), "x", "id", digits=4)
 q("coarse_grain_transition", lambda n: G.coarse_grain(n.graph, n.vectors.select("id", (F.col("id") % 3).alias("label"))), E + "SELECT src % 3 AS a, dst % 3 AS b, sum(w) / sum(sum(w)) OVER (PARTITION BY src % 3) AS p FROM e GROUP BY 1, 2", "p", "a b")
 _pt = lambda n: n.values.select("id", F.col("value").alias("t"))
 q("directional_score", lambda n: G.directional_score(n.graph, _pt(n)), EV + ", s AS (SELECT src, sum(CASE WHEN b.value > a.value THEN w ELSE 0 END) AS f, sum(CASE WHEN b.value < a.value THEN w ELSE 0 END) AS g FROM e JOIN val a ON a.id = src JOIN val b ON b.id = dst GROUP BY 1) SELECT src AS id, (f - g) / (f + g) AS score FROM s", "score", "id")
