@@ -122,7 +122,7 @@ _ahead = lambda start, step, n: WALK + LOOP.format(start=start, step=step, n=n,
 _back = lambda start, step, n: WALK + LOOP.format(start=start, step=step, n=n, node="t.dst", on="t.src")
 PR = _back("1.0 / (SELECT count(*) FROM nd)", "0.15 / (SELECT count(*) FROM nd) + 0.85 * sum(x * t.w)", 40)
 q("pagerank", lambda n: G.pagerank(n.graph, max_iter=40), PR, "x", "id", digits=5)
-q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3), max_iter=40))
+q("personalized_pagerank", lambda n: G.personalized_pagerank(n.graph, n.spark.range(3), max_iter=40), _back("CASE WHEN id < 3 THEN 1.0 / 3 ELSE 0 END", "0.15 * (CASE WHEN t.dst < 3 THEN 1.0 / 3 ELSE 0 END) + 0.85 * sum(x * t.w)", 40), "x", "id", digits=4)
 q("hits", lambda n: G.hits(n.graph, max_iter=30))
 q("eigenvector_centrality", lambda n: G.eigenvector_centrality(n.graph, max_iter=30))
 q("katz_centrality", lambda n: G.katz_centrality(n.graph, alpha=0.05))
@@ -136,12 +136,13 @@ HK = EV
 for _i in range(4):
     HK += f", h{_i + 1} AS (SELECT id, 0.75 * {'1.0' if not _i else f'x'} + 0.25 * coalesce(f, 0) AS x FROM {'nd' if not _i else f'h{_i}'} LEFT JOIN (SELECT src, sum(w{'' if not _i else ' * x'}) AS f FROM e {'' if not _i else f'JOIN h{_i} ON h{_i}.id = dst'} GROUP BY 1) p ON p.src = id)"
 q("heat_kernel_signature", lambda n: G.heat_kernel_signature(n.graph, 1.0, 4), HK + " SELECT id, x FROM h4", "x", "id", digits=5)
-q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1]))
+q("random_walk_with_restart", lambda n: G.random_walk_with_restart(Graph(G.row_stochastic(n.graph), n.graph.nodes), [0, 1]), _ahead("CASE WHEN id < 2 THEN 0.5 ELSE 0 END", "0.15 * (CASE WHEN t.src < 2 THEN 0.5 ELSE 0 END) + 0.85 * sum(x * t.w)", 100), "x", "id", digits=4)
 q("compute_dpt", lambda n: G.dpt(Graph(G.row_stochastic(n.graph), n.graph.nodes), 0, 8))
 q("diffusion_distance", lambda n: G.diffusion_distance(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
 q("stationary_distribution", lambda n: G.stationary_distribution(n.graph, max_iter=24), _back("1.0 / (SELECT count(*) FROM nd)", "sum(x * t.w)", 24), "x", "id", digits=5)
 q("identify_terminal_states", lambda n: G.terminal_states(n.graph), UND + "SELECT id, d <= 1 AS terminal FROM dg", "", "id")
-q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=24))
+AP = "SELECT id, {k} AS terminal, x AS p FROM (" + _ahead("CASE WHEN id = {k} THEN 1 ELSE 0 END", "CASE WHEN t.src = {k} THEN 1 WHEN t.src IN (0, 5) THEN 0 ELSE sum(x * t.w) END", 24) + ")"
+q("absorption_probability", lambda n: G.absorption_probability(n.graph, [0, 5], max_iter=24), AP.replace("{k}", "0") + " UNION ALL " + AP.replace("{k}", "5"), "p", "id terminal", digits=4)
 q("hitting_time", lambda n: G.hitting_time(n.graph, [0], max_iter=24))
 q("forward_committor", lambda n: G.forward_committor(n.graph, [0], [5], max_iter=24), "SELECT id, x AS q FROM (" + _ahead("CASE WHEN id = 5 THEN 1 ELSE 0 END", "CASE WHEN t.src = 5 THEN 1 WHEN t.src = 0 THEN 0 ELSE sum(x * t.w) END", 24) + ")", "q", "id", digits=4)
 q("harmonic_function", lambda n: G.harmonic_function(n.graph, n.values.where("id % 5 = 0"), max_iter=24), _ahead("CASE WHEN id % 5 = 0 THEN (SELECT CAST(embedding[3] AS DOUBLE) FROM embeddings WHERE vec_id = id) ELSE 0 END", "CASE WHEN t.src % 5 = 0 THEN (SELECT CAST(embedding[3] AS DOUBLE) FROM embeddings WHERE vec_id = t.src) ELSE sum(x * t.w) END", 24), "x", "id", digits=4)
