@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..loops import cut
 from ..model import Graph, Matrix
 from .information import count_entropy_agg
+from .testing import ordered
 
 # --- agreement of two labelings (``id, a, b``) -------------------------------
 
@@ -93,8 +94,8 @@ def label_sizes(labels: DataFrame, label: str = "label") -> DataFrame:
 
 def relabel_by_size(labels: DataFrame, label: str = "label") -> DataFrame:
     """``id, label`` renumbered from 0 in order of size, largest first."""
-    order = Window.orderBy(F.desc("n"), label)
-    m = label_sizes(labels, label).select(label, (F.row_number().over(order) - 1).cast("long").alias("new"))
+    sizes = label_sizes(labels, label).select(F.col(label).alias("id"), F.col("n").alias("size"))
+    m = ordered(sizes, by="size", descending=True).select(F.col("id").alias(label), (F.col("rank") - 1).cast("long").alias("new"))
     return labels.join(m, label).select("id", F.col("new").alias("label"))
 
 
@@ -224,10 +225,8 @@ def lineage_sharing(labels: DataFrame) -> DataFrame:
 def lineage_tree(labels: DataFrame) -> DataFrame:
     """``clone, parent``: the clone with the latest earlier mean time (ties: smaller id); none: -1."""
     m = labels.where("clone >= 0").groupBy("clone").agg(F.avg("t").alias("t"))
-    before = Window.orderBy("t", F.desc("clone")).rowsBetween(Window.unboundedPreceding, -1)
     at = m.groupBy("t").agg(F.min("clone").alias("first"))
     prev = at.withColumn("parent", F.lag("first").over(Window.orderBy("t")))  # one row a distinct time
-    del before
     return m.join(prev.select("t", "parent"), "t").select("clone", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 

@@ -116,9 +116,12 @@ def _systematic(weights: DataFrame, n: int, at) -> DataFrame:
     off = blocks.select("_b", "t", F.coalesce(F.sum("t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("o"), F.sum("t").over(Window.partitionBy()).alias("all"))
     d = weights.sparkSession.range(n).select(F.col("id").alias("draw"), at(F.col("id")).alias("u"))
     d = d.crossJoin(F.broadcast(off)).withColumn("x", F.col("u") * F.col("all")).where("x >= o and x < o + t").select("draw", "_b", (F.col("x") - F.col("o")).alias("x"))
-    cum = F.sum("w").over(Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    c = b.withColumn("c", cum).select("_b", "id", "c", "w")
-    return d.join(c, "_b").where("x < c and x >= c - w").select("draw", "id")
+    start = F.coalesce(F.sum("w").over(Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # Starts of intervals and draws in one order: a draw belongs to the last start before it.
+    c = b.where("w > 0").select("_b", start.alias("x"), F.lit(0).alias("k"), "id", F.lit(None).cast("long").alias("draw"))
+    both = c.unionByName(d.select("_b", "x", F.lit(1).alias("k"), F.lit(None).cast(c.schema["id"].dataType).alias("id"), "draw"))
+    last = F.last("id", ignorenulls=True).over(Window.partitionBy("_b").orderBy("x", "k", "id").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("id", last).where("k = 1").select("draw", "id")
 
 
 def balanced_sample(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:

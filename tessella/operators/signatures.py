@@ -270,7 +270,6 @@ def ssgsea(a: Matrix, sets: DataFrame, exponent: float = 0.25) -> DataFrame:
     The output is a running sum of every row and set, so this is for matrices of bounded width."""
     w = Window.partitionBy("row").orderBy(F.desc("v"), "col")
     full = a.rows.crossJoin(F.broadcast(a.cols)).join(a.entries, ["row", "col"], "left").fillna(0.0, ["v"]).withColumn("rank", F.row_number().over(w))
-    d = full.join(F.broadcast(sets), "col", "left")
     ids = sets.select("set_id").distinct()
     d = full.crossJoin(F.broadcast(ids)).join(F.broadcast(sets.withColumn("_in", F.lit(1))), ["set_id", "col"], "left")
     n = F.lit(float(a.n_cols))
