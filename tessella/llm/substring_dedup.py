@@ -9,7 +9,7 @@ distinct path ``(source row, start, edges)`` of its spans once to the home of
 the source, which reads the words at these coordinates again and confirms the
 paths whose digest agrees.
 
-Identity. Edges are resolved by two independent hashes, 96 bits together, and a
+Identity. Edges are resolved by two independent hashes, 80 bits together, and a
 confirmed span agrees in a digest of 64 bits more, which is made word by word
 from other word hashes than the edges' first. Removing a word whose window has
 no earlier occurrence takes a collision in all of them.
@@ -115,7 +115,7 @@ def _send_filter(k: int, bits: int):
 
 
 #: Columns of binary cells and what they hold; None: narrow integers.
-_EDGES = (("keys", np.uint64), ("checks", np.uint32), ("docs", None), ("rows", None), ("pos", None))
+_EDGES = (("keys", np.uint64), ("checks", np.uint16), ("docs", None), ("rows", None), ("pos", None))
 _SENT = "home long, bucket long, " + ", ".join(f"{n} binary" for n, _ in _EDGES)
 
 
@@ -141,7 +141,7 @@ def _send_edges(k: int, bits: int):
             keys, at = keys[hit], at[hit]
             buckets, cut = cuts(keys, bits)
             doc, home = h.doc[at], t["home"][0].as_py()
-            parts = (keys, h.checks(at) >> np.uint64(32), h.ids[doc], doc, h.pos[at])
+            parts = (keys, h.checks(at) >> np.uint64(48), h.ids[doc], doc, h.pos[at])
             rows = [(home, int(b), *(x[i:j] for x in parts)) for b, i, j in zip(buckets, cut[:-1], cut[1:], strict=True)]
         return _table(rows, ("home", "bucket"), _EDGES)
 
