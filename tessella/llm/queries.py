@@ -104,9 +104,29 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from . import stage, warc
+
+    folder = f"{stage.shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) AS k FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND k > 1 THEN first_id END AS refers_to
+FROM f
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join)
+    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join, op11_warc)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op11_warc": OP11_SQL}
