@@ -124,9 +124,54 @@ FROM f
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    out = collocations(_table(spark, sf_dir, "documents"), n=3, at_least=10, percent=50, top=2000)
+    return out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, d, unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')) AS p FROM d
+), w AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), i AS (
+  SELECT piece, lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+  SELECT lang, CAST(k AS BIGINT) AS k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM i, (VALUES (1), (2), (3)) AS ks(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), c AS (SELECT *, string_split(phrase, ' ') AS s FROM g WHERE k >= 2 AND a >= 10),
+bad AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c AS s JOIN (
+    SELECT lang, s[1] || ' ' || s[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, s[2] || ' ' || s[3], a FROM c WHERE k = 3
+  ) AS b ON b.lang = s.lang AND b.phrase = s.phrase AND 100 * b.a >= 50 * s.a
+), cuts AS (
+  SELECT c.*, j, array_to_string(s[1:j], ' ') AS lp, array_to_string(s[j + 1:k], ' ') AS rp
+  FROM c, (VALUES (1), (2)) AS js(j) WHERE j < k AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.lang = c.lang AND bad.phrase = c.phrase)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, j,
+    CAST((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts JOIN g AS x ON x.lang = cuts.lang AND x.phrase = lp JOIN g AS y ON y.lang = cuts.lang AND y.phrase = rp
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked
+JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang) AS t ON t.lang = ranked.lang
+WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join, op11_warc)
+    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join, op11_warc, op12_collocations)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op11_warc": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op11_warc": OP11_SQL, "op12_collocations": OP12_SQL}
