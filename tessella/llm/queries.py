@@ -169,9 +169,18 @@ WHERE rank <= 2000
 """
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    out = align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join, op11_warc, op12_collocations)
+    for f in (op1_substring_dedup, op2_chat, op3_class_lm, op4_quality, op5_jaccard_join, op6_packing, op7_bm25, op8_piece_bpe, op9_mixing, op10_ego_join, op11_warc, op12_collocations, op13_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op11_warc": OP11_SQL, "op12_collocations": OP12_SQL}
