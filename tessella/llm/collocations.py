@@ -45,6 +45,8 @@ _GAPS = _IS_BREAK.copy()
 _GAPS[list(_BLANK)] = True
 #: Salts of the first of two rankings, so that no task ranks a whole language.
 _SALTS = 64
+#: An exact quotient; too large a product is an error, not a wrong score.
+SCORE = "CAST(1000000 AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0)) div (CAST(l AS DECIMAL(38,0)) * CAST(r AS DECIMAL(38,0)))"
 
 
 class _Home:
@@ -252,8 +254,7 @@ def collocations(docs: DataFrame, n: int = 3, at_least: int = 10, percent: int =
     cuts_ = kept.select("lang", "phrase", "k", "a", part.alias("at")).withColumn("left", F.expr("substring_index(phrase, ' ', at)")).withColumn("right", F.expr("substring_index(phrase, ' ', at - k)"))
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r"))
-    score = F.expr("CAST(1000000 AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0)) * CAST(a AS DECIMAL(38,0)) div (CAST(l AS DECIMAL(38,0)) * CAST(r AS DECIMAL(38,0)))")
-    scored = cuts_.join(left, ["lang", "left"]).join(right, ["lang", "right"]).withColumn("score", score)
+    scored = cuts_.join(left, ["lang", "left"]).join(right, ["lang", "right"]).withColumn("score", F.expr(SCORE))
     best = scored.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "at", "l", "r")).alias("b")).select("lang", "phrase", "k", "a", "b.l", "b.r", "b.score")
     order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc())
     salted = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))
