@@ -31,22 +31,27 @@ from __future__ import annotations
 import hashlib
 import os
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packed import narrow, wide
 from .piece_bpe import Coder, Model, _ranges
-from .stage import store
+from .stage import cut, store
 from .text import chunks
 
 #: Fragments that one task composes.
 FAN = 16
 _CHUNK_BYTES = 1 << 16
 _HOME_BYTES = 2 << 20
+#: Stretches that are encoded at once.
+_TOGETHER = 2048
+#: Stretches and ids that a task keeps before it starts afresh.
+_KEEP, _KEEP_IDS = 400_000, 4_000_000
 
 #: Bytes after which a space parts the tokens of A: not ASCII white space or controls, nor what a white-space character beyond ASCII can end with.
 _PARTS = np.ones(256, bool)
@@ -63,7 +68,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE of the tokenizers library; encodes each distinct stretch of a chunk once."""
+    """A byte-level BPE of the tokenizers library; encodes each distinct stretch once and keeps it."""
 
     def __init__(self, config: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,20 +82,54 @@ class ByteLevel:
         self.lengths = np.array([len(x) for x in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self._forget()
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts, each of which starts with a space or is empty."""
         starts = np.flatnonzero(parts(buf, offsets))
         bounds = np.append(starts, len(buf))
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
-        texts = coded.dictionary.cast(pa.large_string()).to_pylist()
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter((y for x in lists for y in x), np.int64, int(size.sum()))
-        which = np.asarray(coded.indices).astype(np.int64)
-        n = size[which]
+        row = self._known(coded.dictionary)[np.asarray(coded.indices).astype(np.int64)]
+        n = self.sizes[row]
         total = np.concatenate([[0], np.cumsum(n)])
-        return flat[_ranges((np.cumsum(size) - size)[which], n)], total[np.searchsorted(starts, offsets)]
+        return self.flat[_ranges(self.first[row], n)].astype(np.int64), total[np.searchsorted(starts, offsets)]
+
+    def _known(self, texts: pa.Array) -> np.ndarray:
+        """Where the ids of the distinct stretches are kept; encodes those that are new."""
+        if len(self.seen) > _KEEP or len(self.flat) > _KEEP_IDS:
+            self._forget()
+        cells, base = texts.to_pylist(), len(self.seen)
+        row = np.array([self.seen.setdefault(c, -1) for c in cells], np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            flat, size = self._stretches(texts.take(pa.array(new)))
+            row[new] = base + np.arange(len(new))
+            self.seen.update((cells[i], r) for i, r in zip(new.tolist(), row[new].tolist(), strict=True))
+            self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
+            self.sizes, self.flat = np.append(self.sizes, size), np.append(self.flat, flat.astype(np.int32))
+        return row
+
+    def _forget(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.first, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids) of distinct stretches. Those that end as a stretch
+        inside a text does are encoded many at once, since they part from what follows them."""
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        raw, off = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        apart = _PARTS[raw[off[1:] - 1]] if len(texts) else np.zeros(0, bool)
+        order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
+        n = int(apart.sum())
+        bounds = [*range(0, n, _TOGETHER), *range(n, len(order) + 1)]
+        cells = texts.take(pa.array(order)).to_pylist()
+        lists = self.tokenizer.encode_batch_fast([b"".join(cells[i:j]).decode() for i, j in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(x.ids, np.int64) for x in lists)])
+        ends, total = np.cumsum(size[order]), np.cumsum(self.lengths[ids])
+        bound = np.concatenate([[0], np.searchsorted(total, ends) + 1])
+        first, many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        first[order], many[order] = bound[:-1], np.diff(bound)
+        return ids[_ranges(first, many)], many
 
 
 def parts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,11 +140,6 @@ def parts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
-def _byte_level(config: str) -> ByteLevel:
-    return ByteLevel(config)
-
-
 @dataclass
 class Tokens:
     """Tokens of both tokenizers in order, by id and by the byte at which each ends."""
@@ -137,14 +171,11 @@ class Tokens:
 _NONE = Tokens(*(np.zeros(0, np.int64),) * 4)
 
 
-class Aligner:
-    """Both tokenizers, and what is done with their tokens in one task."""
+class Tokenizers:
+    """Both tokenizers in one task."""
 
     def __init__(self, config: str, model: Model):
-        self.a, self.b, self.size = _byte_level(config), Coder(model), model.size
-        name = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
-        n = len(self.a.lengths)
-        self.names = {"a,": name(n, ","), "a|": name(n, "|"), "b,": name(self.size, ","), "b;": name(self.size, ";")}
+        self.a, self.b = ByteLevel(config), Coder(model)
 
     def tokens(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
         """(tokens of the texts that their bytes give back, texts that they do not, offsets), all in
@@ -172,34 +203,65 @@ class Aligner:
         x, y = ~bad[a_doc], ~bad[b_doc]
         return Tokens(a[x], a_ends[x], b[y], b_ends[y]), bad, off
 
-    def groups(self, t: Tokens, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Merged:
+    """The ends of both tokenizers' tokens in one order, A before B where they share one."""
+
+    def __init__(self, t: Tokens):
+        self.t, both = t, np.concatenate([t.a_ends, t.b_ends])
+        order = np.argsort(both, kind="stable")
+        s, of_a = both[order], order < len(t.a)
+        again = np.concatenate([[False], s[1:] == s[:-1]]) if len(s) else np.zeros(0, bool)
+        self.shared = s[again]
+        # Of every place: shared ends before it; a token belongs to the group that its end closes or is in.
+        group = np.cumsum(again) - again
+        self.ga, self.gb = group[of_a], group[~of_a]
+        new = np.flatnonzero(~again)
+        self.ends, before = s[new], np.cumsum(of_a) - of_a
+        self.i, self.j = before[new], new - before[new]
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where A's and B's tokens stand when groups are written, A before B in each."""
+        n = len(self.shared)
+        a, b = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n))]) for g in (self.ga, self.gb))
+        return np.arange(len(self.ga)) + b[self.ga], np.arange(len(self.gb)) + a[self.gb + 1]
+
+
+class Aligner:
+    """What is done with the tokens of both tokenizers, by their numbers of ids."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.size = n_b
+        name = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
+        self.names = {"a,": name(n_a, ","), "a|": name(n_a, "|"), "b,": name(n_b, ","), "b;": name(n_b, ";")}
+
+    def groups(self, t: Tokens, m: Merged) -> tuple[np.ndarray, np.ndarray]:
         """(the tokens written with what follows them, the byte where the group of each ends)."""
-        ga, gb = np.searchsorted(shared, t.a_ends), np.searchsorted(shared, t.b_ends)
-        out, end = np.empty(len(ga) + len(gb), dtype=object), np.empty(len(ga) + len(gb), np.int64)
-        for ids, g, at, same, other in ((t.a, ga, np.arange(len(ga)) + np.searchsorted(gb, ga, "left"), "a,", "a|"), (t.b, gb, np.arange(len(gb)) + np.searchsorted(ga, gb, "right"), "b,", "b;")):
-            last = np.append(g[1:] != g[:-1], True)
+        out, end = np.empty(len(t.a) + len(t.b), dtype=object), np.empty(len(t.a) + len(t.b), np.int64)
+        at_a, at_b = m.places()
+        for ids, g, at, same, other in ((t.a, m.ga, at_a, "a,", "a|"), (t.b, m.gb, at_b, "b,", "b;")):
+            last = np.append(g[1:] != g[:-1], True)[: len(g)]
             out[at] = np.where(last, self.names[other][ids], self.names[same][ids])
-            end[at] = shared[g]
+            end[at] = m.shared[g]
         return out, end
 
-    def links(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(id pair, byte at which it ends) of every pair of tokens that overlap: between two ends that
+    def links(self, t: Tokens, m: Merged) -> np.ndarray:
+        """The id pair of every two tokens that overlap, in the order of ``m.ends``: between two ends that
         follow each other there is one token of each."""
-        ends = np.union1d(t.a_ends, t.b_ends)
-        return t.a[np.searchsorted(t.a_ends, ends)] * self.size + t.b[np.searchsorted(t.b_ends, ends)], ends
+        return t.a[m.i] * self.size + t.b[m.j]
 
     def fragment(self, t: Tokens) -> Fragment:
         """Of consecutive tokens, from the byte after which they begin."""
-        shared = np.intersect1d(t.a_ends, t.b_ends, assume_unique=True)
+        shared = Merged(t).shared
         if not len(shared):
             return Fragment(t, None)
         last = max(t.a_ends[-1], t.b_ends[-1])
         return Fragment(t.between(-1, shared[0]), self.closed(t.between(shared[0], shared[-1])), t.between(shared[-1], last))
 
     def closed(self, t: Tokens) -> Closed:
-        shared = np.intersect1d(t.a_ends, t.b_ends, assume_unique=True)
-        keys, times = np.unique(self.links(t)[0], return_counts=True)
-        return Closed("".join(self.groups(t, shared)[0]), len(t.a), len(t.b), len(shared), keys, times)
+        m = Merged(t)
+        keys, times = np.unique(self.links(t, m), return_counts=True)
+        return Closed("".join(self.groups(t, m)[0]), len(t.a), len(t.b), len(m.shared), keys, times)
 
 
 @dataclass
@@ -265,19 +327,19 @@ def _align(config: str, model: Model, digest: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        work, name = Aligner(config, model), TaskContext.get().partitionId() << 32
+        both, name = Tokenizers(config, model), TaskContext.get().partitionId() << 32
+        work = Aligner(len(both.a.lengths), model.size)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for rows, buf, offsets in chunks(batch.column("text"), _HOME_BYTES):
-                t, bad, off = work.tokens(buf, offsets)
-                shared = np.intersect1d(t.a_ends, t.b_ends, assume_unique=True)
-                written, at = work.groups(t, shared)
-                pair, ends = work.links(t)
-                doc = np.searchsorted(off, ends - 1, "right") - 1
-                each, times = np.unique((doc << 40) | pair, return_counts=True)
+                t, bad, off = both.tokens(buf, offsets)
+                m = Merged(t)
+                written, at = work.groups(t, m)
+                doc = np.searchsorted(off, m.ends - 1, "right") - 1
+                each, times = np.unique((doc << 40) | work.links(t, m), return_counts=True)
                 size = lambda x: np.diff(np.searchsorted(x, off, "right"))  # noqa: B023, E731
                 bound = np.searchsorted(at, off, "right")
-                counts = zip(ids[rows], size(t.a_ends), size(t.b_ends), size(shared), size(ends), np.bincount(each >> 40, minlength=len(bad)), bound[:-1], bound[1:], strict=True)
+                counts = zip(ids[rows], size(t.a_ends), size(t.b_ends), size(m.shared), size(m.ends), np.bincount(each >> 40, minlength=len(bad)), bound[:-1], bound[1:], strict=True)
                 docs = [
                     {"doc_id": i, "n_a": int(a), "n_b": int(b), "n_groups": int(g), "n_links": int(k), "groups": _written("".join(written[x:y]), digest), "n_pairs": int(p)}
                     for i, a, b, g, k, p, x, y in counts
@@ -304,11 +366,11 @@ def _pieces(size: int):
                 raw = b" " + text.as_buffer().to_pybytes()
                 buf = np.frombuffer(raw, np.uint8)
                 start = np.append(np.flatnonzero(parts(buf, np.array([0, len(buf)]))), len(buf))
-                cut = np.arange(size, len(buf), size)
-                inside = np.searchsorted(start, cut, "right")
+                at = np.arange(size, len(buf), size)
+                inside = np.searchsorted(start, at, "right")
                 long_ = start[inside] - start[inside - 1] > size // 4
-                cut = np.unique(np.concatenate([[0], np.where(long_, start[inside], cut), [len(buf)]]))
-                for k, (low, high) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                at = np.unique(np.concatenate([[0], np.where(long_, start[inside], at), [len(buf)]]))
+                for k, (low, high) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     first, last = int(np.searchsorted(start, low, "right")) - 1, int(np.searchsorted(start, high))
                     if start[last] - start[first] < 2:  # a space alone is not told from nothing
                         first -= 1
@@ -339,36 +401,36 @@ def _received(r: dict) -> Fragment | None:
 
 def _fragments(config: str, model: Model):
     def run(batches):
-        work = Aligner(config, model)
+        both = Tokenizers(config, model)
+        work = Aligner(len(both.a.lengths), model.size)
         for batch in batches:
             for r in batch.to_pylist():
                 buf = np.frombuffer(r["piece"], np.uint8)[1:]  # its space is put back by the tokenizers
-                t, bad, _ = work.tokens(buf, np.array([0, len(buf)]))
-                low, high = r["low"] - r["base"], r["high"] - r["base"]
-                t = t.between(low, high)
+                t, bad, _ = both.tokens(buf, np.array([0, len(buf)]))
+                t = t.between(r["low"] - r["base"], r["high"] - r["base"])
                 t.a_ends, t.b_ends = t.a_ends + r["base"], t.b_ends + r["base"]
                 yield _sent(r["row"], r["doc_id"], r["chunk"], None if bad.any() else work.fragment(t))
 
     return run
 
 
-def _composed(config: str, model: Model):
+def _composed(n_a: int, n_b: int):
     """Up to ``FAN`` neighbours of one text become one fragment; a range that is not good spoils them."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["chunk"])
-        found, work = [_received(r) for r in rows], Aligner(config, model)
+        found, work = [_received(r) for r in rows], Aligner(n_a, n_b)
         out = None if any(f is None for f in found) else reduce(lambda x, y: x.compose(y, work), found)
         return pa.Table.from_batches([_sent(rows[0]["row"], rows[0]["doc_id"], rows[0]["chunk"] // FAN, out)])
 
     return run
 
 
-def _finished(config: str, model: Model, digest: bool):
+def _finished(n_a: int, n_b: int, digest: bool):
     """Homes of one long text each."""
 
     def run(batches):
-        work = Aligner(config, model)
+        work = Aligner(n_a, n_b)
         for batch in batches:
             for r in batch.to_pylist():
                 f = _received(r)
@@ -414,6 +476,7 @@ def align(docs: DataFrame, byte_level_path: str, model_path: str, id_col: str =
     with open(byte_level_path) as f:
         config = f.read()
     model = Model(model_path)
+    sizes = len(ByteLevel(config).lengths), model.size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     length = F.octet_length("text")
     homes = rows.where(length <= chunk_bytes).mapInArrow(_align(config, model, digest), _HOMES)
@@ -422,8 +485,8 @@ def align(docs: DataFrame, byte_level_path: str, model_path: str, id_col: str =
         parts_ = rows.where(length > chunk_bytes).mapInArrow(_pieces(chunk_bytes), _PIECES).repartition("row", "chunk")
         tree, n = parts_.mapInArrow(_fragments(config, model), _FRAGMENTS), -(-(longest + 1) // chunk_bytes)
         while n > 1:
-            tree, n = tree.groupBy("row", F.floor(F.col("chunk") / FAN)).applyInArrow(_composed(config, model), _FRAGMENTS), -(-n // FAN)
-        homes = homes.unionByName(tree.mapInArrow(_finished(config, model, digest), _HOMES))
+            tree, n = tree.groupBy("row", F.floor(F.col("chunk") / FAN)).applyInArrow(_composed(*sizes), _FRAGMENTS), -(-n // FAN)
+        homes = homes.unionByName(cut(tree).mapInArrow(_finished(*sizes, digest), _HOMES))
     homes = store(homes)
     pairs = homes.select("home", "keys").mapInArrow(_distinct, "home long, pair long, docs long")
     total = pairs.groupBy("pair").agg(F.sum("docs").alias("n"))

@@ -133,7 +133,9 @@ class Coder:
             stay[hit + 1] = False
             new = np.cumsum(stay) - 1
             sym, seg, rank, pair, hit = sym[stay], seg[stay], rank[stay], pair[stay], new[hit]
-            again = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[hit] = touched[hit[hit > 0] - 1] = True
+            again = np.flatnonzero(touched)
             rank[again] = _NONE
             again = again[again + 1 < len(sym)]
             again = again[seg[again] == seg[again + 1]]
