@@ -47,11 +47,11 @@ from .text import chunks
 #: Fragments that one task composes.
 FAN = 16
 _CHUNK_BYTES = 1 << 16
-_HOME_BYTES = 2 << 20
+_HOME_BYTES = 1 << 20
 #: Stretches that are encoded at once.
 _TOGETHER = 2048
 #: Stretches and ids that a task keeps before it starts afresh.
-_KEEP, _KEEP_IDS = 400_000, 4_000_000
+_KEEP, _KEEP_IDS = 150_000, 2_000_000
 
 #: Bytes after which a space parts the tokens of A: not ASCII white space or controls, nor what a white-space character beyond ASCII can end with.
 _PARTS = np.ones(256, bool)
