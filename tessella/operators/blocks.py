@@ -1,13 +1,23 @@
 """Exact nearest rows by matrix products over pairs of row blocks.
 
-Rows (sparse: their columns and values) are sorted by norm and packed into blocks
-of ``BLOCK``. Distances of a pair of blocks come from one matrix product; what
-could be among the k nearest is measured again from the differences. A block's
-distances to itself bound how far its rows' k nearest can be: since two rows are
-never nearer than their norms differ, pairs of blocks whose norms are farther
-apart are skipped. The nearest of all pairs are merged by rank. Exact search is
-quadratic in the rows of equal norm; its unit of work and of shuffle is a block
+Rows (sparse: their columns and values) are told apart by their distances to a
+few pivots: they are sorted by the nearest pivot and the distance to it, and packed
+into blocks of ``BLOCK``. A block knows the range of its rows' distances to every
+pivot, and each row how far its k nearest can be at most, by those in its own block.
+By the triangle inequality two rows are never nearer than their distances to any
+pivot differ, so block pairs, and rows of a block, that are too far apart are
+skipped. What is left comes from one matrix product a pair (Manhattan: from the
+differences); what could be among the k nearest is measured again by itself. The
+nearest of all pairs are merged by rank. The work is quadratic in rows that are as
+far from each other as from anything; its unit, also of the shuffle, is a block
 pair, of bounded size.
+
+Rows may ask, give or both, so one search serves the rows of one table, those of
+another, or both at once.
+
+Metrics: ``euclidean``, ``manhattan``, ``cosine`` and ``correlation`` (one less the
+cosine, of the rows or of the rows less their means; a row without a direction has
+distance 1 to all). The last two are pruned by their chords, which are Euclidean.
 """
 
 from __future__ import annotations
@@ -23,8 +33,13 @@ from ..loops import cut
 from ..model import Matrix
 
 BLOCK, _STEP = 4096, 512
-_CELLS = ("ids", "sizes", "cols", "vals", "grps")
-_BLOCKS = "block long, lo double, hi double, reach double, " + ", ".join(f"{c} binary" for c in _CELLS)
+#: Pivots beside the origin, and the most entries that one may have (they travel to all tasks).
+PIVOTS, _PIVOT_ENTRIES = 16, 100_000
+METRICS = ("euclidean", "manhattan", "cosine", "correlation")
+_KINDS = {"ids": np.int64, "sizes": np.int32, "cols": np.int64, "vals": np.float64, "grps": np.int64, "shift": np.float64, "ask": np.uint8, "give": np.uint8, "far": np.float64, "kth": np.float64}
+_RANGES = ("ask_lo", "ask_hi", "lo", "hi")
+_BLOCKS = f"block long, reach double, {', '.join(f'{c} array<double>' for c in _RANGES)}, {', '.join(f'{c} binary' for c in _KINDS)}"
+_MEASURED = "row long, cols array<long>, vals array<double>, grp long, shift double, ask boolean, give boolean, home int, near double, far array<double>"
 
 
 def rows_of(a: Matrix, groups: DataFrame | None = None) -> DataFrame:
@@ -40,15 +55,26 @@ def rows_of_vectors(vectors: DataFrame) -> DataFrame:
 
 
 class _Block:
-    def __init__(self, ids, sizes, cols, vals, grps):
-        self.ids, self.sizes, self.cols, self.vals, self.grps = ids, sizes, cols, vals, grps
-        self.row = np.repeat(np.arange(len(ids)), sizes)
-        self.norm = np.bincount(self.row, vals * vals, minlength=len(ids))
+    def __init__(self, ids, sizes, cols, vals, grps, shift, ask=None, give=None, far=None, kth=None):
+        self.ids, self.sizes, self.cols, self.vals, self.grps, self.shift = ids, sizes, cols, vals, grps, shift
+        n = len(ids)
+        self.ask, self.give = (np.ones(n, np.uint8) if x is None else x for x in (ask, give))
+        self.far = np.zeros((n, 0)) if far is None else far.reshape(n, -1)
+        self.kth = np.full(n, np.inf) if kth is None else kth
+        self.row = np.repeat(np.arange(n), sizes)
+        self.norm = np.bincount(self.row, vals * vals, minlength=n)
 
     @classmethod
     def read(cls, batch, i: int, prefix: str = "") -> _Block:
-        kinds = (np.int64, np.int32, np.int64, np.float64, np.int64)
-        return cls(*(np.frombuffer(batch.column(prefix + c)[i].as_buffer(), k) for c, k in zip(_CELLS, kinds, strict=True)))
+        return cls(*(np.frombuffer(batch.column(prefix + c)[i].as_buffer(), k) for c, k in _KINDS.items()))
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Block:
+        cell = lambda c, kind: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        one = lambda c, kind: t[c].to_numpy().astype(kind)
+        sizes = t["cols"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        far = cell("far", np.float64) if "far" in t.column_names else None
+        return cls(one("row", np.int64), sizes, cell("cols", np.int64), cell("vals", np.float64), one("grp", np.int64), one("shift", np.float64), one("ask", np.uint8), one("give", np.uint8), far)
 
     def dense(self, columns: np.ndarray) -> np.ndarray:
         """The block's values in the given (sorted) columns."""
@@ -60,41 +86,100 @@ class _Block:
         return out
 
 
-def nearest(a: _Block, b: _Block, k: int, same: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of a, ids, distances, groups): the k nearest of b for each row of a, by group of b."""
-    columns = np.unique(a.cols)
-    x, y = a.dense(columns), b.dense(columns)
-    beyond = np.maximum(b.norm - (y * y).sum(1), 0.0)
-    beyond[beyond < 1e-12 * b.norm] = 0.0
-    out = []
-    for g in np.unique(b.grps):
-        mine = np.flatnonzero(b.grps == g)
-        z, ids = y[mine], b.ids[mine]
-        for i in range(0, len(x), _STEP):
-            part = slice(i, i + _STEP)
-            d2 = a.norm[part, None] + b.norm[mine] - 2 * (x[part] @ z.T)
-            if same:
-                d2[a.ids[part, None] == ids] = np.inf
-            slack = 1e-9 * (a.norm[part] + b.norm.max(initial=0.0)) + 1e-300
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(d2), np.inf)
-            r, c = np.nonzero(np.isfinite(d2) & (d2 <= (kth + 2 * slack)[:, None]))
-            dist = np.empty(len(r))
-            for lo in range(0, len(r), 1 << 14):
-                s = slice(lo, lo + (1 << 14))
-                diff = x[i + r[s]] - z[c[s]]
-                dist[s] = np.sqrt((diff * diff).sum(1) + beyond[mine[c[s]]])
+class _Pair:
+    """Distances between the rows of two blocks."""
+
+    def __init__(self, a: _Block, b: _Block, metric: str):
+        self.a, self.b, self.metric = a, b, metric
+        columns = np.unique(a.cols)
+        self.x, self.y = a.dense(columns), b.dense(columns)
+        if metric == "euclidean":
+            self.beyond = np.maximum(b.norm - (self.y * self.y).sum(1), 0.0)
+            self.beyond[self.beyond < 1e-12 * b.norm] = 0.0
+        elif metric == "manhattan":
+            self.beyond = np.maximum(np.bincount(b.row, np.abs(b.vals), minlength=len(b.ids)) - np.abs(self.y).sum(1), 0.0)
+
+    def rough(self, rows: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what orders the pairs as the distance does, by how much it may err for each row)."""
+        a, b, x, z = self.a, self.b, self.x[rows], self.y[mine]
+        if self.metric == "euclidean":
+            return a.norm[rows, None] + b.norm[mine] - 2 * (x @ z.T), 1e-9 * (a.norm[rows] + b.norm[mine].max(initial=0.0)) + 1e-300
+        if self.metric == "manhattan":
+            d = np.empty((len(rows), len(mine)))
+            step = max(1, (1 << 22) // max(1, z.size))
+            for i in range(0, len(rows), step):
+                d[i : i + step] = np.abs(x[i : i + step, None] - z[None]).sum(2)
+            d += self.beyond[mine]
+            return d, 1e-9 * d.max(initial=0.0) + np.zeros(len(rows))
+        return 1 - (x @ z.T - np.outer(a.shift[rows], b.shift[mine])), np.full(len(rows), 1e-11)
+
+    def exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = np.empty(len(r))
+        for lo in range(0, len(r), 1 << 14):
+            s = slice(lo, lo + (1 << 14))
+            x, y = self.x[r[s]], self.y[c[s]]
+            if self.metric == "euclidean":
+                out[s] = np.sqrt(((x - y) ** 2).sum(1) + self.beyond[c[s]])
+            elif self.metric == "manhattan":
+                out[s] = np.abs(x - y).sum(1) + self.beyond[c[s]]
+            else:
+                out[s] = np.clip(np.round(1 - ((x * y).sum(1) - self.a.shift[r[s]] * self.b.shift[c[s]]), 12), 0, 2)
+        return out
+
+
+def _chord(metric: str, d):
+    """The distance in which the triangle inequality holds."""
+    return np.sqrt(2 * d) if metric in ("cosine", "correlation") else d
+
+
+def nearest(a: _Block, b: _Block, k: int, apart: bool, metric: str = "euclidean", asking: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, ids, distances, groups): the k nearest giving rows of b for each asking row of a, by
+    group of b, not farther than the row's k nearest can be; ``apart``: rows with one id are the same."""
+    rows = np.flatnonzero(a.ask) if asking is None else asking
+    pair, out = _Pair(a, b, metric), []
+    for g in np.unique(b.grps[b.give > 0]):
+        mine = np.flatnonzero((b.grps == g) & (b.give > 0))
+        ids = b.ids[mine]
+        for i in range(0, len(rows), _STEP):
+            part = rows[i : i + _STEP]
+            d, slack = pair.rough(part, mine)
+            if apart:
+                d[a.ids[part, None] == ids] = np.inf
+            least = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(d), np.inf)
+            bound = a.kth[part] ** 2 if metric == "euclidean" else a.kth[part]
+            r, c = np.nonzero(np.isfinite(d) & (d <= (np.minimum(least, bound) + 2 * slack)[:, None]))
+            dist = pair.exact(part[r], mine[c])
             order = np.lexsort((ids[c], dist, r))
             r, c, dist = r[order], c[order], dist[order]
-            first = np.searchsorted(r, np.arange(len(d2)))
+            first = np.searchsorted(r, np.arange(len(d)))
             keep = np.arange(len(r)) - first[r] < k
-            out.append((r[keep] + i, ids[c[keep]], dist[keep], np.full(keep.sum(), g)))
+            out.append((part[r[keep]], ids[c[keep]], dist[keep], np.full(keep.sum(), g)))
     return out
 
 
-def _pack(k: int, same: bool, size: int):
-    """Runs of sorted rows as blocks; ``reach`` is how far the k nearest of any row in every group of
-    the block can be at most (infinite where a group of another block may be needed)."""
-    schema = pa.schema([("block", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("reach", pa.float64()), *((c, pa.binary()) for c in _CELLS)])
+def _measure(pivots: list[tuple[list, list, float]], metric: str):
+    """Adds the distances to the pivots (and, for metrics of differences, to the origin)."""
+    base = metric in ("euclidean", "manhattan")
+    every = [([], [], 0.0), *pivots] if base else pivots
+    blocks = [_Block(np.zeros(1, np.int64), np.array([len(c)], np.int32), np.array(c, np.int64), np.array(v, np.float64), np.zeros(1, np.int64), np.array([s])) for c, v, s in every]
+
+    def run(batches):
+        for batch in batches:
+            b = _Block.of(pa.Table.from_batches([batch]))
+            n = np.arange(len(b.ids))
+            # The pivot's columns are few, so its side is the dense one.
+            far = np.stack([_chord(metric, _Pair(p, b, metric).exact(np.zeros(len(n), np.int64), n)) for p in blocks], 1) if blocks else np.zeros((len(n), 0))
+            home = far.argmin(1) if blocks else np.zeros(len(n), np.int64)
+            more = [pa.array(home.astype(np.int32)), pa.array(far[n, home] if blocks else np.zeros(len(n))), pa.array(list(far), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "home", "near", "far"])
+
+    return run
+
+
+def _pack(k: int, apart: bool, size: int, metric: str, n_groups: int):
+    """Runs of sorted rows as blocks. A row's ``kth`` is how far its k nearest can be: the k-th in its own
+    block, of every group, where all groups have as many there; else infinite. ``reach``: its largest."""
+    schema = pa.schema([("block", pa.int64()), ("reach", pa.float64()), *((c, pa.list_(pa.float64())) for c in _RANGES), *((c, pa.binary()) for c in _KINDS)])
 
     def run(batches):
         from pyspark import TaskContext
@@ -102,14 +187,18 @@ def _pack(k: int, same: bool, size: int):
         number = itertools.count(TaskContext.get().partitionId() << 32)
 
         def block(t: pa.Table):
-            cell = lambda c, kind: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-            sizes = np.array([len(x) for x in t["cols"].to_pylist()], np.int32)
-            b = _Block(t["row"].to_numpy().astype(np.int64), sizes, cell("cols", np.int64), cell("vals", np.float64), t["grp"].to_numpy().astype(np.int64))
-            reach = np.inf
-            if same and len(np.unique(b.grps)) == 1 and len(b.ids) > k:
-                reach = max(float(d.max()) for _, _, d, _ in nearest(b, b, k, True))
-            norm = np.sqrt(b.norm)
-            row = {"block": next(number), "lo": norm.min(), "hi": norm.max(), "reach": reach} | {c: getattr(b, c).tobytes() for c in _CELLS}
+            b = _Block.of(t)
+            found, last = np.zeros(len(b.ids), np.int64), np.zeros(len(b.ids))
+            for r, _, d, _ in nearest(b, b, k, apart, metric):
+                found += np.bincount(r, minlength=len(found))
+                np.maximum.at(last, r, d)
+            b.kth = np.where(found == k * n_groups, last, np.inf)
+            asks, gives = b.ask > 0, b.give > 0
+            row = {"block": next(number), "reach": float(_chord(metric, b.kth[asks].max(initial=0.0)))}
+            for mine, names in ((asks, _RANGES[:2]), (gives, _RANGES[2:])):
+                f = b.far[mine]
+                row |= dict(zip(names, (f.min(0, initial=np.inf).tolist(), f.max(0, initial=-np.inf).tolist()), strict=True))
+            row |= {c: np.ascontiguousarray(getattr(b, c)).astype(kind).tobytes() for c, kind in _KINDS.items()}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         held: list = []
@@ -126,37 +215,70 @@ def _pack(k: int, same: bool, size: int):
     return run
 
 
-def _search(k: int, same: bool):
+def _search(k: int, apart: bool, metric: str):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = _Block.read(batch, i, "a_"), _Block.read(batch, i, "b_")
-                for r, ids, dist, grp in nearest(a, b, k, same):
+                asking, gives = np.flatnonzero(a.ask), b.give > 0
+                lo, hi = b.far[gives].min(0, initial=np.inf), b.far[gives].max(0, initial=-np.inf)
+                gap = np.maximum(lo - a.far[asking], a.far[asking] - hi).max(1, initial=0.0)
+                asking = asking[gap - 1e-6 * (1 + np.abs(hi).max(initial=0.0)) <= _chord(metric, a.kth[asking])]
+                if not len(asking):
+                    continue
+                for r, ids, dist, grp in nearest(a, b, k, apart, metric, asking):
                     yield pa.RecordBatch.from_arrays([pa.array(a.ids[r]), pa.array(ids), pa.array(dist), pa.array(grp)], names=["row", "nbr", "dist", "grp"])
 
     return run
 
 
-def block_knn(a: DataFrame, b: DataFrame | None, k: int, grouped: bool = False, size: int = BLOCK) -> DataFrame:
+def _directions(rows: DataFrame, metric: str, n_cols: int | None) -> DataFrame:
+    """Rows of length one (less their means, which stay apart as ``shift``, so nothing gets dense)."""
+    n = F.lit(float(n_cols)) if n_cols else F.size("vals").cast("double")
+    total = lambda f: F.aggregate("vals", F.lit(0.0), lambda s, v: s + f(v))
+    r = rows.withColumn("_s", total(lambda v: v * v)).withColumn("_m", total(lambda v: v) / n if metric == "correlation" else F.lit(0.0))
+    left = F.col("_s") - n * F.col("_m") * F.col("_m")
+    scale = F.when(left > 1e-12 * F.col("_s"), 1 / F.sqrt(left)).otherwise(F.lit(0.0))
+    r = r.withColumn("_k", F.coalesce(scale, F.lit(0.0)))
+    return r.withColumn("vals", F.transform("vals", lambda v: v * F.col("_k"))).withColumn("shift", F.coalesce(F.sqrt(n) * F.col("_m") * F.col("_k"), F.lit(0.0)))
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """``a, b``: the blocks whose asking and giving rows may be near enough. One row for a block of some
+    thousand rows: pairs of blocks are the work itself."""
+    x = blocks.select(F.col("block").alias("a"), "ask_lo", "ask_hi", "reach")
+    y = blocks.select(F.col("block").alias("b"), "lo", "hi")
+    gap = lambda p, q: F.array_max(F.zip_with(p, q, lambda u, v: u - v))
+    apart = F.coalesce(F.greatest(gap("lo", "ask_hi"), gap("ask_lo", "hi")), F.lit(0.0))
+    slack = 1e-6 * (1 + F.coalesce(F.array_max(F.transform("hi", F.abs)), F.lit(0.0)))
+    return x.join(y, apart - slack <= F.col("reach")).select("a", "b")
+
+
+def row_blocks(a: DataFrame, b: DataFrame | None, k: int, grouped: bool = False, size: int = BLOCK, metric: str = "euclidean", both: bool = False, n_cols: int | None = None, n_pivots: int = PIVOTS) -> DataFrame:
+    """The blocks of the rows of ``a``, which ask, and of those that give: of ``b``, of ``a`` or of both."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    side = lambda r, ask, give: r.select("row", "cols", "vals", "grp", F.lit(0.0).alias("shift"), F.lit(ask).alias("ask"), F.lit(give).alias("give"))
+    rows = side(a, True, b is None or both)
+    rows = rows if b is None else rows.unionByName(side(b, False, True))
+    if metric in ("cosine", "correlation"):
+        rows = _directions(rows, metric, n_cols).select("row", "cols", "vals", "grp", "shift", "ask", "give")
+    rows = cut(rows)
+    some = rows.where(F.size("cols").between(1, _PIVOT_ENTRIES)).orderBy(F.xxhash64("row", "ask"), "row").limit(n_pivots)
+    pivots = [(r["cols"], r["vals"], r["shift"]) for r in some.select("cols", "vals", "shift").collect()]
+    n_groups = rows.where("give").select("grp").distinct().count() if grouped else 1
+    far = rows.mapInArrow(_measure(pivots, metric), _MEASURED)
+    sorted_ = far.repartitionByRange("home", "near", "row").sortWithinPartitions("home", "near", "row").drop("home", "near")
+    return cut(sorted_.mapInArrow(_pack(k, b is None or both, size, metric, n_groups), _BLOCKS))
+
+
+def block_knn(a: DataFrame, b: DataFrame | None, k: int, grouped: bool = False, size: int = BLOCK, metric: str = "euclidean", both: bool = False, n_cols: int | None = None) -> DataFrame:
     """``row, nbr, dist, rank`` (and ``grp``): the k nearest rows of ``b`` (of each of its groups) for
-    every row of ``a``; without ``b``, of the other rows of ``a``."""
-    same = b is None
-
-    def blocks(rows: DataFrame) -> DataFrame:
-        norm = F.aggregate("vals", F.lit(0.0), lambda s, v: s + v * v)
-        r = rows.withColumn("norm", norm)
-        r = r.repartitionByRange("norm", "row").sortWithinPartitions("norm", "row").select("row", "cols", "vals", "grp")
-        one_group = not grouped
-        return cut(r.mapInArrow(_pack(k, same and one_group, size), _BLOCKS))
-
-    left = blocks(a)
-    right = left if same else blocks(b)
-    side = lambda d, s: d.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in _CELLS))
-    # One row for a block of some thousand rows: pairs of blocks are the work itself.
-    x = left.select(F.col("block").alias("a"), F.col("lo").alias("al"), F.col("hi").alias("ah"), "reach")
-    y = right.select(F.col("block").alias("b"), F.col("lo").alias("bl"), F.col("hi").alias("bh"))
-    pairs = x.join(y, (F.greatest(F.col("bl") - F.col("ah"), F.col("al") - F.col("bh"))) * (1 - 1e-9) <= F.col("reach")).select("a", "b")
-    found = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").mapInArrow(_search(k, same), "row long, nbr long, dist double, grp long")
+    every row of ``a``; without ``b``, of the other rows of ``a``; with ``both``, of ``b`` and the other
+    rows of ``a``, whose ids must differ from those of ``b``. ``n_cols``: columns of sparse rows."""
+    blocks = row_blocks(a, b, k, grouped, size, metric, both, n_cols)
+    cells = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in _KINDS))
+    found = block_pairs(blocks).join(cells("a"), "a").join(cells("b"), "b").mapInArrow(_search(k, b is None or both, metric), "row long, nbr long, dist double, grp long")
     keys = ["grp"] if grouped else []
     w = Window.partitionBy("row", *keys).orderBy("dist", "nbr")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("row", "nbr", "dist", "rank", *keys)

@@ -139,51 +139,3 @@ def spatial_domains(points: DataFrame, features: DataFrame, k: int, seed: int =
     scaled = lambda c: F.coalesce((F.col(c) - F.col("lo" + c)) / F.nullif(F.col("hi" + c) - F.col("lo" + c), F.lit(0.0)), F.lit(0.0))
     xy = p.select("id", F.explode(F.array(F.struct(F.lit(-2).alias("dim"), scaled("x").alias("x")), F.struct(F.lit(-1).alias("dim"), scaled("y").alias("x")))).alias("e")).select("id", "e.dim", "e.x")
     return kmeans(xy.unionByName(features.select("id", F.col("dim").cast("int").alias("dim"), "x")), k, seed=seed)
-
-
-def hierarchical(dissim: DataFrame, n: int) -> DataFrame:
-    """``step, a, b, height``: average-linkage merges of ``a, b, d`` over n items, in one task.
-
-    The dendrogram is sequential by definition, so this is for the dissimilarities of a bounded
-    number of columns (n is checked), which fit a task."""
-    import pandas as pd
-
-    if n > 5000:
-        raise ValueError("hierarchical clustering takes at most 5000 items")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        ids = np.unique(np.concatenate([pdf.a, pdf.b]))
-        at = {i: k for k, i in enumerate(ids)}
-        d = np.full((len(ids), len(ids)), np.inf)
-        for a, b, x in zip(pdf.a, pdf.b, pdf.d, strict=True):
-            d[at[a], at[b]] = d[at[b], at[a]] = x
-        size, name, out = np.ones(len(ids)), ids.astype(np.int64).copy(), []
-        for step in range(len(ids) - 1):
-            i, j = divmod(int(np.argmin(d)), len(ids))
-            i, j = min(i, j), max(i, j)
-            out.append((step, int(name[i]), int(name[j]), float(d[i, j])))
-            d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            size[i] += size[j]
-            d[j] = d[:, j] = np.inf
-            d[i, i] = np.inf
-        return pd.DataFrame(out, columns=["step", "a", "b", "height"])
-
-    return dissim.groupBy(F.lit(0).alias("one")).applyInPandas(run, "step int, a long, b long, height double")
-
-
-def cut_tree(merges: DataFrame, items: DataFrame, height: float) -> DataFrame:
-    """``id, component``: merges up to the height, united."""
-    from .graphs import connected_components
-
-    e = merges.where(F.col("height") <= height).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
-    return connected_components(Graph(e, items))
-
-
-def detect_modules(dissim: DataFrame, items: DataFrame, height: float = 0.25, min_size: int = 30) -> DataFrame:
-    """``id, module``: components of the tree below the height, 0 if small, numbered from 1 by size."""
-    c = cut_tree(hierarchical(dissim, items.count()), items, height)
-    n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
-    num = n.select("component", F.row_number().over(Window.orderBy(F.desc("n"), "component")).alias("module"))
-    return c.join(num, "component", "left").select("id", F.coalesce("module", F.lit(0)).alias("module"))

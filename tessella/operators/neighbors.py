@@ -23,15 +23,16 @@ def _nearest(pairs: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cross_knn(a: Matrix, b: Matrix, k: int, same: bool = False, groups: DataFrame | None = None) -> DataFrame:
+def cross_knn(a: Matrix, b: Matrix, k: int, same: bool = False, groups: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
     """``row, nbr, dist, rank``: the k nearest rows of b for every row of a (per group of b's rows, if given)."""
     keys = ["grp"] if groups is not None else []
-    out = block_knn(rows_of(a, groups if same else None), None if same else rows_of(b, groups), k, grouped=bool(keys))
+    n_cols = a.n_cols if metric == "correlation" else None
+    out = block_knn(rows_of(a, groups if same else None), None if same else rows_of(b, groups), k, grouped=bool(keys), metric=metric, n_cols=n_cols)
     return out.select("row", "nbr", "dist", "rank", *keys)
 
 
-def knn(a: Matrix, k: int) -> DataFrame:
-    return cross_knn(a, a, k, same=True)
+def knn(a: Matrix, k: int, metric: str = "euclidean") -> DataFrame:
+    return cross_knn(a, a, k, same=True, metric=metric)
 
 
 def bbknn(a: Matrix, batches: DataFrame, k: int) -> DataFrame:
@@ -428,11 +429,6 @@ def knn_doublet_score(nbrs: DataFrame, synthetic: DataFrame) -> DataFrame:
     return nbrs.join(s, "nbr", "left").groupBy("row").agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
-def artificial_share(vectors: DataFrame, synthetic: DataFrame, share: float) -> DataFrame:
-    """``row, score``: share of synthetic rows among the ceil(share * rows) nearest of all rows."""
-    return knn_doublet_score(dense_knn(vectors, max(1, math.ceil(share * vectors.count()))), synthetic)
-
-
 def estimate_threshold(scores: DataFrame, rate: float) -> DataFrame:
     """``threshold``: the sorted score at index floor((1 - rate)(n - 1))."""
     from .testing import ordered

@@ -212,15 +212,6 @@ def downsample(a: Matrix, target: float | DataFrame, seed: int = 0) -> Matrix:
     return a.with_entries(binomial_resample(Matrix(e, a.rows, a.cols), p, seed).entries)
 
 
-def simulate_doublets(a: Matrix, n: int, seed: int = 0) -> DataFrame:
-    """``row, col, v``: averages of two distinct rows drawn by hashes; synthetic rows are -1, -2, ..."""
-    rows = a.rows.withColumn("pos", F.row_number().over(Window.orderBy(F.xxhash64("row", F.lit(seed)), "row")) - 1)
-    m = a.n_rows
-    d = a.entries.sparkSession.range(n).select(F.col("id"), F.floor(uniform("id", seed=seed + 1) * m).cast("long").alias("p"), F.floor(uniform("id", seed=seed + 2) * (m - 1)).cast("long").alias("q"))
-    d = d.select((-F.col("id") - 1).alias("new"), F.explode(F.array("p", F.when(F.col("q") >= F.col("p"), F.col("q") + 1).otherwise(F.col("q")))).alias("pos"))
-    return d.join(rows, "pos").join(a.entries, "row").groupBy(F.col("new").alias("row"), "col").agg((F.sum("v") / 2).alias("v"))
-
-
 def rarefaction(clones: DataFrame, size: int, n_iter: int, seed: int = 0) -> DataFrame:
     """``mean, std`` of the Shannon diversity of subsamples drawn by hashes."""
     from .information import count_entropy_agg

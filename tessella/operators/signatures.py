@@ -730,12 +730,22 @@ def hub_columns(degrees: DataFrame, fraction: float = 0.8) -> DataFrame:
     return degrees.crossJoin(F.broadcast(top)).where(F.col("degree") >= fraction * F.col("m")).select("id")
 
 
+def correlation_matrix(a: Matrix, kind: str = "pearson") -> DataFrame:
+    """``a, b, r`` of all column pairs (a < b); ``kind`` is pearson, spearman or bicor."""
+    from .robust import bicor
+
+    if kind == "bicor":
+        return bicor(a)
+    m = {"pearson": lambda: a, "spearman": lambda: ranked_matrix(a)}[kind]()
+    return pearson(m.T).select(F.col("row").alias("a"), F.col("other").alias("b"), "r")
+
+
 def adjacency(a: Matrix, power: float = 6.0, kind: str = "unsigned", corr: str = "pearson") -> DataFrame:
-    """``a, b, w`` (a < b): |r|^p, ((1 + r) / 2)^p, or r^p of positive r (signed hybrid: sign kept)."""
+    """``a, b, w`` (a < b): |r|^p, ((1 + r) / 2)^p, or r^p of positive r (signed hybrid: sign kept); ``corr``
+    is pearson, spearman or bicor."""
     r = F.col("r")
     w = {"unsigned": F.pow(F.abs(r), F.lit(power)), "signed": F.pow((1 + r) / 2, F.lit(power)), "signed_hybrid": F.signum(r) * F.pow(F.abs(r), F.lit(power))}[kind]
-    m = ranked_matrix(a) if corr == "spearman" else a
-    return pearson(m.T).select(F.col("row").alias("a"), F.col("other").alias("b"), w.alias("w"))
+    return correlation_matrix(a, corr).select("a", "b", w.alias("w"))
 
 
 def topological_overlap(adj: DataFrame) -> DataFrame:

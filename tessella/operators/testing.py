@@ -12,14 +12,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCKS = 64
+#: Blocks of an order at least, and rows that one should hold on average.
+_BLOCKS, _PER_BLOCK = 64, 1_000_000
 
 
 def ordered(p: DataFrame, by: str = "p", descending: bool = False) -> DataFrame:
     """Adds ``rank`` (1..n, ties by id) and ``n``: blocks by value, offsets from block counts."""
     lo_hi = p.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"), F.count(F.lit(1)).alias("n"))
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    block = F.coalesce(F.least(F.lit(_BLOCKS - 1), F.floor((F.col(by) - F.col("_lo")) / width * _BLOCKS).cast("int")), F.lit(0))
+    parts = F.greatest(F.lit(_BLOCKS), F.ceil(F.col("n") / _PER_BLOCK))
+    block = F.coalesce(F.least(parts - 1, F.floor((F.col(by) - F.col("_lo")) / width * parts)), F.lit(0))
     b = p.crossJoin(F.broadcast(lo_hi)).withColumn("_block", -block if descending else block)
     sizes = b.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import Graph, Matrix
 from ..operators import communities as C
 from ..operators import graphs as G
+from ..operators import linkage as L
 from ..operators import neighbors as K
 from ..operators import optimise as O
 from ..operators import randomized as R
@@ -24,6 +25,8 @@ ET = with_("nb e ty")
 _batches = lambda n: n.vectors.select("id", (F.col("id") % 3).alias("label"))
 SQ = "WITH pv AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(v, 0)) AS x FROM embeddings), d2 AS (SELECT a.i AS i, b.i AS k, list_distance(a.x, b.x) AS dist FROM pv a JOIN pv b ON a.i <> b.i) "
 q("knn", lambda n: K.knn(n.expr, 5), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS rank FROM d2 QUALIFY rank <= 5', "dist", "row nbr rank")
+for _m, _d in (("manhattan", "list_sum(list_transform(range(1, 65), lambda t: abs(a.x[t] - b.x[t])))"), ("cosine", "round(1 - list_cosine_similarity(a.x, b.x), 12)"), ("correlation", "round(1 - list_cosine_similarity(list_transform(a.x, lambda t: t - list_avg(a.x)), list_transform(b.x, lambda t: t - list_avg(b.x))), 12)")):
+    q(f"knn_{_m}", lambda n, m=_m: K.knn(n.expr, 5, m), SQ.replace("list_distance(a.x, b.x)", _d) + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i ORDER BY dist, k) AS rank FROM d2 QUALIFY rank <= 5', "dist", "row nbr rank")
 q("bbknn", lambda n: K.bbknn(n.expr, n.vectors.select(F.col("id").alias("row"), (F.col("id") % 3).alias("grp")), 2), SQ + 'SELECT i AS "row", k AS nbr, dist, row_number() OVER (PARTITION BY i, k % 3 ORDER BY dist, k) AS rank, k % 3 AS grp FROM d2 QUALIFY rank <= 2', "dist", "row nbr rank grp")
 q("dense_knn", lambda n: K.dense_knn(n.vectors, 5).select("row", "nbr", "dist"), NB + 'SELECT i AS "row", k AS nbr, dist FROM nb', "dist", "row nbr")
 _half = lambda n, k: Matrix(n.expr.entries.where(F.col("row") % 2 == k), n.expr.rows.where(F.col("row") % 2 == k), n.expr.cols)
@@ -77,7 +80,6 @@ q("ambient_detection", lambda n: K.ambient_score(n.m, 0.1))
 q("outlier_genes", lambda n: K.outlier_genes(n.m, 1.0), with_("m cj ri") + ", s AS (SELECT j, sum(v) / max(n) AS m, sum(v * v) / max(n) - power(sum(v) / max(n), 2) AS s FROM m, nr GROUP BY 1), l AS (SELECT j, ln(s / (m * m)) AS l FROM s WHERE m > 1e-10 AND s > 0), md AS (SELECT *, quantile_cont(l, 0.5) OVER () AS med FROM l), mad AS (SELECT j, l, med, quantile_cont(abs(l - med), 0.5) OVER () AS mad FROM md) SELECT j AS col, (l - med) / greatest(1.4826 * mad, 1e-10) AS z FROM mad WHERE (l - med) / greatest(1.4826 * mad, 1e-10) > 1", "z", "col", digits=4)
 q("neighbor_zscore", lambda n: K.neighbor_zscore(n.expr, n.nbrs), XW + ', s AS (SELECT nb.i, j, sum(v) / 5 AS m, sum(v * v) / 5 AS q FROM nb JOIN xp ON xp.i = nb.k GROUP BY 1, 2), z AS (SELECT xp.i, CASE WHEN coalesce(q - m * m, 0) > 1e-20 THEN abs(v - coalesce(m, 0)) / sqrt(q - m * m) ELSE 0 END AS z FROM xp LEFT JOIN s ON s.i = xp.i AND s.j = xp.j) SELECT vec_id AS "row", coalesce(avg(z), 0) AS score FROM embeddings LEFT JOIN z ON z.i = vec_id GROUP BY 1', "score", "row", digits=5)
 q("empty_drops", lambda n: K.empty_drops(n.m, 0.01, 400, 300))
-q("knn_doublet_scores", lambda n: K.knn_doublet_score(n.nbrs, n.vectors.where("id % 4 = 0").select(F.col("id").alias("row"))), NB + 'SELECT i AS "row", avg(CASE WHEN k % 4 = 0 THEN 1.0 ELSE 0 END) AS score FROM nb GROUP BY 1', "score", "row")
 _sc = lambda n: n.p.select("id", F.col("p").alias("score"))
 q("estimate_threshold", lambda n: K.estimate_threshold(_sc(n), 0.06), with_("p") + "SELECT p AS threshold FROM (SELECT p, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS n FROM p) WHERE r = floor(0.94 * (n - 1)) + 1", "threshold")
 q("call_doublets", lambda n: K.call_doublets(_sc(n), 0.5), with_("p") + "SELECT id, p > 0.5 AS doublet FROM p", "", "id")
@@ -262,7 +264,11 @@ q("louvain", lambda n: C.louvain(n.graph, max_levels=2, max_rounds=4))
 q("leiden", lambda n: C.leiden(n.graph, max_levels=1, max_rounds=3))
 q("kmeans", lambda n: C.kmeans(n.long_vectors, 4, 8))
 q("spatial_domain", lambda n: C.spatial_domains(n.points, n.long_vectors, 3))
-q("hierarchical_clustering", lambda n: C.hierarchical(n.nbrs.where("row < nbr").select(F.col("row").alias("a"), F.col("nbr").alias("b"), F.col("dist").alias("d")), n.graph.n))
+_away = lambda n: n.graph.edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 / F.col("w") - 1).alias("d"))
+q("hierarchical_clustering", lambda n: L.hierarchical(_away(n)))
+q("cut_tree", lambda n: L.cut_tree(L.hierarchical(_away(n)), n.graph.nodes, 1.2))
+q("detect_modules", lambda n: L.detect_modules(_away(n), n.graph.nodes, 1.2, 2))
+q("blockwise_modules", lambda n: L.blockwise_modules(n.expr, 40, 1.0, 0.97, 2))
 for _k in ("gaussian", "achlioptas", "sparse", "countsketch", "feature_hash"):
     q(f"project_{_k}", lambda n, k=_k: R.project(n.m, 16, k))
 q("uniform_sampling", lambda n: R.uniform_sample(n.vectors.select("id"), 50))
@@ -277,7 +283,6 @@ q("reservoir_sampling", lambda n: R.reservoir_sample(n.table("events").select(F.
 q("downsample", lambda n: R.downsample(n.m, 200.0))
 q("binomial_resample", lambda n: R.binomial_resample(n.m, 0.5))
 q("poisson_resample", lambda n: R.poisson_resample(n.m, 0.1))
-q("simulate_doublets", lambda n: R.simulate_doublets(n.m, 50))
 q("rarefaction_diversity", lambda n: R.rarefaction(n.clones.select("id", "clone"), 300, 5))
 q("batch_permutation_test", lambda n: R.permutation_test(n.ev, n.ev.rows.select("row", (F.col("row") % 2).alias("grp")), 20))
 q("permutation_correlation_test", lambda n: R.permutation_correlation(n.points.select("id", "x", "y"), 20))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import special as X
 from ..model import Graph
 from ..operators import communities as C
+from ..operators import doublets as D
 from ..operators import graphs as G
 from ..operators import information as I
 from ..operators import matrix as M
@@ -47,10 +48,19 @@ _called = lambda n: _score(n).crossJoin(F.broadcast(K.estimate_threshold(_score(
 TH = with_("p") + ", th AS (SELECT p AS threshold FROM (SELECT p, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS n FROM p) WHERE r = floor(0.94 * (n - 1)) + 1) "
 q("detect_doublets", _called, TH + "SELECT id, p > threshold AS doublet FROM p, th", "", "id")
 q("get_singlet_indices", lambda n: _called(n).where("not doublet").select("id"), TH + "SELECT id FROM p, th WHERE p <= threshold", "", "id")
-_synthetic = lambda n: n.vectors.where("id % 4 = 0").select(F.col("id").alias("row"))
-PA = NB.replace("<= 5)", "<= {k})") + "SELECT i AS \"row\", avg(CASE WHEN k % 4 = 0 THEN 1.0 ELSE 0 END) AS score FROM nb GROUP BY 1"
-q("compute_knn_doublet_scores_pca", lambda n: K.knn_doublet_score(K.dense_knn(n.vectors, 8), _synthetic(n)), PA.replace("{k}", "8"), "score", "row")
-q("doubletfinder_pann", lambda n: K.artificial_share(n.vectors, _synthetic(n), 0.01), PA.replace("{k}", "ceil(0.01 * (SELECT count(*) FROM vec))"), "score", "row")
+DRAW = "(CAST('0x' || substr(md5(d || '|{s}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+#: Dense rows x of a table by place r, drawn pairs of them, and shares of drawn rows among the k nearest.
+SIM = ", rr AS (SELECT id, x, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM {t}), dd AS (SELECT unnest(range(0, {n})) AS d), pq AS (SELECT d, CAST(floor(" + DRAW.format(s=1) + " * (SELECT max(n) FROM rr)) AS BIGINT) AS p, CAST(floor(" + DRAW.format(s=2) + " * ((SELECT max(n) FROM rr) - 1)) AS BIGINT) AS q FROM dd), sm AS (SELECT -d - 1 AS id, list_transform(range(1, 65), lambda t: (a.x[t] + b.x[t]) / 2) AS x FROM pq JOIN rr a ON a.r = p JOIN rr b ON b.r = q + CAST(q >= p AS BIGINT))"
+DSC = SIM + ", al AS (SELECT id, x, 0 AS s, id AS o FROM rr UNION ALL SELECT id, x, 1, -id FROM sm), ds AS (SELECT a.id AS i, b.s, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.s, b.o) AS r FROM rr a JOIN al b ON a.id <> b.id) SELECT i AS \"row\", sum(s) / {k} AS score FROM ds WHERE r <= {k} GROUP BY 1"
+PV = "WITH pv AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(v, 0)) AS x FROM embeddings), vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+NV = "(SELECT count(*) FROM embeddings)"
+q("simulate_doublets", lambda n: D.simulate_doublets(n.expr, 50), PV + SIM.format(t="pv", n=50) + ' SELECT id AS "row", c - 1 AS col, x[c] AS v FROM (SELECT id, x, unnest(range(1, 65)) AS c FROM sm) WHERE x[c] > 0', "v", "row col")
+q("knn_doublet_scores", lambda n: D.knn_doublet_scores(n.expr, D.simulate_doublets(n.expr, n.expr.n_rows, 0), 8), PV + DSC.format(t="pv", n=NV, k=8), "score", "row")
+q("scrublet_scores", lambda n: D.scrublet_scores(n.expr), PV + DSC.format(t="pv", n=f"2 * {NV}", k=30), "score", "row")
+q("compute_knn_doublet_scores_pca", lambda n: D.vector_doublet_scores(n.vectors, D.simulate_vectors(n.vectors, n.vectors.count()), 8), PV + DSC.format(t="vec", n=NV, k=8), "score", "row")
+q("doubletfinder_pann", lambda n: D.pann_scores(n.vectors, D.simulate_vectors(n.vectors, n.vectors.count()), 0.01), PV + DSC.format(t="vec", n=NV, k=f"greatest(1, ceil(0.01 * 2 * {NV}))"), "score", "row")
+_hot = lambda n: D.scrublet_scores(n.expr).select(F.col("row").alias("id"), (F.col("score") > 0.7).alias("doublet"))
+q("classify_doublet_types_knn", lambda n: K.doublet_types(n.nbrs, n.vectors.select("id", (F.col("id") % 3).alias("label")), _hot(n)), "WITH " + CTE["nb"] + ", sc AS (" + PV + DSC.format(t="pv", n=f"2 * {NV}", k=30) + "), c AS (SELECT i, k % 3 AS b, count(*) AS c FROM nb GROUP BY 1, 2), s AS (SELECT i, c / sum(c) OVER (PARTITION BY i) AS s, row_number() OVER (PARTITION BY i ORDER BY c DESC, b) AS r FROM c) SELECT sc.\"row\" AS id, CASE WHEN score <= 0.7 THEN 0 WHEN coalesce(s, 0) > 0.2 THEN 1 ELSE 2 END AS type FROM sc LEFT JOIN s ON s.i = sc.\"row\" AND r = 2", "", "id type")
 q("doublet_score_neighbours", lambda n: K.neighbor_zscore(n.expr, n.nbrs))
 q("mitochondrial_outliers", lambda n: M.subset_outliers(n.m, n.m.cols.where("col % 5 = 0"), 0.2), with_("m ri") + ', t AS (SELECT ri.i, coalesce(sum(CASE WHEN j % 5 = 0 THEN v END) / nullif(sum(v), 0), 0) AS f FROM ri LEFT JOIN m ON m.i = ri.i GROUP BY 1) SELECT i AS "row", f AS fraction, f > 0.2 AS outlier FROM t', "fraction", "row")
 # --- statistics --------------------------------------------------------------

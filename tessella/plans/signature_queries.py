@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import robust as B
 from ..operators import signatures as S
 from .base import q
 from .inputs import CTE, with_
@@ -121,6 +122,11 @@ q("mutual_information_network", lambda n: S.mi_network(n.ev, 0.0))
 q("genie3_importance", lambda n: S.tf_target_scores(n.m, n.m.cols, squared=True), TT + "SELECT tf, target, coalesce(r * r / nullif(max(r * r) OVER (PARTITION BY target), 0), 0) AS score FROM tt", "score", "tf target")
 for _k, _e in (("wgcna_adjacency", "r * r"), ("wgcna_adjacency_signed", "power((1 + r) / 2, 2)"), ("wgcna_adjacency_signed_hybrid", "sign(r) * r * r")):
     q(_k, lambda n, k=_k: S.adjacency(n.m, 2.0, k[16:] or "unsigned"), CN + f"SELECT a, b, {_e} AS w FROM cr", "w", "a b")
+#: Medians and deviations of all columns of the positive vectors, zeros included, and their biweight midcorrelation.
+BI = with_("xp") + ", x AS (SELECT vec_id AS i, dj.j AS j, coalesce(v, 0) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(0, 64)) AS j) dj LEFT JOIN xp ON xp.i = vec_id AND xp.j = dj.j), md AS (SELECT j, quantile_cont(v, 0.5) AS med FROM x GROUP BY 1), mad AS (SELECT x.j AS j, max(med) AS med, 1.4826 * quantile_cont(abs(v - med), 0.5) AS mad FROM x JOIN md ON md.j = x.j GROUP BY 1), bw AS (SELECT i, x.j AS j, v, mad, CASE WHEN mad >= 1e-15 AND abs((v - med) / (9 * mad)) < 1 THEN (v - med) * power(1 - power((v - med) / (9 * mad), 2), 2) ELSE 0 END AS t FROM x JOIN mad ON mad.j = x.j), bc AS (SELECT p.j AS a, q.j AS b, CASE WHEN min(p.mad) < 1e-15 OR min(q.mad) < 1e-15 THEN coalesce(corr(p.v, q.v), 0) WHEN sqrt(sum(p.t * p.t) * sum(q.t * q.t)) > 1e-15 THEN sum(p.t * q.t) / sqrt(sum(p.t * p.t) * sum(q.t * q.t)) ELSE 0 END AS r FROM bw p JOIN bw q ON p.i = q.i AND p.j < q.j GROUP BY 1, 2) "
+q("column_medians", lambda n: B.column_medians(n.expr), BI + "SELECT j AS col, med AS median, mad FROM mad", "median mad", "col")
+q("correlation_matrix_bicor", lambda n: S.correlation_matrix(n.expr, "bicor"), BI + "SELECT a, b, r FROM bc", "r", "a b")
+q("wgcna_adjacency_bicor", lambda n: S.adjacency(n.expr, 2.0, "signed", "bicor"), BI + "SELECT a, b, power((1 + r) / 2, 2) AS w FROM bc", "w", "a b")
 TO = CX + ", ad AS (SELECT a, b, r * r AS w FROM cc WHERE a <> b), k AS (SELECT a, sum(w) AS k FROM ad GROUP BY 1), l AS (SELECT x.a, y.b, sum(x.w * y.w) AS l FROM ad x JOIN ad y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2), tom AS (SELECT ad.a AS a, ad.b AS b, (coalesce(l, 0) + w) / (least(p.k, q.k) + 1 - w) AS tom FROM ad LEFT JOIN l ON l.a = ad.a AND l.b = ad.b JOIN k p ON p.a = ad.a JOIN k q ON q.a = ad.b WHERE ad.a < ad.b) "
 q("topological_overlap_matrix", lambda n: S.topological_overlap(S.adjacency(n.ev, 2.0)), TO + "SELECT a, b, tom FROM tom", "tom", "a b")
 q("tom_dissimilarity", lambda n: S.topological_overlap(S.adjacency(n.ev, 2.0)).select("a", "b", (1 - F.col("tom")).alias("d")), TO + "SELECT a, b, 1 - tom AS d FROM tom", "d", "a b")

@@ -45,6 +45,54 @@ def test_sparse_cross_neighbours(spark, size):
     assert got == want
 
 
+@pytest.mark.parametrize("metric", ["manhattan", "cosine", "correlation", "euclidean"])
+@pytest.mark.parametrize("size", [16, 4096])
+def test_metrics_and_both_sides(spark, metric, size):
+    """Observed rows against simulated ones and each other, as sparse rows with implicit zeros."""
+    from tessella.model import Matrix
+    from tessella.operators.blocks import block_knn, rows_of
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((70, 20)) < 0.3) * rng.integers(1, 6, (70, 20)).astype(float)
+    x[3], x[4], x[60] = 0, 2.0, 0  # without a direction: zero, and constant for the correlation
+    x[5] = x[6]
+    y = x - x.mean(1, keepdims=True) if metric == "correlation" else x
+    if metric == "euclidean":
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    elif metric == "manhattan":
+        d = np.abs(x[:, None] - x[None]).sum(2)
+    else:
+        norm = np.sqrt((y * y).sum(1))
+        u = np.divide(y, norm[:, None], out=np.zeros_like(y), where=norm[:, None] > 1e-9)
+        d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+
+    def rows(lo, hi):
+        e = [(int(i) + lo, int(j), float(x[i + lo, j])) for i, j in zip(*np.nonzero(x[lo:hi]))]
+        m = Matrix(spark.createDataFrame(e, "row long, col long, v double"), spark.range(lo, hi).withColumnRenamed("id", "row"), spark.range(20).withColumnRenamed("id", "col"))
+        return rows_of(m)
+
+    got = block_knn(rows(0, 50), rows(50, 70), 5, size=size, metric=metric, both=True, n_cols=20).collect()
+    want = {(i, int(j), r + 1) for i in range(50) for r, j in enumerate(np.lexsort((np.arange(70), np.round(d[i], 10)))[:5])}
+    assert {(r.row, r.nbr, r["rank"]) for r in got} == want
+    assert all(abs(r.dist - d[r.row, r.nbr]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_far_blocks_are_not_searched(spark, metric):
+    from tessella.operators.blocks import block_knn, block_pairs, row_blocks, rows_of_vectors
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 6)) * 10
+    x = np.concatenate([c + rng.normal(size=(50, 6)) * 0.2 for c in centres])
+    df = rows_of_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(2))
+    blocks = row_blocks(df, None, 3, size=10, metric=metric)
+    n = blocks.count()
+    assert block_pairs(blocks).count() < n * n / 2
+    whole = block_knn(df, None, 3, size=4096, metric=metric).select("row", "nbr", "rank")
+    assert whole.exceptAll(block_knn(df, None, 3, size=10, metric=metric).select("row", "nbr", "rank")).isEmpty()
+
+
 def test_orthogonal_iteration_finds_eigenvectors(spark):
     from tessella.model import Graph
     from tessella.operators.spectral import low_rank_impute, orthogonal_iteration
