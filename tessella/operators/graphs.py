@@ -86,11 +86,15 @@ def all_hops(g: Graph, sources: DataFrame | None = None, max_hops: int = 1000) -
 
 
 def graph_diameter(g: Graph) -> DataFrame:
-    return all_hops(g).agg(F.max("hops").alias("diameter"))
+    from .traversal import hop_counts
+
+    return hop_counts(g).agg(F.coalesce(F.max("hop"), F.lit(0)).alias("diameter"))
 
 
 def average_path_length(g: Graph) -> DataFrame:
-    return all_hops(g).where("hops > 0").agg(F.coalesce(F.avg("hops"), F.lit(0.0)).alias("length"))
+    from .traversal import hop_counts
+
+    return hop_counts(g).agg(F.coalesce(F.sum(F.col("hop") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("length"))
 
 
 def topological_sort(g: Graph) -> DataFrame:
@@ -245,46 +249,6 @@ def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: i
     return iterate(start, lambda s: g.over_nodes(_push(g, s)).select("id", (alpha * F.coalesce("f", F.lit(0.0)) + beta).alias("x")), max_iter, tol)
 
 
-def closeness_centrality(g: Graph, normalize: bool = True) -> DataFrame:
-    """reachable / sum of hops, times reachable / (n - 1) if normalised."""
-    s = all_hops(g).where("hops > 0").groupBy(F.col("source").alias("id")).agg(F.sum("hops").alias("d"), F.count(F.lit(1)).alias("r"))
-    c = F.col("r") / F.col("d")
-    c = c * F.col("r") / max(g.n - 1, 1) if normalize else c
-    return g.over_nodes(s).select("id", F.coalesce(c, F.lit(0.0)).alias("centrality"))
-
-
-def harmonic_centrality(g: Graph, normalize: bool = True) -> DataFrame:
-    s = all_hops(g).where("hops > 0").groupBy(F.col("source").alias("id")).agg(F.sum(1 / F.col("hops")).alias("h"))
-    return g.over_nodes(s).select("id", (F.coalesce("h", F.lit(0.0)) / (max(g.n - 1, 1) if normalize else 1)).alias("centrality"))
-
-
-def betweenness_centrality(g: Graph, normalize: bool = True, sources: DataFrame | None = None) -> DataFrame:
-    """Brandes from all (or the given) sources at once: path counts forward by hop, dependencies back."""
-    hops = cut(all_hops(g, sources))
-    e = g.edges.select("src", "dst").distinct()
-    top = hops.agg(F.max("hops")).first()[0] or 0
-    dag = cut(hops.select("source", F.col("id").alias("src"), "hops").join(e, "src").join(hops.select("source", F.col("id").alias("dst"), F.col("hops").alias("h2")), ["source", "dst"]).where("h2 = hops + 1").select("source", "src", "dst", F.col("h2").alias("hop")))
-    sigma = cut(hops.where("hops = 0").select("source", "id", F.lit(1.0).alias("s")))
-    levels = [sigma]
-    for h in range(1, top + 1):
-        nxt = cut(dag.where(F.col("hop") == h).join(levels[-1].select("source", F.col("id").alias("src"), "s"), ["source", "src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("s").alias("s")))
-        levels.append(nxt)
-    delta = levels[top].select("source", "id", "s", F.lit(0.0).alias("d")) if top else sigma.withColumn("d", F.lit(0.0))
-    total = None
-    for h in range(top, 0, -1):
-        back = dag.where(F.col("hop") == h).join(delta.select("source", F.col("id").alias("dst"), F.col("s").alias("sw"), "d"), ["source", "dst"]).join(levels[h - 1].select("source", F.col("id").alias("src"), F.col("s").alias("sv")), ["source", "src"])
-        part = back.groupBy("source", F.col("src").alias("id")).agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("d"))).alias("d"))
-        delta = cut(levels[h - 1].join(part, ["source", "id"], "left").select("source", "id", "s", F.coalesce("d", F.lit(0.0)).alias("d")))
-        mine = delta.where("source <> id").groupBy("id").agg(F.sum("d").alias("c"))
-        total = mine if total is None else total.unionByName(mine)
-    n, share = g.n, 1.0
-    if sources is not None:
-        share = n / max(sources.count(), 1)
-    scale = share / 2 * (2 / ((n - 1) * (n - 2)) if normalize and n > 2 else 1)
-    s = (total if total is not None else sigma.select("id", F.lit(0.0).alias("c"))).groupBy("id").agg(F.sum("c").alias("c"))
-    return g.over_nodes(s).select("id", (F.coalesce("c", F.lit(0.0)) * scale).alias("centrality"))
-
-
 # --- transitions and diffusion -----------------------------------------------
 
 

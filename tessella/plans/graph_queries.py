@@ -12,6 +12,7 @@ from ..operators import neighbors as K
 from ..operators import optimise as O
 from ..operators import randomized as R
 from ..operators import spatial as S
+from ..operators import traversal as T
 from ..operators import velocity as V
 from .base import q
 from .inputs import DIMS, two_sided_sql, with_
@@ -110,11 +111,16 @@ q("largest_component", lambda n: G.largest_component(n.graph), REACH + "SELECT i
 HOP = E.replace("WITH ", "WITH RECURSIVE ", 1) + ", bf AS (SELECT 0 AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM bf JOIN e ON e.src = bf.id WHERE hops < 12), h AS (SELECT id, min(hops) AS hops FROM bf GROUP BY 1) "
 q("bfs", lambda n: G.bfs(n.graph, [0]).select("id", "hops"), HOP + "SELECT nd.id AS id, coalesce(h.hops, -1) AS hops FROM nd LEFT JOIN h ON h.id = nd.id", "", "id hops")
 q("multi_source_bfs", lambda n: G.bfs(n.graph, [0, 1, 2]))
-q("graph_diameter", lambda n: G.graph_diameter(n.graph))
-q("average_path_length", lambda n: G.average_path_length(n.graph))
-q("closeness_centrality", lambda n: G.closeness_centrality(n.graph))
-q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph))
-q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph))
+#: Hops between all nodes, and numbers of shortest paths level by level.
+HP = "WITH RECURSIVE " + with_("nb e")[5:] + ", bf(s, v, h) AS (SELECT id, id, 0 FROM nd UNION SELECT s, dst, h + 1 FROM bf JOIN e ON src = v WHERE h < 24), hp AS (SELECT s, v, min(h) AS h FROM bf GROUP BY 1, 2) "
+SG = HP + ", sg(s, v, h, c) AS (SELECT id, id, 0, 1.0::DOUBLE FROM nd UNION ALL SELECT sg.s, dst, max(sg.h) + 1, sum(c) FROM sg JOIN e ON src = sg.v JOIN hp ON hp.s = sg.s AND hp.v = dst AND hp.h = sg.h + 1 GROUP BY 1, 2), dp AS (SELECT a.s, a.v, a.c * b.c / c.c AS d FROM sg a JOIN sg b ON b.s = a.v AND b.h > 0 JOIN sg c ON c.s = a.s AND c.v = b.v AND c.h = a.h + b.h WHERE a.h > 0) "
+ND = "(SELECT count(*) FROM nd)"
+q("graph_diameter", lambda n: G.graph_diameter(n.graph), HP + "SELECT max(h) AS diameter FROM hp", "", "diameter")
+q("average_path_length", lambda n: G.average_path_length(n.graph), HP + "SELECT avg(h) AS length FROM hp WHERE h > 0", "length")
+q("closeness_centrality", lambda n: T.closeness(n.graph), HP + f"SELECT s AS id, coalesce(power(count(CASE WHEN h > 0 THEN 1 END), 2) / nullif(sum(h), 0) / ({ND} - 1), 0) AS centrality FROM hp GROUP BY 1", "centrality", "id")
+q("harmonic_centrality", lambda n: T.harmonic(n.graph), HP + f"SELECT s AS id, coalesce(sum(CASE WHEN h > 0 THEN 1.0 / h END), 0) / ({ND} - 1) AS centrality FROM hp GROUP BY 1", "centrality", "id")
+q("betweenness_centrality", lambda n: T.betweenness(n.graph), SG + f"SELECT id, coalesce(sum(d), 0) / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
+q("betweenness_centrality_sampled", lambda n: T.betweenness_sampled(n.graph, 50), SG.replace("dp AS", "sa AS (SELECT id AS s FROM nd ORDER BY CAST('0x' || substr(md5(id || '|0'), 1, 13) AS BIGINT), id LIMIT 50), dp AS").replace("WHERE a.h > 0", "WHERE a.h > 0 AND a.s IN (SELECT s FROM sa)") + f"SELECT id, coalesce(sum(d), 0) * {ND} / 50.0 / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
 q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
 WALK = E.replace("WITH ", "WITH RECURSIVE ", 1) + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e) "
