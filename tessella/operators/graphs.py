@@ -493,6 +493,37 @@ def graph_pseudotime(g: Graph, root: int) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.max("x").alias("m")))).select("id", F.coalesce(F.col("x") / F.nullif(F.col("m"), F.lit(0.0)), F.when(F.col("id") == root, 0.0).otherwise(1.0)).alias("t"))
 
 
+def compute_pseudotime(g: Graph, root: int, method: str = "shortest_path", k: int = 4) -> DataFrame:
+    """``id, t`` by ``diffusion`` components, ``shortest_path`` or ``graph_distance`` (the same)."""
+    if method == "diffusion":
+        from .spectral import diffusion_pseudotime
+
+        return diffusion_pseudotime(Graph(row_stochastic(g), g.nodes), root, k)
+    if method not in ("shortest_path", "graph_distance"):
+        raise ValueError("method must be diffusion, shortest_path or graph_distance")
+    return graph_pseudotime(g, root)
+
+
+def scaled_time(t: DataFrame) -> DataFrame:
+    """``id, t`` from 0 to 1; as it is where all are equal."""
+    r = t.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return t.crossJoin(r).select("id", F.when(F.col("hi") - F.col("lo") > 1e-15, (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("t")).alias("t"))  # one row
+
+
+def velocity_weighted_pseudotime(g: Graph, pseudotime: DataFrame, velocity: DataFrame, n_iter: int = 20) -> DataFrame:
+    """``id, t``: times drawn half way to their neighbours' mean, in which neighbours that are not
+    earlier weigh 1 + v and earlier ones 1 / (1 + v) by the node's own velocity (``id, v``)."""
+    e = cut(g.edges.select("src", "dst", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0).alias("w")).join(velocity.select(F.col("id").alias("src"), "v"), "src"))
+
+    def step(s: DataFrame) -> DataFrame:
+        j = e.join(s.select(F.col("id").alias("dst"), F.col("x").alias("y")), "dst").join(s.select(F.col("id").alias("src"), "x"), "src")
+        w = F.col("w") * F.when(F.col("y") < F.col("x"), 1 / (1 + F.col("v"))).otherwise(1 + F.col("v"))
+        m = j.groupBy(F.col("src").alias("id")).agg((F.sum(w * F.col("y")) / F.sum(w)).alias("m"))
+        return s.join(m, "id", "left").select("id", (0.5 * F.col("x") + 0.5 * F.coalesce("m", "x")).alias("x"))
+
+    return scaled_time(iterate(pseudotime.select("id", F.col("t").alias("x")), step, n_iter).withColumnRenamed("x", "t"))
+
+
 def select_root(markers: DataFrame) -> DataFrame:
     return markers.orderBy("value", "id").limit(1).select("id")
 

@@ -173,6 +173,11 @@ def evaluate_kernel(d: Column, h: Column | float, kind: str = "gaussian") -> Col
     return KERNELS.get(kind, KERNELS["gaussian"])(d / F.greatest(h, F.lit(1e-10)))
 
 
+def kernel_normalization(kind: str, dimension: Column) -> Column:
+    """The factor that makes a kernel's integral one: of the Gaussian in its dimensions, of the others on the line."""
+    return {"gaussian": F.pow(F.lit(2 * math.pi), -dimension / 2), "epanechnikov": F.lit(0.75), "uniform": F.lit(0.5)}.get(kind, F.lit(1.0))
+
+
 def kernel_matrix(d: DataFrame, h: float = 1.0, kind: str = "gaussian") -> DataFrame:
     return d.select("row", "nbr", evaluate_kernel(F.col("dist"), h, kind).alias("k"))
 

@@ -236,21 +236,45 @@ def running_sum(ranked: DataFrame, sets: DataFrame, weighted: bool = False) -> D
     return d.select("set_id", "rank", "col", "_in", s.alias("s"))
 
 
+def _peaks(members: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """``keys, es, peak`` of ``keys, rank, h, t``: members' ranks and weights, t their sum, among n ranks.
+
+    Between members the running sum falls evenly, so its extremes lie at members, right before them
+    and at the end: no row for any other rank. The largest magnitude counts (equal to nine digits:
+    the first)."""
+    w = Window.partitionBy(*keys).orderBy("rank")
+    d = members.withColumn("_i", F.row_number().over(w)).withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    d = d.withColumn("_c", F.coalesce(F.sum("h").over(w) / F.nullif(F.col("t"), F.lit(0.0)), F.lit(0.0))).withColumn("_b", F.coalesce((F.sum("h").over(w) - F.col("h")) / F.nullif(F.col("t"), F.lit(0.0)), F.lit(0.0)))
+    fall = lambda ranks: F.coalesce(ranks / F.nullif(n - F.col("_k"), F.lit(0)), F.lit(0.0))
+    here, before = F.col("_c") - fall(F.col("rank") - F.col("_i")), F.col("_b") - fall(F.col("rank") - F.col("_i"))
+    last = F.when(F.col("_i") == F.col("_k"), F.col("_c") - fall(n - F.col("_k")))
+    ends = F.array(F.struct(here.alias("s"), F.col("rank").cast("long").alias("rank")), F.struct(F.when(F.col("rank") > 1, before).alias("s"), (F.col("rank") - 1).cast("long").alias("rank")), F.struct(last.alias("s"), n.cast("long").alias("rank")))
+    e = d.select(*keys, F.explode(ends).alias("e")).where("e.s is not null").select(*keys, "e.s", "e.rank")
+    best = F.max_by(F.struct("s", "rank"), F.struct(F.round(F.abs("s"), 9), -F.col("rank")))
+    return e.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.s").alias("es"), F.col("b.rank").alias("peak"))
+
+
+def _of_sets(ranked: DataFrame, sets: DataFrame, weighted: bool, on: str) -> DataFrame:
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    d = sets.join(ranked, on).withColumn("h", F.abs("score").cast("double") if weighted else F.lit(1.0))
+    d = d.withColumn("t", F.sum("h").over(Window.partitionBy("set_id"))).crossJoin(n)  # one row
+    return _peaks(d.select("set_id", "rank", "h", "t", "n"), ["set_id"], F.col("n"))
+
+
 def enrichment_score(ranked: DataFrame, sets: DataFrame, weighted: bool = True) -> DataFrame:
     """``set_id, es, peak``: the running sum's value of largest magnitude and its rank."""
-    r = running_sum(ranked, sets, weighted)
-    return r.groupBy("set_id").agg(F.max_by(F.struct("s", "rank"), F.struct(F.abs("s"), -F.col("rank"))).alias("b")).select("set_id", F.col("b.s").alias("es"), F.col("b.rank").alias("peak"))
+    return _of_sets(ranked, sets, weighted, "col")
 
 
 def gsea(ranked: DataFrame, sets: DataFrame, n_perm: int = 100, seed: int = 0) -> DataFrame:
-    """``set_id, es, nes, p``: against n_perm relabelings of the ranked columns by seeded hashes."""
+    """``set_id, es, nes, p``: against n_perm drawings of as many ranks, by keyed permutations, so that only
+    members are rows."""
+    from .permute import drawn_places
+
     es = enrichment_score(ranked, sets)
-    perms = ranked.sparkSession.range(n_perm).select(F.col("id").alias("perm"))
-    size = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("m"))
-    keys = size.crossJoin(F.broadcast(perms))
-    pick = ranked.select("col").crossJoin(F.broadcast(keys)).withColumn("_r", F.row_number().over(Window.partitionBy("set_id", "perm").orderBy(F.xxhash64("col", "perm", "set_id", F.lit(seed)))))
-    fake = pick.where(F.col("_r") <= F.col("m")).select((F.col("set_id") * n_perm + F.col("perm")).alias("set_id"), "col")
-    null = enrichment_score(ranked, fake).select(F.floor(F.col("set_id") / n_perm).alias("set_id"), F.col("es").alias("ne"))
+    sizes = sets.join(ranked.select("col"), "col", "left_semi").groupBy("set_id").agg(F.count(F.lit(1)).alias("m"))
+    fake = drawn_places(sizes, ranked.count(), n_perm, seed).select((F.col("set_id") * n_perm + F.col("perm")).alias("set_id"), (F.col("place") + 1).alias("rank"))
+    null = _of_sets(ranked, fake, True, "rank").select(F.floor(F.col("set_id") / n_perm).alias("set_id"), F.col("es").alias("ne"))
     j = es.join(null, "set_id")
     same = F.signum("ne") == F.signum("es")
     g = j.groupBy("set_id", "es").agg(F.sum((F.abs("ne") >= F.abs("es")).cast("int")).alias("x"), F.avg(F.when(same, F.abs("ne"))).alias("m"))
@@ -259,26 +283,20 @@ def gsea(ranked: DataFrame, sets: DataFrame, n_perm: int = 100, seed: int = 0) -
 
 def leading_edge(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     """``set_id, col``: members up to the peak (from it on, for a negative score)."""
-    es = enrichment_score(ranked, sets)
-    r = running_sum(ranked, sets, True).where("_in = 1").join(F.broadcast(es), "set_id")
+    r = sets.join(ranked, "col").join(enrichment_score(ranked, sets), "set_id")
     return r.where("(es >= 0 and rank <= peak) or (es < 0 and rank >= peak)").select("set_id", "col")
 
 
 def ssgsea(a: Matrix, sets: DataFrame, exponent: float = 0.25) -> DataFrame:
-    """``row, set_id, es``: per row, columns ranked by value (zeros last, by id); weights rank^exponent.
-
-    The output is a running sum of every row and set, so this is for matrices of bounded width."""
+    """``row, set_id, es``: per row, columns ranked by value (zeros in their place, ties by id); weights
+    are (n - rank + 1) ** exponent. Every row of the domain is ranked over all columns; of sets, only
+    members are rows."""
     w = Window.partitionBy("row").orderBy(F.desc("v"), "col")
-    full = a.rows.crossJoin(F.broadcast(a.cols)).join(a.entries, ["row", "col"], "left").fillna(0.0, ["v"]).withColumn("rank", F.row_number().over(w))
-    ids = sets.select("set_id").distinct()
-    d = full.crossJoin(F.broadcast(ids)).join(F.broadcast(sets.withColumn("_in", F.lit(1))), ["set_id", "col"], "left")
+    full = a.rows.crossJoin(a.cols).join(a.entries, ["row", "col"], "left").fillna(0.0, ["v"]).withColumn("rank", F.row_number().over(w))
     n = F.lit(float(a.n_cols))
-    weight = F.pow(n - F.col("rank") + 1, F.lit(exponent))
-    every = Window.partitionBy("row", "set_id")
-    d = d.withColumn("_h", F.when(F.col("_in") == 1, weight).otherwise(0.0)).withColumn("_t", F.sum("_h").over(every)).withColumn("_m", F.count("_in").over(every))
-    step = F.when(F.col("_in") == 1, F.col("_h") / F.col("_t")).otherwise(-1 / F.nullif(n - F.col("_m"), F.lit(0.0)))
-    s = d.withColumn("s", F.sum(step).over(every.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("row", "set_id").agg(F.max_by("s", F.struct(F.abs("s"), -F.col("rank"))).alias("es"))
+    d = full.join(sets.select("set_id", "col"), "col").withColumn("h", F.pow(n - F.col("rank") + 1, F.lit(exponent)))
+    d = d.withColumn("t", F.sum("h").over(Window.partitionBy("row", "set_id")))
+    return _peaks(d.select("row", "set_id", "rank", "h", "t"), ["row", "set_id"], n).select("row", "set_id", "es")
 
 
 def gsva(a: Matrix, sets: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ q("closeness_centrality", lambda n: T.closeness(n.graph), HP + f"SELECT s AS id,
 q("harmonic_centrality", lambda n: T.harmonic(n.graph), HP + f"SELECT s AS id, coalesce(sum(CASE WHEN h > 0 THEN 1.0 / h END), 0) / ({ND} - 1) AS centrality FROM hp GROUP BY 1", "centrality", "id")
 q("betweenness_centrality", lambda n: T.betweenness(n.graph), SG + f"SELECT id, coalesce(sum(d), 0) / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
 q("betweenness_centrality_sampled", lambda n: T.betweenness_sampled(n.graph, 50), SG.replace("dp AS", "sa AS (SELECT id AS s FROM nd ORDER BY CAST('0x' || substr(md5(id || '|0'), 1, 13) AS BIGINT), id LIMIT 50), dp AS").replace("WHERE a.h > 0", "WHERE a.h > 0 AND a.s IN (SELECT s FROM sa)") + f"SELECT id, coalesce(sum(d), 0) * {ND} / 50.0 / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
-q("topological_sort", lambda n: G.topological_sort(Graph(n.spark.range(1, 60).select(F.floor(F.col("id") / 2).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")).where("src > 0"), n.spark.range(1, 60))), "SELECT range AS id, floor(log2(range)) AS level FROM range(1, 60)", "", "id level")
+q("topological_sort", lambda n: G.topological_sort(Graph(n.tree.where("parent >= 0").select(F.col("parent").alias("src"), F.col("clone").alias("dst"), F.lit(1.0).alias("w")), n.tree.select(F.col("clone").alias("id")))), with_("tree") + "SELECT clone AS id, CASE WHEN parent < 0 THEN 0 WHEN clone < 1000000 THEN 1 ELSE 2 END AS level FROM tree", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
 WALK = E.replace("WITH ", "WITH RECURSIVE ", 1) + ", t AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e) "
 #: A loop of n steps over ``it, id, x``: a node's next value is made of its own row and the walk's neighbours.
@@ -164,8 +164,29 @@ q("label_spreading", lambda n: G.hard_labels(G.label_spreading(n.graph, _seed(n)
 q("confidence_propagation", lambda n: G.confidence_propagation(n.graph, _seed(n).withColumn("confidence", F.lit(1.0)), max_iter=20).select("id", "label"))
 q("init_soft_labels", lambda n: G.soft_labels(_seed(n), 10, 0.9), with_("ty") + "SELECT id, k AS label, CASE WHEN id % 7 <> 0 THEN 0.1 WHEN type = k THEN 0.9 ELSE 0.1 / 9 END AS x FROM ty CROSS JOIN (SELECT unnest(range(0, 10)) AS k)", "x", "id label")
 q("inductive_transfer", lambda n: G.inductive_transfer(n.nbrs.where("row % 2 = 1 and nbr % 2 = 0").select(F.col("row").alias("query"), F.col("nbr").alias("ref"), F.lit(1.0).alias("w")), _batches(n), n.vectors.where("id % 2 = 1").select("id"), 0.6), NB + ", v AS (SELECT i AS id, k % 3 AS label, count(*) AS w FROM nb WHERE i % 2 = 1 AND k % 2 = 0 GROUP BY 1, 2), b AS (SELECT id, label, w / sum(w) OVER (PARTITION BY id) AS c FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) SELECT vec.id AS id, CASE WHEN c >= 0.6 THEN b.label ELSE -1 END AS label FROM vec LEFT JOIN b ON b.id = vec.id WHERE vec.id % 2 = 1", "", "id label")
-q("dijkstra", lambda n: G.shortest_paths(n.graph, [0, 1]))
-q("graph_pseudotime", lambda n: G.graph_pseudotime(n.graph, 0))
+def _relaxed(e: str, roots: str, rounds: int = 40) -> str:
+    """Least distances from the roots by rounds of relaxation, in ``sp``."""
+    first = f"sp0 AS MATERIALIZED (SELECT id AS s, id, 0.0::DOUBLE AS x FROM nd WHERE id IN ({roots}))"
+    each = [f"sp{k} AS MATERIALIZED (SELECT s, id, min(x) AS x FROM (SELECT s, id, x FROM sp{k - 1} UNION ALL SELECT s, dst, x + {e} FROM sp{k - 1} JOIN e ON src = id WHERE w > 0) GROUP BY 1, 2)" for k in range(1, rounds + 1)]
+    return ", ".join(["", first, *each, f"sp AS (SELECT * FROM sp{rounds})"])
+
+
+TIME = ", pt AS (SELECT nd.id AS id, coalesce(x / nullif((SELECT max(x) FROM sp), 0), CASE WHEN nd.id = 0 THEN 0 ELSE 1 END) AS t FROM nd LEFT JOIN sp ON sp.id = nd.id) "
+
+
+def _smoothed(weight: str, rounds: int) -> str:
+    """Times of ``pt`` drawn half way to their neighbours' weighted means, scaled to 0 .. 1, in ``ft``."""
+    each = [f"t{k} AS MATERIALIZED (SELECT a.id AS id, max(a.t) / 2 + coalesce(sum({weight} * b.t) / sum({weight}), max(a.t)) / 2 AS t FROM t{k - 1} a LEFT JOIN e ON src = a.id LEFT JOIN t{k - 1} b ON b.id = dst LEFT JOIN vm ON vm.id = a.id GROUP BY a.id)" for k in range(1, rounds + 1)]
+    return ", ".join(["", "t0 AS MATERIALIZED (SELECT * FROM pt)", *each, f"ft AS (SELECT id, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER ()) AS t FROM t{rounds}) "])
+
+
+VM = ", vm AS (SELECT vec_id AS id, abs(CAST(embedding[3] AS DOUBLE)) AS v FROM embeddings)"
+_speed = lambda n: n.values.select("id", F.abs("value").alias("v"))
+q("dijkstra", lambda n: G.shortest_paths(n.graph, [0, 1]), E + _relaxed("w", "0, 1") + " SELECT s.s AS source, nd.id AS id, coalesce(x, 1e30) AS x FROM (SELECT DISTINCT s FROM sp) s CROSS JOIN nd LEFT JOIN sp ON sp.s = s.s AND sp.id = nd.id", "x", "source id")
+q("graph_pseudotime", lambda n: G.graph_pseudotime(n.graph, 0), E + _relaxed("w", "0") + TIME + "SELECT * FROM pt", "t", "id")
+q("compute_pseudotime", lambda n: G.compute_pseudotime(n.graph, 0, "graph_distance"), E + _relaxed("w", "0") + TIME + "SELECT * FROM pt", "t", "id")
+q("velocity_weighted_pseudotime", lambda n: G.velocity_weighted_pseudotime(n.graph, G.graph_pseudotime(n.graph, 0), _speed(n)), E + VM + _relaxed("w", "0") + TIME + _smoothed("(w * CASE WHEN b.t < a.t THEN 1 / (1 + v) ELSE 1 + v END)", 20) + "SELECT * FROM ft", "t", "id")
+q("kernel_normalization", lambda n: n.long_vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", *(K.kernel_normalization(k, F.col("dim") + 1).alias(k) for k in ("gaussian", "epanechnikov", "uniform", "triangular"))), with_("lv") + "SELECT dim, power(2 * pi(), -(dim + 1) / 2) AS gaussian, 0.75 AS epanechnikov, 0.5 AS uniform, 1.0 AS triangular FROM lv GROUP BY 1", "gaussian epanechnikov uniform triangular", "dim")
 q("select_root_cell", lambda n: G.select_root(n.values), with_("val") + "SELECT id FROM val ORDER BY value, id LIMIT 1", "", "id")
 q("select_root_peripheral", lambda n: G.select_root_peripheral(n.graph), E + "SELECT src AS id FROM e GROUP BY 1 ORDER BY avg(w) DESC, src LIMIT 1", "", "id")
 q("detect_branch_points", lambda n: G.branch_points(n.graph, _pt(n), 0.05), EV + ", s AS (SELECT src, count(*) AS d, sum(CASE WHEN b.value < a.value - 0.05 THEN 1 ELSE 0 END) AS x, sum(CASE WHEN b.value > a.value + 0.05 THEN 1 ELSE 0 END) AS y FROM e JOIN val a ON a.id = src JOIN val b ON b.id = dst GROUP BY 1) SELECT src AS id FROM s WHERE d >= 3 AND ((x >= 1 AND y >= 2) OR (x >= 2 AND y >= 1))", "", "id")
@@ -262,7 +283,8 @@ q("velocity_embedding", lambda n: V.velocity_embedding(n.long_vectors.withColumn
 q("velocity_grid", lambda n: V.velocity_grid(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), 6), with_("pts val") + ", c AS (SELECT least(5, floor((x - min(x) OVER ()) / ((max(x) OVER () - min(x) OVER ()) / 6))) AS gx, least(5, floor((y - min(y) OVER ()) / ((max(y) OVER () - min(y) OVER ()) / 6))) AS gy, value FROM pts JOIN val USING (id)) SELECT gx, gy, avg(value) AS vx, avg(-value) AS vy, count(*) AS n FROM c GROUP BY 1, 2", "vx vy", "gx gy n")
 q("velocity_divergence", lambda n: V.velocity_divergence(n.points, n.values.select("id", F.col("value").alias("vx"), (-F.col("value")).alias("vy")), n.nbrs), with_("nb pts val") + 'SELECT nb.i AS "row", coalesce(avg(((y.value - x.value) * (b.x - a.x) - (y.value - x.value) * (b.y - a.y)) / nullif(power(b.x - a.x, 2) + power(b.y - a.y, 2), 0)), 0) AS divergence FROM nb JOIN pts a ON a.id = nb.i JOIN pts b ON b.id = nb.k JOIN val x ON x.id = nb.i JOIN val y ON y.id = nb.k GROUP BY 1', "divergence", "row", digits=5)
 q("select_root_by_velocity", lambda n: V.select_root_by_velocity(n.graph), E + "SELECT id FROM nd LEFT JOIN e ON dst = id GROUP BY id ORDER BY coalesce(sum(w), 0), id LIMIT 1", "", "id")
-q("latent_time", lambda n: V.latent_time(n.graph, 0))
+q("latent_time", lambda n: V.latent_time(n.graph, 0), E + _relaxed("greatest(-ln(w), 1e-12)", "0") + TIME + "SELECT * FROM pt", "t", "id")
+q("velocity_pseudotime", lambda n: V.velocity_pseudotime(n.graph, 0), E + ", vm AS (SELECT id, 0.0::DOUBLE AS v FROM nd)" + _relaxed("greatest(-ln(w), 1e-12)", "0") + TIME + _smoothed("w", 10) + "SELECT * FROM ft", "t", "id")
 q("predict_future_state", lambda n: V.predict_future(Graph(G.row_stochastic(n.graph), n.graph.nodes), 2))
 q("velocity_terminals", lambda n: V.velocity_terminals(n.graph, n.values.select("id", F.abs("value").alias("value")), 0.3, 3.0))
 # --- communities, randomised, optimisation -----------------------------------

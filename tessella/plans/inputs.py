@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..loops import cut
 from ..model import Graph, Matrix
 from ..operators.neighbors import dense_knn
+from ..operators.testing import ordered
 
 
 #: Dimensions of the table of embeddings.
@@ -124,6 +125,21 @@ class Inputs:
         e = self.vectors.select(F.col("id").alias("row"), F.posexplode("x").alias("col", "v")).where("v > 0")
         return Matrix(e.select("row", F.col("col").cast("long").alias("col"), "v"), self.table("embeddings").select(F.col("vec_id").alias("row")), self.spark.range(DIMS).select(F.col("id").alias("col")))
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """``clone, parent``: regions (parent -1), their nations (from 1,000 on) and suppliers (from 1,000,000 on)."""
+        r = self.table("region").select(F.col("r_regionkey").cast("long").alias("clone"), F.lit(-1).cast("long").alias("parent"))
+        n = self.table("nation").select((F.col("n_nationkey") + 1000).cast("long").alias("clone"), F.col("n_regionkey").cast("long").alias("parent"))
+        s = self.table("supplier").select((F.col("s_suppkey") + 1_000_000).cast("long").alias("clone"), (F.col("s_nationkey") + 1000).cast("long").alias("parent"))
+        return r.unionByName(n).unionByName(s)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """``i, p``: the place of every customer by key and by balance."""
+        c = self.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("b"))
+        by_key, by_balance = ordered(c.withColumn("p", F.col("id"))).select("id", (F.col("rank") - 1).alias("i")), ordered(c, "b").select("id", (F.col("rank") - 1).alias("p"))
+        return by_key.join(by_balance, "id").select("i", "p")
+
     @cached_property
     def long_vectors(self) -> DataFrame:
         """``id, dim, x``."""
@@ -131,6 +147,7 @@ class Inputs:
 
 
 CTE = {
+    "tree": "tree AS (SELECT r_regionkey AS clone, -1 AS parent FROM region UNION ALL SELECT n_nationkey + 1000, n_regionkey FROM nation UNION ALL SELECT s_suppkey + 1000000, s_nationkey + 1000 FROM supplier)",
     "m": "m AS (SELECT o_custkey AS i, l_suppkey AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)",
     "m2": "m2 AS (SELECT o_custkey AS i, l_suppkey AS j, CAST(sum(l_extendedprice / 1000) AS DOUBLE) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)",
     "ri": "ri AS (SELECT c_custkey AS i FROM customer), nr AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM customer)",

@@ -71,7 +71,7 @@ q("filter_secondary", lambda n: M.filter_cols(n.m, _sub(n)), W + 'SELECT i AS "r
 q("inspect_slice", lambda n: M.kept_entries(n.m, n.m.rows.where("row % 50 = 3"), _sub(n)), W + "SELECT count(*) AS n FROM m WHERE i % 50 = 3 AND j % 10 = 0", "", "n")
 q("align_secondary", lambda n: M.align_cols(n.m, n.m.cols.select("col", (F.col("col") * 3 - 30).alias("new")), 100), W + 'SELECT i AS "row", j * 3 - 30 AS col, v FROM m WHERE j * 3 - 30 >= 0 AND j * 3 - 30 < 100', "v", "row col")
 q("primary_nnz", lambda n: M.row_lengths(n.m), W + 'SELECT i AS "row", count(v) AS length FROM ri LEFT JOIN m USING (i) GROUP BY i', "", "row length")
-q("inverse_permutation", lambda n: M.inverse_permutation(n.spark.range(1000).select(F.col("id").alias("i"), (F.col("id") * 7 % 1000).alias("p"))), "SELECT (range * 7) % 1000 AS i, range AS inv FROM range(1000)", "", "i inv")
+q("inverse_permutation", lambda n: M.inverse_permutation(n.places), "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, row_number() OVER (ORDER BY c_custkey) - 1 AS inv FROM customer", "", "i inv")
 q("eliminate_zeros", lambda n: M.eliminate_zeros(M.scale_rows(n.m, _s(n))), W + 'SELECT i AS "row", j AS col, v * (i % 4) AS v FROM m WHERE i % 4 <> 0 AND v <> 0', "v", "row col")
 q("prune", lambda n: M.prune(n.m, 30.0), W + 'SELECT i AS "row", j AS col, v FROM m WHERE abs(v) > 30', "v", "row col")
 q("prune_keep", lambda n: M.prune(n.m, 30.0, True), W + 'SELECT i AS "row", j AS col, CASE WHEN abs(v) < 30 THEN 0 ELSE v END AS v FROM m', "v", "row col")
@@ -80,7 +80,7 @@ q("density", lambda n: M.density(n.m), with_("m ri cj") + "SELECT count(*) AS nn
 q("csr_round_trip", lambda n: M.from_csr(M.to_csr(n.m)), W + 'SELECT i AS "row", j AS col, v FROM m', "v", "row col")
 q("indptr", lambda n: M.indptr(n.ev), with_("ev") + 'SELECT i AS "row", coalesce(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT i, count(*) AS c FROM m GROUP BY i)', "", "row start")
 q("dense_round_trip", lambda n: M.from_dense(M.to_dense(n.ev)), with_("ev") + 'SELECT i AS "row", j AS col, v FROM m WHERE v <> 0', "v", "row col")
-q("identity", lambda n: M.identity(n.spark, 50), 'SELECT range AS "row", range AS col, 1.0 AS v FROM range(50)', "v", "row col")
+q("identity", lambda n: M.identity(n.spark, n.m.n_cols), 'SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS "row", row_number() OVER (ORDER BY s_suppkey) - 1 AS col, 1.0 AS v FROM supplier', "v", "row col")
 q("at", lambda n: M.at(n.ev, 5, 2), with_("ev") + "SELECT coalesce(max(v), 0) AS v FROM m WHERE i = 5 AND j = 2", "v")
 PR = "SELECT a.j AS {a}, b.j AS other, CASE WHEN a.ss > 1e-9 AND b.ss > 1e-9 THEN (coalesce(xy, 0) / a.n - a.mean * b.mean) / sqrt(a.ss / a.n * b.ss / b.n) ELSE 0 END AS r FROM ({mom}) a JOIN ({mom}) b ON a.j < b.j LEFT JOIN (SELECT p.j AS pj, q.j AS qj, sum(p.v * q.v) AS xy FROM m p JOIN m q ON p.i = q.i AND p.j < q.j GROUP BY 1, 2) ON pj = a.j AND qj = b.j"
 q("pearson", lambda n: M.pearson(n.m.T).withColumnRenamed("row", "a"), W + PR.format(a="a", mom=MOM), "r", "a other")

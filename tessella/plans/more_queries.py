@@ -85,8 +85,10 @@ _r = lambda n, keep: n.m.cols.crossJoin(n.spark.range(4).select(F.col("id").alia
 for _n, _w in (("project_with_dense_matrix", "true"), ("project_with_sparse_matrix", "(col + k) % 3 = 0")):
     q(_n, lambda n, w=_w: R.project_with(n.m, _r(n, w)), with_("m") + f"SELECT i AS \"row\", k, sum(v * sin(j + 1.0) * (k + 1)) AS y FROM m CROSS JOIN (SELECT unnest(range(0, 4)) AS k) WHERE {_w.replace('col', 'j')} GROUP BY 1, 2", "y", "row k")
 q("project_auto", lambda n: R.project_auto(n.m, 16))
-q("compute_jl_dimension", lambda n: n.spark.createDataFrame([(R.jl_dimension(x, 0.2),) for x in (100, 10_000)], "k long"), "SELECT CAST(ceil(4 * ln(n) / (0.2 * 0.2 / 2 - power(0.2, 3) / 3)) AS BIGINT) AS k FROM (VALUES (100.0::DOUBLE), (10000.0::DOUBLE)) t(n)")
-q("recommend_projection", lambda n: n.spark.createDataFrame([(k, R.recommend_projection(1000, k)) for k in (16, 100, 600)], "k long, kind string"), "SELECT CAST(k AS BIGINT) AS k, kind FROM (VALUES (16, 'countsketch'), (100, 'sparse'), (600, 'achlioptas')) t(k, kind)")
+_counted = lambda n: [n.table(t).count() for t in ("customer", "supplier", "part", "orders")]
+TN = " FROM (SELECT count(*) AS n FROM customer UNION ALL SELECT count(*) FROM supplier UNION ALL SELECT count(*) FROM part UNION ALL SELECT count(*) FROM orders)"
+q("compute_jl_dimension", lambda n: n.spark.createDataFrame([(x, R.jl_dimension(x, 0.2)) for x in _counted(n)], "n long, k long"), "SELECT n, CAST(ceil(4 * ln(CAST(n AS DOUBLE)) / (0.2 * 0.2 / 2 - power(0.2, 3) / 3)) AS BIGINT) AS k" + TN)
+q("recommend_projection", lambda n: n.spark.createDataFrame([(x, k, R.recommend_projection(x, k)) for x in _counted(n) for k in (16, 100, 600)], "n long, k long, kind string"), "SELECT n, CAST(k AS BIGINT) AS k, CASE WHEN k <= 64 THEN 'countsketch' WHEN n > 100000 OR k < 512 THEN 'sparse' ELSE 'achlioptas' END AS kind FROM (SELECT n" + TN + ") CROSS JOIN (VALUES (16), (100), (600)) t(k)")
 q("downsample_variable", lambda n: R.downsample(n.m, n.m.rows.select("row", (F.col("row") % 5 * 40.0 + 50).alias("target"))))
 # --- spectra -----------------------------------------------------------------
 _walk = lambda n: Graph(G.row_stochastic(n.graph), n.graph.nodes)

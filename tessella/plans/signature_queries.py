@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import permute as U
 from ..operators import robust as B
 from ..operators import signatures as S
 from .base import q
@@ -44,11 +45,13 @@ q("odds_ratio", lambda n: _table2(n).select("id", S.odds_ratio(*(F.col(c) for c
 for _n in ("fisher_exact_test", "hypergeometric_test"):
     q(_n, lambda n: _table2(n).select("id", S.fisher_greater(*(F.col(c) for c in "abcd")).alias("p")), ABCD + f"SELECT id, (SELECT sum(exp({LC('(a + c)', 'i')} + {LC('(b + d)', '(a + b - i)')} - {LC('(a + b + c + d)', '(a + b)')})) FROM (SELECT unnest(range(a, least(a + b, a + c) + 1)) AS i) WHERE a + b - i <= b + d) AS p FROM x", "p", "id")
 def _ssgsea_sql(exponent: float) -> str:
-    return with_("ev") + f", f AS (SELECT ri.i, cj.j, row_number() OVER (PARTITION BY ri.i ORDER BY coalesce(v, 0) DESC, cj.j) AS r FROM ri CROSS JOIN cj LEFT JOIN m ON m.i = ri.i AND m.j = cj.j), h AS (SELECT i, r, j < 2 AS h, power((SELECT n FROM nc) - r + 1, {exponent}) AS w FROM f), s AS (SELECT i, r, sum(CASE WHEN h THEN w / t ELSE -1 / ((SELECT n FROM nc) - 2) END) OVER (PARTITION BY i ORDER BY r) AS s FROM (SELECT *, sum(CASE WHEN h THEN w ELSE 0 END) OVER (PARTITION BY i) AS t FROM h)) SELECT i AS \"row\", 1 AS set_id, s AS es FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(abs(s), 9) DESC, r) = 1"
+    return with_("m ri cj sets") + f", f AS (SELECT ri.i AS i, cj.j AS j, row_number() OVER (PARTITION BY ri.i ORDER BY coalesce(v, 0) DESC, cj.j) AS r FROM ri CROSS JOIN cj LEFT JOIN m ON m.i = ri.i AND m.j = cj.j), h AS (SELECT f.i, f.j, r, s.set_id, EXISTS (SELECT 1 FROM sets x WHERE x.set_id = s.set_id AND x.j = f.j) AS h, power((SELECT count(*) FROM cj) - r + 1, {exponent}) AS w FROM f CROSS JOIN (SELECT DISTINCT set_id FROM sets) s), s AS (SELECT i, set_id, r, sum(CASE WHEN h THEN w / t ELSE -1.0::DOUBLE / ((SELECT count(*) FROM cj) - c) END) OVER (PARTITION BY i, set_id ORDER BY r) AS s FROM (SELECT *, sum(CASE WHEN h THEN w ELSE 0 END) OVER (PARTITION BY i, set_id) AS t, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY i, set_id) AS c FROM h)) SELECT i AS \"row\", set_id, s AS es FROM s QUALIFY row_number() OVER (PARTITION BY i, set_id ORDER BY round(abs(s), 9) DESC, r) = 1"
 
 
-q("ssgsea", lambda n: S.ssgsea(n.ev, n.ev.cols.where("col < 2").select(F.lit(1).alias("set_id"), "col")), _ssgsea_sql(0.25), "es", "row set_id")
-q("gsva_score", lambda n: S.gsva(n.ev, n.ev.cols.where("col < 2").select(F.lit(1).alias("set_id"), "col")), _ssgsea_sql(0.0), "es", "row set_id")
+q("ssgsea", lambda n: S.ssgsea(n.m, n.sets), _ssgsea_sql(0.25), "es", "row set_id")
+q("gsva_score", lambda n: S.gsva(n.m, n.sets), _ssgsea_sql(0.0), "es", "row set_id")
+for _k, _f in (("median", U.median_difference), ("ks", U.ks_statistic)):
+    q(f"permutation_test_{_k}", lambda n, f=_f: U.permutation_test(n.ev, n.ev.rows.select("row", (F.col("row") % 2).alias("grp")), f, 50))
 _sets2 = lambda n: n.sets.unionByName(n.sets.select(F.col("set_id") + 100, F.col("col")).toDF("set_id", "col").where("col % 2 = 0"))
 q("enrichment_map", lambda n: S.set_overlap(_sets2(n)), with_("sets") + ", s AS (SELECT set_id, j FROM sets UNION ALL SELECT set_id + 100, j FROM sets WHERE j % 2 = 0), k AS (SELECT set_id, count(*) AS n FROM s GROUP BY 1) SELECT x.set_id AS a, y.set_id AS b, count(*) AS overlap, count(*) / (max(p.n) + max(q.n) - count(*)) AS jaccard FROM s x JOIN s y ON x.j = y.j AND x.set_id < y.set_id JOIN k p ON p.set_id = x.set_id JOIN k q ON q.set_id = y.set_id GROUP BY 1, 2", "jaccard", "a b overlap")
 q("find_unique_markers", lambda n: S.unique_members(_sets2(n), 3), with_("sets") + "SELECT j AS col FROM sets WHERE set_id = 3 AND j % 2 = 1", "", "col")

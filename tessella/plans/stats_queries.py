@@ -131,9 +131,8 @@ q("fate_bias_per_type", lambda n: P.fate_bias_per_type(n.clones), with_("clo") +
 q("lineage_commitment", lambda n: P.lineage_commitment(n.clones), FP + ", b AS (SELECT clone, 1 + sum(p * ln(p)) / ln(5) AS bias FROM t GROUP BY 1) SELECT id, coalesce(bias, 0) AS commitment FROM clo LEFT JOIN b USING (clone)", "commitment", "id")
 q("lineage_sharing", lambda n: P.lineage_sharing(n.clones.where("id % 5 = 0")), with_("clo") + ", s AS (SELECT DISTINCT clone, cluster AS t FROM clo WHERE clone >= 0 AND id % 5 = 0) SELECT x.t AS a, y.t AS b, count(*) / ((SELECT count(*) FROM s WHERE s.t = x.t) + (SELECT count(*) FROM s WHERE s.t = y.t) - count(*)) AS jaccard FROM s x JOIN s y ON x.clone = y.clone AND x.t < y.t GROUP BY 1, 2", "jaccard", "a b")
 q("build_lineage_tree", lambda n: P.lineage_tree(n.clones), CL + ", mt AS (SELECT clone, avg(t) AS t FROM clo WHERE clone >= 0 GROUP BY 1) SELECT clone, coalesce((SELECT b.clone FROM mt b WHERE b.t < a.t ORDER BY b.t DESC, b.clone LIMIT 1), -1) AS parent FROM mt a", "", "clone parent")
-_tree = lambda n: n.spark.range(1, 60).select(F.col("id").alias("clone"), F.when(F.col("id") == 1, -1).otherwise(F.floor(F.col("id") / 2)).alias("parent"))
-q("clone_generation", lambda n: P.clone_generation(_tree(n)), "SELECT range AS clone, floor(log2(range)) AS generation FROM range(1, 60)", "", "clone generation")
-q("lineage_distance", lambda n: P.lineage_distance(_tree(n)), "WITH RECURSIVE up AS (SELECT range AS clone, range AS anc, 0 AS d FROM range(1, 60) UNION ALL SELECT clone, anc // 2, d + 1 FROM up WHERE anc > 1) SELECT x.clone AS a, y.clone AS b, min(x.d + y.d) AS distance FROM up x JOIN up y ON x.anc = y.anc AND x.clone < y.clone GROUP BY 1, 2", "", "a b distance")
+q("clone_generation", lambda n: P.clone_generation(n.tree), with_("tree") + "SELECT clone, CASE WHEN parent < 0 THEN 0 WHEN clone < 1000000 THEN 1 ELSE 2 END AS generation FROM tree", "", "clone generation")
+q("lineage_distance", lambda n: P.lineage_distance(n.tree), "WITH RECURSIVE " + with_("tree")[5:] + ", up AS (SELECT clone, clone AS anc, 0 AS d FROM tree UNION ALL SELECT up.clone, parent, d + 1 FROM up JOIN tree ON tree.clone = anc WHERE parent >= 0) SELECT x.clone AS a, y.clone AS b, min(x.d + y.d) AS distance FROM up x JOIN up y ON x.anc = y.anc AND x.clone < y.clone GROUP BY 1, 2", "", "a b distance")
 q("barcode_clone_assignment", lambda n: P.barcode_clones(n.clones.select("id", (F.col("id") * 31 % 97).alias("barcode"))), with_("clo") + "SELECT id, dense_rank() OVER (ORDER BY id * 31 % 97) - 1 AS clone FROM clo", "", "id clone")
 q("progenitor_score", lambda n: P.progenitor_score(n.clones.withColumn("t", F.col("t") / 1000)), with_("clo") + "SELECT id, CASE WHEN clone >= 0 AND count(*) OVER (PARTITION BY clone) > 1 THEN exp(-(t / 1000 - min(t / 1000) OVER (PARTITION BY clone))) ELSE 0 END AS score FROM clo", "score", "id")
 q("lineage_transition_probability", lambda n: P.lineage_transitions(n.clones), with_("clo") + ", s AS (SELECT cluster AS src, lead(cluster) OVER (PARTITION BY clone ORDER BY t, id) AS dst FROM clo WHERE clone >= 0) SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS p FROM s WHERE dst IS NOT NULL GROUP BY 1, 2", "p", "src dst")
