@@ -272,7 +272,7 @@ KIN = with_("m m2 ri cj") + ", k AS (SELECT cj.j AS j, coalesce(sum(m.v), 0) / m
 q("fit_gene_kinetics", lambda n: V.fit_kinetics(n.m, n.m2), KIN + "SELECT j AS col, gamma, r2 FROM kf", "gamma r2", "col")
 q("compute_velocity", lambda n: V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), KIN + 'SELECT m.i AS "row", m.j AS col, m2.v - gamma * m.v AS v FROM m JOIN m2 ON m2.i = m.i AND m2.j = m.j JOIN kf ON kf.j = m.j', "v", "row col", digits=5)
 q("splice_ratio", lambda n: V.splice_ratio(n.m, n.m2), with_("m m2") + 'SELECT m.i AS "row", m.j AS col, m2.v / (m.v + 1e-10) AS ratio FROM m2 JOIN m ON m.i = m2.i AND m.j = m2.j', "ratio", "row col")
-q("select_velocity_genes", lambda n: V.select_velocity_genes(V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), V.fit_kinetics(n.m, n.m2), n.m.n_rows, 0.8), KIN + "SELECT j AS col FROM kf WHERE r2 >= 0.8", "", "col")
+q("select_velocity_genes", lambda n: V.select_velocity_genes(V.compute_velocity(n.m, n.m2, V.fit_kinetics(n.m, n.m2)), V.fit_kinetics(n.m, n.m2), n.m.n_rows, 0.6), KIN + "SELECT j AS col FROM kf WHERE r2 >= 0.6", "", "col")
 _vel = lambda n: n.expr.entries.select("row", "col", (F.col("v") - 0.1).alias("v"))
 VL = NB + ", vl AS (SELECT vec_id AS i, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN v > 0 THEN v - 0.1 ELSE 0 END) AS v, list_transform(CAST(embedding AS DOUBLE[]), lambda v: greatest(v, 0)) AS x FROM embeddings), vc AS (SELECT nb.i AS i, nb.k AS k, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 0), 0) AS c, greatest(0, coalesce((list_dot_product(a.v, b.x) - list_dot_product(a.v, a.x)) / nullif(sqrt(list_dot_product(a.v, a.v)) * list_distance(a.x, b.x), 0), 0)) AS g FROM nb JOIN vl a ON a.i = nb.i JOIN vl b ON b.i = nb.k) "
 q("velocity_graph", lambda n: V.velocity_graph(_vel(n), n.expr.entries, n.nbrs), VL + "SELECT i AS src, k AS dst, exp(g) / sum(exp(g)) OVER (PARTITION BY i) AS w FROM vc", "w", "src dst", digits=5)

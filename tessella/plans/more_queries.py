@@ -19,6 +19,7 @@ from ..operators import signatures as A
 from ..operators import spatial as S
 from ..operators import spectral as E
 from ..operators import stats as T
+from ..operators import subclusters as B
 from ..operators import velocity as V
 from .base import q
 from .inputs import CTE, erfc_sql, sf_sql, two_sided_sql, with_
@@ -118,6 +119,7 @@ GKS = with_("pts xp") + ", w AS (SELECT a.id AS s, b.id AS t, exp(-(power(a.x -
 q("spatial_autocorrelation", lambda n: S.spatial_autocorrelation(n.points, n.expr, 0.1), GKS, "i c", "col", digits=5)
 q("spatial_variability", lambda n: S.spatial_autocorrelation(n.points, n.expr, 0.1).select("col", "i"), f"SELECT col, i FROM ({GKS})", "i", "col", digits=5)
 q("tissue_module", lambda n: C.spatial_domains(n.points, S.most_variable(n.long_vectors, 20), 3))
+q("find_optimal_subclusters", lambda n: B.find_optimal_subclusters(n.vectors.select("id", "x"), 6))
 q("subclustering", lambda n: C.subcluster(n.long_vectors, n.vectors.select("id", "label"), 1, 2))
 # --- regression --------------------------------------------------------------
 _rhs = lambda n: n.ev.rows.select("row", (F.col("row") % 7).cast("double").alias("y"))

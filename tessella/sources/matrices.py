@@ -1,8 +1,8 @@
-"""Matrices from and to files: entry tables, row arrays, and HDF5 where h5py is present."""
+"""Matrices from and to files: entry tables and row arrays (HDF5: see ``hdf5``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Matrix
@@ -10,16 +10,27 @@ from ..operators.matrix import from_csr, to_csr
 
 
 def write_entries(a: Matrix, path: str, row_block: int = 1 << 20) -> None:
-    """Entries as Parquet in folders of row blocks, so that row ranges prune files."""
+    """Entries as Parquet in folders of row blocks, sorted by column inside: a range of rows prunes folders, a range of columns row groups and pages."""
     e = a.entries.withColumn("block", F.floor(F.col("row") / row_block).cast("long"))
-    e.repartition("block").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("block").parquet(f"{path}/entries")
+    e.repartition("block").sortWithinPartitions("block", "col", "row").write.mode("overwrite").partitionBy("block").parquet(f"{path}/entries")
     a.rows.write.mode("overwrite").parquet(f"{path}/rows")
     a.cols.write.mode("overwrite").parquet(f"{path}/cols")
+    a.entries.sparkSession.range(1).select(F.lit(row_block).cast("long").alias("row_block")).write.mode("overwrite").parquet(f"{path}/size")
 
 
-def read_entries(spark: SparkSession, path: str) -> Matrix:
-    e = spark.read.parquet(f"{path}/entries").select("row", "col", "v")
-    return Matrix(e, spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/cols"))
+def read_entries(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> Matrix:
+    """The matrix, or its part in half-open ranges of ids: of ``rows`` only the folders that hold some
+    are listed, of ``cols`` only the row groups and pages whose statistics reach into the range are read."""
+    e, r, c = spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/cols")
+    if rows is not None:
+        size = spark.read.parquet(f"{path}/size").first()["row_block"]
+        inside = (F.col("row") >= rows[0]) & (F.col("row") < rows[1])
+        e = e.where((F.col("block") >= rows[0] // size) & (F.col("block") <= (rows[1] - 1) // size) & inside)
+        r = r.where(inside)
+    if cols is not None:
+        inside = (F.col("col") >= cols[0]) & (F.col("col") < cols[1])
+        e, c = e.where(inside), c.where(inside)
+    return Matrix(e.select("row", "col", "v"), r, c)
 
 
 def write_rows(a: Matrix, path: str) -> None:
@@ -29,27 +40,3 @@ def write_rows(a: Matrix, path: str) -> None:
 
 def read_rows(spark: SparkSession, path: str) -> Matrix:
     return from_csr(spark.read.parquet(path))
-
-
-def read_hdf5(spark: SparkSession, path: str, group: str = "matrix") -> DataFrame:
-    """``row, col, v`` of compressed row groups in HDF5 files, one task a file; needs h5py."""
-    try:
-        import h5py  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading HDF5 needs h5py") from e
-
-    def run(batches):
-        import io
-
-        import h5py
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for content in pdf["content"]:
-                with h5py.File(io.BytesIO(content)) as f:
-                    g = f[group]
-                    n = np.diff(g["indptr"][:])
-                    yield pd.DataFrame({"row": np.repeat(np.arange(len(n)), n), "col": g["indices"][:].astype("int64"), "v": g["data"][:].astype("float64")})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row long, col long, v double")
