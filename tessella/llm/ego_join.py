@@ -203,8 +203,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     e = F.col(vector_col)
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), e.alias("embedding"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    v = v.withColumn("key", F.when(F.col("fine"), F.xxhash64("embedding")))
-    classes = cut(v.where("fine").groupBy("key").agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("first")))
+    # Equal vectors are one class, told apart by the vectors themselves; keys only number them.
+    classes = cut(v.where("fine").groupBy("embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("first")))
+    classes = cut(classes.withColumn("key", F.monotonically_increasing_id()))
     spark, found = v.sparkSession, None
     for (dim,) in classes.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():
         mine = classes.where(F.size("embedding") == dim)
@@ -231,6 +232,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     c = cut(classes.select("key", "m", "first").join(degrees, "key", "left").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")))
     c = c.join(store(c.groupBy("root").agg(F.min("first").alias("component_id"))), "root")  # a hot root's rows can be split
     c = c.select("key", (F.coalesce("degree", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
-    out = v.select("vec_id", "key").join(c, "key", "left")
+    out = v.select("vec_id", "embedding").join(classes.select("key", "embedding").join(c, "key").drop("key"), "embedding", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -18,6 +18,7 @@ a chunk or kept from before, is compared byte by byte first.
 Defined results: null and empty texts give the end id alone; characters
 without a piece fall back to byte pieces; a model without byte pieces gives
 the unknown id. Extra columns are ignored; rows are independent of each other.
+A model that normalises texts, or puts no space first, is refused.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .text import Words, chunks, word_hashes
 
 _NONE = np.int64(1 << 40)
 _MARK = "▁"
+#: Texts that a normalising model changes: compatibility forms, runs of spaces, spaces at the ends, no space first.
+_PROBES = ("abc", "a  b", " a", "a ", "\uff41\uff22", "\u00bc", "e\u0301", "A\tb\nc")
 #: Segments, and bytes of them, whose ids a worker keeps at most before it starts afresh.
 _KEEP, _KEEP_BYTES = 400_000, 16 << 20
 
@@ -47,6 +50,8 @@ class Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(sp.normalize(t) != _MARK + t.replace(" ", _MARK) for t in _PROBES):
+            raise ValueError("only models that keep texts as they are and put a space first are supported")
         self.size, self.unk, self.end = sp.vocab_size(), sp.unk_id(), sp.eos_id()
         pieces = [sp.id_to_piece(i) for i in range(self.size)]
         normal = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(self.size)]

@@ -5,7 +5,7 @@ never occur inside a multi-byte UTF-8 sequence, so scanning bytes equals
 scanning characters. Words are identified by 64-bit hashes of their bytes and windows of
 some words by 64-bit hashes made from prefix sums over the words' hashes, so no
 Python code runs per word. Where an identity must hold among all windows of a
-corpus, a second, independent hash joins the first (128 bits).
+corpus, some bits of a second, independent hash join the first.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import pytest
@@ -151,3 +152,30 @@ def test_keep_first_decides_by_row(spark):
     assert keep_first(df.limit(0)).count() == 0
     null = keep_first(frame(spark, [(None, " ".join(a)), (None, " ".join([*a, "q"])), (None, " ".join(b))]))
     assert null.count() == 2 and words(null.collect()[0].text)
+
+
+@pytest.mark.parametrize("change", [lambda t: t.strip(), lambda t: " ".join(t.split(" ")).replace("  ", " "), lambda t: unicodedata.normalize("NFKC", t), None])
+def test_models_that_normalise_are_refused(monkeypatch, change):
+    import sentencepiece
+
+    from tessella.llm.piece_bpe import Model
+
+    class Other(sentencepiece.SentencePieceProcessor):
+        """The public model with another normaliser, or without a space first."""
+
+        def normalize(self, text):
+            return "▁" + change(text).replace(" ", "▁") if change else text.replace(" ", "▁")
+
+    assert Model(model_path()).size == 32_000
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError, match="keep texts as they are"):
+        Model(model_path())
+
+
+def test_vectors_are_told_apart_by_themselves(spark):
+    """Equal vectors are one class whatever their ids, repeated ids included; near ones link, others do not."""
+    from tessella.llm.ego_join import near_duplicates
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 1e-3]), (None, [1.0, 0.0]), (5, None), (6, [0.0, -1.0])]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "n_links", "component_id").collect()), key=repr)
+    assert got == sorted([(1, 3, 1), (1, 1, 1), (2, 3, 1), (3, 1, 1), (4, 3, 1), (None, 3, 1), (5, 0, 5), (6, 0, 6)], key=repr)
