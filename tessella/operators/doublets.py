@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import Matrix
 from .blocks import block_knn, rows_of, rows_of_vectors
-from .testing import ordered
+from .testing import positions
 
 #: Neighbours looked at and simulated rows for an observed one.
 NEIGHBOURS, PER_ROW = 30, 2
@@ -25,11 +25,6 @@ def draw(*cols, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def positions(ids: DataFrame) -> DataFrame:
-    """``id, pos``: places 0, 1, ... in the order of ``id``, ranked by ranges."""
-    return ordered(ids.select("id", F.col("id").alias("p"))).select("id", (F.col("rank") - 1).alias("pos"))
-
-
 def parents(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``new, row``: for each of ``n`` simulated rows -1, -2, ... two distinct rows (``row``) drawn evenly."""
     at = positions(rows.select(F.col("row").alias("id")))

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..loops import cut
 from ..model import Graph, Matrix
-from .doublets import positions
 from .matrix import col_moments
-from .testing import ordered
+from .testing import ordered, positions
 
 #: Clusters that one task may finish.
 TAIL = 1000

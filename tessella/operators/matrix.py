@@ -7,7 +7,7 @@ zeros enter through the size of the domain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Matrix, zero
@@ -282,8 +282,9 @@ def row_range(a: Matrix, lo: int, hi: int) -> Matrix:
 
 def filter_cols(a: Matrix, mask: DataFrame) -> Matrix:
     """Columns of the mask, renumbered densely in order of id."""
-    ids = mask.select("col").distinct().withColumn("pos", F.row_number().over(Window.orderBy("col")).cast("long") - 1)
-    return slice_cols(a, ids)
+    from .testing import positions
+
+    return slice_cols(a, positions(mask.select(F.col("col").alias("id")).distinct()).select(F.col("id").alias("col"), F.col("pos").cast("long").alias("pos")))
 
 
 def kept_entries(a: Matrix, rows: DataFrame | None = None, cols: DataFrame | None = None) -> DataFrame:
@@ -351,8 +352,9 @@ def from_csr(csr: DataFrame) -> Matrix:
 
 def indptr(a: Matrix) -> DataFrame:
     """``row, start``: offsets of rows in row order."""
-    before = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return row_lengths(a).select("row", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("start"))
+    from .testing import sums_before
+
+    return sums_before(row_lengths(a), "row", "length", "start").select("row", "start")
 
 
 def from_dense(dense: DataFrame, keep=None) -> Matrix:

@@ -259,9 +259,10 @@ def lineage_distance(tree: DataFrame, max_depth: int = 64) -> DataFrame:
 
 
 def barcode_clones(barcodes: DataFrame) -> DataFrame:
-    """``id, clone``: dense ids in the order of barcode hashes, from ``id, barcode``."""
-    d = barcodes.select("barcode").distinct()
-    ids = d.select("barcode", (F.row_number().over(Window.orderBy("barcode")) - 1).cast("long").alias("clone"))
+    """``id, clone``: dense ids in the order of barcodes, from ``id, barcode``."""
+    from .testing import positions
+
+    ids = positions(barcodes.select(F.col("barcode").alias("id")).distinct()).select(F.col("id").alias("barcode"), F.col("pos").cast("long").alias("clone"))
     return barcodes.join(ids, "barcode").select("id", "clone")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Matrix
-from .doublets import positions
+from .testing import positions
 
 _ROUNDS = 6
 #: Permutations of a column that one task does.

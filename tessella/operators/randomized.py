@@ -111,7 +111,7 @@ def systematic_sample(weights: DataFrame, n: int) -> DataFrame:
 
 
 def _systematic(weights: DataFrame, n: int, at) -> DataFrame:
-    b = weights.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(64)))
+    b = weights.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(64, -(-weights.count() // 1_000_000)))))
     blocks = b.groupBy("_b").agg(F.sum("w").alias("t"))
     off = blocks.select("_b", "t", F.coalesce(F.sum("t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("o"), F.sum("t").over(Window.partitionBy()).alias("all"))
     d = weights.sparkSession.range(n).select(F.col("id").alias("draw"), at(F.col("id")).alias("u"))
@@ -213,12 +213,26 @@ def downsample(a: Matrix, target: float | DataFrame, seed: int = 0) -> Matrix:
 
 
 def rarefaction(clones: DataFrame, size: int, n_iter: int, seed: int = 0) -> DataFrame:
-    """``mean, std`` of the Shannon diversity of subsamples drawn by hashes."""
+    """``mean, std`` of the Shannon diversity of subsamples of ``size`` rows. A row is in a subsample if a
+    keyed permutation takes its place below ``size``, so batches count by themselves and no order is made."""
+    import pandas as pd
+
     from .information import count_entropy_agg
+    from .permute import permuted
+    from .testing import positions
+
+    rows = clones.where("clone >= 0").select("id", "clone")
+    at = positions(rows.select("id"))
+    n = rows.count()
 
-    it = clones.sparkSession.range(n_iter).select(F.col("id").alias("it"))
-    d = clones.where("clone >= 0").crossJoin(F.broadcast(it)).withColumn("_r", F.row_number().over(Window.partitionBy("it").orderBy(F.xxhash64("id", "it", F.lit(seed)), "id"))).where(F.col("_r") <= size)
-    h = d.groupBy("it", "clone").agg(F.count(F.lit(1)).alias("c")).groupBy("it").agg(count_entropy_agg(F.col("c")).alias("h"))
+    def run(batches):
+        for pdf in batches:
+            for it in range(n_iter):
+                c = pdf.clone[permuted(pdf.pos.to_numpy(), n, (seed << 32) ^ (it + 1)) < size].value_counts()
+                yield pd.DataFrame({"it": it, "clone": c.index.astype("int64"), "c": c.to_numpy()})
+
+    some = rows.join(at, "id").select("pos", F.col("clone").cast("long").alias("clone")).mapInPandas(run, "it int, clone long, c long")
+    h = some.groupBy("it", "clone").agg(F.sum("c").alias("c")).groupBy("it").agg(count_entropy_agg(F.col("c")).alias("h"))
     return h.agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("std"))
 
 
@@ -226,13 +240,24 @@ def rarefaction(clones: DataFrame, size: int, n_iter: int, seed: int = 0) -> Dat
 
 
 def permuted_groups(groups: DataFrame, n_perm: int, seed: int = 0) -> DataFrame:
-    """``perm, row, grp``: the groups' labels dealt anew in the order of seeded hashes, sizes kept."""
-    perms = groups.sparkSession.range(n_perm).select(F.col("id").alias("perm"))
-    t = groups.crossJoin(F.broadcast(perms))
-    place = lambda key: F.row_number().over(Window.partitionBy("perm").orderBy(key, "row"))
-    to = t.select("perm", "row", place(F.xxhash64("row", F.lit(seed))).alias("pos"))
-    frm = t.select("perm", "grp", place(F.xxhash64("row", "perm", F.lit(seed + 1))).alias("pos"))
-    return to.join(frm, ["perm", "pos"]).select("perm", "row", "grp")
+    """``perm, row, grp``: the groups' labels dealt anew, sizes kept: a row takes the label at the place to
+    which a keyed permutation sends its own."""
+    import pandas as pd
+
+    from ..loops import cut
+    from .permute import permuted
+    from .testing import positions
+
+    at = cut(groups.join(positions(groups.select(F.col("row").alias("id"))).withColumnRenamed("id", "row"), "row").select("row", "grp", F.col("pos").cast("long").alias("pos")))
+    n, kind = at.count(), groups.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(n_perm):
+                yield pd.DataFrame({"perm": k, "row": pdf.row, "pos": permuted(pdf.pos.to_numpy(), n, (seed << 32) ^ (k + 1))})
+
+    to = at.select("row", "pos").mapInPandas(run, f"perm long, row {kind}, pos long")
+    return to.join(at.select("pos", "grp"), "pos").select("perm", "row", "grp")
 
 
 def permutation_test(a: Matrix, groups: DataFrame, n_perm: int = 100, seed: int = 0) -> DataFrame:

@@ -31,6 +31,24 @@ def ordered(p: DataFrame, by: str = "p", descending: bool = False) -> DataFrame:
     return out.drop("_lo", "_hi", "_off")
 
 
+def positions(ids: DataFrame) -> DataFrame:
+    """``id, pos``: places 0, 1, ... in the order of ``id``, ranked by ranges (of strings: of their first bytes)."""
+    start = F.conv(F.rpad(F.hex(F.substring(F.col("id").cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    p = start if ids.schema["id"].dataType.simpleString() in ("string", "binary") else F.col("id")
+    return ordered(ids.select("id", p.cast("double").alias("p"))).select("id", (F.col("rank") - 1).alias("pos"))
+
+
+def sums_before(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before in the order of ``by``: sums of blocks, then inside each."""
+    d = ordered(df.withColumn("id", F.col(by)), by)
+    blocks = d.groupBy("_block").agg(F.sum(value).alias("_t"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.select("_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy("_block").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    out = d.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(blocks), "_block")
+    return out.withColumn(name, F.col("_s") + F.col("_i")).drop("_s", "_i", "_block", "id", "rank", "n")
+
+
 def running(df: DataFrame, value: Column, name: str, best: str = "min", backward: bool = True) -> DataFrame:
     """Running minimum (maximum) of ``value`` along rank, from the end or from the start."""
     f = F.min if best == "min" else F.max

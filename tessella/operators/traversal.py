@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..loops import cut
 from ..model import Graph
-from .doublets import draw, positions
+from .doublets import draw
+from .testing import positions
 
 #: Sources in a mask, and in an array of path counts; rows of state that a group may have.
 BITS, LANES, ROWS = 64, 16, 50_000_000

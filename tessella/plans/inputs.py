@@ -18,7 +18,7 @@ from ..operators.testing import ordered
 
 #: Dimensions of the table of embeddings.
 DIMS = 64
-_NEIGHBOURS: dict[tuple[str, str], DataFrame] = {}
+_NEIGHBOURS: dict[tuple, DataFrame] = {}
 
 
 class Inputs:
@@ -92,8 +92,10 @@ class Inputs:
 
     @cached_property
     def nbrs(self) -> DataFrame:
-        """``row, nbr, dist``: the five nearest vectors, written once a session for all queries."""
-        key = (self.spark.sparkContext.applicationId, self.dir)
+        """``row, nbr, dist``: the five nearest vectors, written once a session for all queries that read
+        the same files of the table (by path, size and time)."""
+        files = self.table("embeddings").select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct()
+        key = (self.spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))
         if key not in _NEIGHBOURS:
             _NEIGHBOURS[key] = cut(dense_knn(self.vectors, 5).select("row", "nbr", "dist"))
         return _NEIGHBOURS[key]
