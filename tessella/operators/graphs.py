@@ -249,6 +249,24 @@ def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: i
     return iterate(start, lambda s: g.over_nodes(_push(g, s)).select("id", (alpha * F.coalesce("f", F.lit(0.0)) + beta).alias("x")), max_iter, tol)
 
 
+def closeness_centrality(g: Graph, normalize: bool = True) -> DataFrame:
+    from .traversal import closeness
+
+    return closeness(g, normalize)
+
+
+def harmonic_centrality(g: Graph, normalize: bool = True) -> DataFrame:
+    from .traversal import harmonic
+
+    return harmonic(g, normalize)
+
+
+def betweenness_centrality(g: Graph, normalize: bool = True, sources: DataFrame | None = None) -> DataFrame:
+    from .traversal import betweenness
+
+    return betweenness(g, normalize, sources)
+
+
 # --- transitions and diffusion -----------------------------------------------
 
 

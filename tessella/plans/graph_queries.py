@@ -117,9 +117,9 @@ SG = HP + ", sg(s, v, h, c) AS (SELECT id, id, 0, 1.0::DOUBLE FROM nd UNION ALL
 ND = "(SELECT count(*) FROM nd)"
 q("graph_diameter", lambda n: G.graph_diameter(n.graph), HP + "SELECT max(h) AS diameter FROM hp", "", "diameter")
 q("average_path_length", lambda n: G.average_path_length(n.graph), HP + "SELECT avg(h) AS length FROM hp WHERE h > 0", "length")
-q("closeness_centrality", lambda n: T.closeness(n.graph), HP + f"SELECT s AS id, coalesce(power(count(CASE WHEN h > 0 THEN 1 END), 2) / nullif(sum(h), 0) / ({ND} - 1), 0) AS centrality FROM hp GROUP BY 1", "centrality", "id")
-q("harmonic_centrality", lambda n: T.harmonic(n.graph), HP + f"SELECT s AS id, coalesce(sum(CASE WHEN h > 0 THEN 1.0 / h END), 0) / ({ND} - 1) AS centrality FROM hp GROUP BY 1", "centrality", "id")
-q("betweenness_centrality", lambda n: T.betweenness(n.graph), SG + f"SELECT id, coalesce(sum(d), 0) / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
+q("closeness_centrality", lambda n: G.closeness_centrality(n.graph), HP + f"SELECT s AS id, coalesce(power(count(CASE WHEN h > 0 THEN 1 END), 2) / nullif(sum(h), 0) / ({ND} - 1), 0) AS centrality FROM hp GROUP BY 1", "centrality", "id")
+q("harmonic_centrality", lambda n: G.harmonic_centrality(n.graph), HP + f"SELECT s AS id, coalesce(sum(CASE WHEN h > 0 THEN 1.0 / h END), 0) / ({ND} - 1) AS centrality FROM hp GROUP BY 1", "centrality", "id")
+q("betweenness_centrality", lambda n: G.betweenness_centrality(n.graph), SG + f"SELECT id, coalesce(sum(d), 0) / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
 q("betweenness_centrality_sampled", lambda n: T.betweenness_sampled(n.graph, 50), SG.replace("dp AS", "sa AS (SELECT id AS s FROM nd ORDER BY CAST('0x' || substr(md5(id || '|0'), 1, 13) AS BIGINT), id LIMIT 50), dp AS").replace("WHERE a.h > 0", "WHERE a.h > 0 AND a.s IN (SELECT s FROM sa)") + f"SELECT id, coalesce(sum(d), 0) * {ND} / 50.0 / (({ND} - 1) * ({ND} - 2)) AS centrality FROM nd LEFT JOIN dp ON v = id GROUP BY 1", "centrality", "id")
 q("topological_sort", lambda n: G.topological_sort(Graph(n.tree.where("parent >= 0").select(F.col("parent").alias("src"), F.col("clone").alias("dst"), F.lit(1.0).alias("w")), n.tree.select(F.col("clone").alias("id")))), with_("tree") + "SELECT clone AS id, CASE WHEN parent < 0 THEN 0 WHEN clone < 1000000 THEN 1 ELSE 2 END AS level FROM tree", "", "id level")
 q("kcore_decomposition", lambda n: G.kcore(n.graph))
