@@ -130,8 +130,10 @@ def select_by_vst(a: Matrix, clip: DataFrame, n_top: int) -> DataFrame:
     return clipped_moments(a, clip).select("col", "var").orderBy(F.desc("var"), "col").limit(n_top)
 
 
-def group_stats(a: Matrix, groups: DataFrame, ddof: int = 1, zeros: bool = True) -> DataFrame:
-    """``col, grp, n, nnz, mean, var`` from ``row, grp``; with or without implicit zeros."""
+def group_stats(a: Matrix, groups: DataFrame, ddof: int = 1, zeros: bool = True, compat: bool = False) -> DataFrame:
+    """``col, grp, n, nnz, mean, var`` from ``row, grp``; with or without implicit zeros. With ``compat``, the
+    squares of stored entries are taken about their own mean and only those of zeros about the mean of
+    all, which is less than the variance; it is for comparison with results computed so."""
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     e = a.entries.join(groups, "row")
     g = e.groupBy("col", "grp").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("nnz"))
@@ -139,7 +141,8 @@ def group_stats(a: Matrix, groups: DataFrame, ddof: int = 1, zeros: bool = True)
     s, q, nnz = (F.coalesce(c, F.lit(0)) for c in ("s", "q", "nnz"))
     n = F.col("n") if zeros else nnz
     mean = s / F.nullif(n, F.lit(0))
-    var = F.greatest(F.lit(0.0), q - n * mean * mean) / F.when(n > ddof, n - ddof)
+    squares = q - n * mean * mean if not compat else q - F.coalesce(s * s / F.nullif(nnz, F.lit(0)), F.lit(0.0)) + (n - nnz) * mean * mean
+    var = F.greatest(F.lit(0.0), squares) / F.when(n > ddof, n - ddof)
     return g.select("col", "grp", "n", nnz.alias("nnz"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.coalesce(var, F.lit(0.0)).alias("var"))
 
 

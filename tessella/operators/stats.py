@@ -19,9 +19,9 @@ def group_sizes(groups: DataFrame) -> DataFrame:
     return groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def two_group_stats(a: Matrix, groups: DataFrame) -> DataFrame:
-    """``col, n0, n1, mean0, mean1, var0, var1`` for groups 0 and 1."""
-    g = group_stats(a, groups.where("grp in (0, 1)"))
+def two_group_stats(a: Matrix, groups: DataFrame, compat: bool = False) -> DataFrame:
+    """``col, n0, n1, mean0, mean1, var0, var1`` for groups 0 and 1; ``compat`` as in ``group_stats``."""
+    g = group_stats(a, groups.where("grp in (0, 1)"), compat=compat)
     pick = lambda c, k: F.max(F.when(F.col("grp") == k, F.col(c)))
     return g.groupBy("col").agg(*(F.coalesce(pick(c, k), F.lit(0)).alias(f"{c}{k}") for c in ("n", "mean", "var") for k in (0, 1)))
 
@@ -67,17 +67,18 @@ def effect(kind: str) -> Column:
 # --- parametric tests --------------------------------------------------------
 
 
-def ttest(a: Matrix, groups: DataFrame, welch: bool = True, effect_type: str = "cohens_d") -> DataFrame:
-    """``col, t, p, log2_fc, effect`` of group 1 against 0; p by the normal distribution."""
-    s = two_group_stats(a, groups)
+def ttest(a: Matrix, groups: DataFrame, welch: bool = True, effect_type: str = "cohens_d", compat: bool = False) -> DataFrame:
+    """``col, t, p, log2_fc, effect`` of group 1 against 0; p by the normal distribution; ``compat`` takes
+    the variances of ``group_stats`` with it."""
+    s = two_group_stats(a, groups, compat)
     c = [F.col(x) for x in ("var0", "n0", "var1", "n1")]
     se = (se_welch if welch else se_pooled)(*c)
     t = F.coalesce((F.col("mean1") - F.col("mean0")) / F.nullif(se, F.lit(0.0)), F.lit(0.0))
     return s.select("col", t.alias("t"), log2_fold_change(F.col("mean0"), F.col("mean1")).alias("log2_fc"), effect(effect_type).alias("effect")).withColumn("p", t_two_sided(F.col("t")))
 
 
-def effect_size(a: Matrix, groups: DataFrame, kind: str = "cohens_d") -> DataFrame:
-    return two_group_stats(a, groups).select("col", effect(kind).alias("effect"))
+def effect_size(a: Matrix, groups: DataFrame, kind: str = "cohens_d", compat: bool = False) -> DataFrame:
+    return two_group_stats(a, groups, compat).select("col", effect(kind).alias("effect"))
 
 
 def oneway_anova(a: Matrix, groups: DataFrame) -> DataFrame:
@@ -131,12 +132,14 @@ def auroc(a: Matrix, groups: DataFrame) -> DataFrame:
     return mwu(a, groups).select("col", "auroc", "p")
 
 
-def kruskal_wallis(a: Matrix, groups: DataFrame) -> DataFrame:
-    """``col, h, p``, tie-corrected; implicit zeros are ranked."""
+def kruskal_wallis(a: Matrix, groups: DataFrame, compat: bool = False) -> DataFrame:
+    """``col, h, p``, tie-corrected; implicit zeros are ranked. With ``compat`` zeros count in sizes and ties
+    but add nothing to a group's rank sum, for comparison with results computed so."""
     c = value_counts(a, groups)
     r = ranks(c)
     total = r.groupBy("col").agg(F.sum("t").cast("double").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    per = c.join(r, ["col", "v"]).groupBy("col", "grp").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("m"))
+    rank = F.when(F.col("v") == 0, 0.0).otherwise(F.col("rank")) if compat else F.col("rank")
+    per = c.join(r, ["col", "v"]).groupBy("col", "grp").agg(F.sum(rank * F.col("c")).alias("r"), F.sum("c").alias("m"))
     s = per.groupBy("col").agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), F.count(F.lit(1)).alias("k")).join(total, "col")
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))

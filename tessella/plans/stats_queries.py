@@ -23,6 +23,13 @@ CD = "(mean1 - mean0) / sqrt(((n0 - 1) * var0 + (n1 - 1) * var1) / (n0 + n1 - 2)
 q("two_group_stats", lambda n: S.two_group_stats(n.m, n.two), TWO + "SELECT j AS col, n0, n1, mean0, mean1, var0, var1 FROM tg", "mean0 mean1 var0 var1", "col n0 n1", 4)
 q("ttest_welch", lambda n: S.ttest(n.m, n.two), TWO + f"SELECT j AS col, {TT} AS t, {FC} AS log2_fc, {CD} AS effect, {two_sided_sql(TT)} AS p FROM tg", "t log2_fc effect p", "col")
 q("ttest_pooled", lambda n: S.ttest(n.m, n.two, welch=False), TWO + f"SELECT j AS col, {TP} AS t, {FC} AS log2_fc, {CD} AS effect, {two_sided_sql(TP)} AS p FROM tg", "t log2_fc effect p", "col")
+#: Squares of stored entries about their own mean.
+OWN = TWO
+for _g in (0, 1):
+    _s = f"coalesce(sum(CASE WHEN grp = {_g} THEN v END), 0)"
+    OWN = OWN.replace(f"power({_s}, 2) / n{_g})", f"coalesce(power({_s}, 2) / nullif(count(CASE WHEN grp = {_g} THEN 1 END), 0), 0) + (n{_g} - count(CASE WHEN grp = {_g} THEN 1 END)) * power({_s} / n{_g}, 2))")
+q("ttest_compat", lambda n: S.ttest(n.m, n.two, compat=True), OWN + f"SELECT j AS col, {TT} AS t, {FC} AS log2_fc, {CD} AS effect, {two_sided_sql(TT)} AS p FROM tg", "t log2_fc effect p", "col")
+q("effect_cohens_d_compat", lambda n: S.effect_size(n.m, n.two, compat=True), OWN + f"SELECT j AS col, {CD} AS effect FROM tg", "effect", "col")
 for _k, _e in (("cohens_d", CD), ("hedges_g", f"{CD} * (1 - 3 / (4 * (n0 + n1 - 2) - 1))"), ("glass_delta", "(mean1 - mean0) / sqrt(var0)"), ("cles", "0.5")):
     q(f"effect_{_k}", lambda n, k=_k: S.effect_size(n.m, n.two, k), TWO + f"SELECT j AS col, {_e} AS effect FROM tg", "effect", "col")
 DENSE2 = with_("m cj two") + ", d AS (SELECT cj.j AS j, g.grp AS grp, coalesce(v, 0) AS v FROM g CROSS JOIN cj LEFT JOIN m ON m.i = g.i AND m.j = cj.j) "
@@ -34,6 +41,7 @@ q("auroc", lambda n: S.auroc(n.m, n.two), MW + f"SELECT j AS col, u / (n0 * n1)
 DENSEK = with_("m cj g") + ", d AS (SELECT cj.j AS j, g.grp AS grp, coalesce(v, 0) AS v FROM g CROSS JOIN cj LEFT JOIN m ON m.i = g.i AND m.j = cj.j) "
 HH = "greatest(0, (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)))"
 q("kruskal_wallis", lambda n: S.kruskal_wallis(n.m, n.groups), DENSEK + RANK + f", kw AS (SELECT j, sum(r * r / c) AS q, CAST(sum(c) AS DOUBLE) AS n, count(*) AS k, sum(ti) AS ties FROM (SELECT j, grp, sum(r) AS r, count(*) AS c, sum(t * t - 1.0) AS ti FROM rk GROUP BY 1, 2) GROUP BY j) SELECT j AS col, {HH} AS h, {chisq_sql(HH, '(k - 1.0)')} AS p FROM kw", "h p", "col")
+q("kruskal_wallis_compat", lambda n: S.kruskal_wallis(n.m, n.groups, compat=True), DENSEK + RANK + f", kw AS (SELECT j, sum(r * r / c) AS q, CAST(sum(c) AS DOUBLE) AS n, count(*) AS k, sum(ti) AS ties FROM (SELECT j, grp, sum(CASE WHEN v = 0 THEN 0 ELSE r END) AS r, count(*) AS c, sum(t * t - 1.0) AS ti FROM rk GROUP BY 1, 2) GROUP BY j) SELECT j AS col, {HH} AS h, {chisq_sql(HH, '(k - 1.0)')} AS p FROM kw", "h p", "col")
 LAM = "((k - 1.0) * f / ((k - 1.0) * f + (n - k)))"
 ZF = f"((cbrt({LAM}) - (1 - 2 / (9 * (k - 1.0)))) / sqrt(2 / (9 * (k - 1.0))) - (cbrt(1 - {LAM}) - (1 - 2 / (9 * (n - k)))) / sqrt(2 / (9 * (n - k))))"
 q("oneway_anova", lambda n: S.oneway_anova(n.m, n.groups), DENSEK + f", an AS (SELECT j, CAST(count(*) AS DOUBLE) AS k, CAST(sum(c) AS DOUBLE) AS n, sum(c * m * m) - power(sum(c * m), 2) / sum(c) AS ssb, sum(ss) AS ssw FROM (SELECT j, grp, count(*) AS c, avg(v) AS m, var_samp(v) * (count(*) - 1) AS ss FROM d GROUP BY 1, 2) GROUP BY j), fa AS (SELECT j, k, n, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM an) SELECT j AS col, f, CASE WHEN f <= 0 THEN 1.0 ELSE {sf_sql(ZF)} END AS p FROM fa", "f p", "col", 5)
