@@ -583,7 +583,7 @@ def test_pipeline_and_entry(spark):
     import corpus_pipeline as p
 
     names = [n for n in e.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert len(p.STAGES) == 5
     out = p.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 50
