@@ -51,3 +51,21 @@ def test_hops_of_all_nodes_by_wide_masks(spark, monkeypatch):
     for words, rows in ((16, 50_000_000), (1, 70)):
         monkeypatch.setattr(traversal, "WORDS", words)
         assert {(r.source, r.hop): r.n for r in traversal.hop_counts(g, rows=rows).collect()} == want
+
+
+def test_poisson_draws_by_inversion(spark):
+    """Draws are made in batches, not by a fold of 100 structs a cell; cells above a mean of 30 are rounded normals."""
+    from tessella.operators.randomized import poisson_resample, uniform
+
+    df = spark.createDataFrame([(i, j, float(1 + 9 * j)) for i in range(60) for j in range(4)], "row long, col long, v double")
+    a = poisson_resample(Matrix.of(df), 1.5, 3).entries
+    assert "MapInArrow" in a._jdf.queryExecution().analyzed().toString()
+    got = {(r.row, r.col): r.v for r in a.collect()}
+    for r in df.withColumn("u", uniform("row", "col", seed=3)).where("col < 3").collect():
+        m = r.v * 1.5
+        p, k = np.exp(-m), 0
+        c = p
+        while r.u >= c:
+            k, p = k + 1, p * m / (k + 1)
+            c += p
+        assert got.get((r.row, r.col), 0.0) == k
