@@ -64,3 +64,15 @@ def test_equal_connectivity_ranks_by_id(spark):
     adj = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.1 + 2e-17), (5, 6, 0.1 + 1e-15)], "a long, b long, w double")
     mods = spark.createDataFrame([(i, 0) for i in range(1, 7)], "id long, module int")
     assert [r.id for r in S.hub_genes(adj, mods, 4).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_diffusion_distances_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAIR_BLOCK", 4)
+    t = np.random.default_rng(8).random((15, 15)) * (np.random.default_rng(9).random((15, 15)) < 0.3)
+    np.fill_diagonal(t, 0.1)
+    g = Graph.of(spark.createDataFrame([(int(i), int(j), float(t[i, j])) for i, j in zip(*np.nonzero(t))], "src long, dst long, w double"))
+    d = G.diffusion_distance(g, 2)
+    assert "FlatMapCoGroupsInArrow" in d._jdf.queryExecution().executedPlan().toString()
+    two = t @ t
+    got = {(r.a, r.b): r.dist for r in d.collect()}
+    assert sorted(got) == list(itertools.combinations(range(15), 2)) and all(abs(v - np.linalg.norm(two[a] - two[b])) < 1e-9 for (a, b), v in got.items())
