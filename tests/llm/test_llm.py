@@ -489,6 +489,34 @@ def test_bm25(spark, rows):
     assert top_k(df, df.limit(0), k=3) is None or top_k(df, df.limit(0), k=3).count() == 0
 
 
+@pytest.mark.parametrize("n_common", [0, 3, 40])
+def test_bm25_task_gives_the_best_of_all_its_shards(n_common):
+    import types
+
+    import pyarrow as pa
+
+    from tessella.llm import bm25
+
+    rng = np.random.default_rng(n_common)
+    texts = [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, int(rng.integers(1, 60)))) for _ in range(600)]
+    texts[300:330] = texts[:30]  # equal texts in other shards: ties by id
+    ids = [None if i == 599 else int(i) for i in rng.permutation(600)]
+    shards = [pa.table({"doc_id": pa.array(ids[i : i + 150], pa.int64()), "text": texts[i : i + 150], "shard": pa.array([i] * 150)}) for i in range(0, 600, 150)]
+    index = [bm25._build(t).to_batches()[0] for t in shards]
+    bags = [(w.copy(), c.astype(float)) for _, doc, word, count, n in bm25._bags(pa.array(texts[:600:7])) for i in range(len(n)) for w, c in [(word[doc == i], count[doc == i])]]
+    every, df = np.unique(np.concatenate([w for w, _ in bags]), return_counts=True)
+    common = np.sort(every[np.argsort(-df, kind="stable")[:n_common]])
+    bounds = np.cumsum([0, *(len(w) for w, _ in bags)])
+    shared = types.SimpleNamespace(value=(list(range(len(bags))), bounds, *(np.concatenate(x) for x in zip(*bags, strict=True))))
+    run = lambda part: pa.Table.from_batches(list(bm25._search(shared, 5, 20.0, 8, common)(iter(part)))).to_pylist()
+    key = lambda r: (r["query"], -r["score"], math.inf if r["doc_id"] is None else r["doc_id"])
+    one_by_one = sorted((r for x in index for r in run([x])), key=key)
+    want = [r for i, r in enumerate(one_by_one) if i < 5 or one_by_one[i - 5]["query"] != r["query"]]
+    got = run(index)
+    assert len(got) <= 5 * len(bags) < len(one_by_one)
+    assert sorted(got, key=key) == want
+
+
 @pytest.mark.parametrize("block", [3, 200])
 def test_mixing(spark, block):
     from tessella.llm.mixing import mix, take
